@@ -61,7 +61,8 @@ def comparison_matrix(
     ]
     if churn is not None:
         parts.append(churn.select("run_id", F.col("total_process_starts").alias("process_starts")))
-    d = reduce(lambda a, b: a.join(b, "run_id", "left"), parts, runs)
+    about = runs.select(*[c for c in ("run_id", "hostname", "mode", "tags", "duration_s") if c in runs.columns])
+    d = reduce(lambda a, b: a.join(b, "run_id", "left"), parts, about)
     counts = ["anomalies", "slowdowns", "memory_leaks", "handle_leaks", "process_starts", "samples"]
     if churn is None:
         d = d.withColumn("process_starts", F.lit(0).cast("bigint"))

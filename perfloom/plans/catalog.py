@@ -28,6 +28,7 @@ from ..operators.series import (
     clip, dense_index, islands, merge_windows, monotonic_ratio, moving_average,
     percentile_linear, plateau_fraction, r2, sustained_windows,
 )
+from ..functions.session import checkpointed
 from ..thresholds import Thresholds
 from .oracles import query_sql
 from .views import Views
@@ -50,6 +51,16 @@ GPU = Thresholds(gpu_engine_medium_pct=53.0, gpu_engine_high_pct=54.5)
 class Inputs(Views):
     """Views plus the findings that several queries build on."""
 
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder)
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str) -> DataFrame:
+        """A finding written once (it is small) for the queries that read it several times."""
+        if name not in self._kept:
+            self._kept[name] = checkpointed(getattr(self, name))
+        return self._kept[name]
+
     @cached_property
     def isys(self) -> DataFrame:
         return dense_index(self.sys)
@@ -68,15 +79,15 @@ class Inputs(Views):
 
     @cached_property
     def hits(self) -> DataFrame:
-        return sl.slowdown_latency_hits(self.windows, self.lat, SLOWDOWN)
+        return sl.slowdown_latency_hits(self.kept("windows"), self.lat, SLOWDOWN)
 
     @cached_property
     def slowdowns(self) -> DataFrame:
-        return sl.slowdown_confidence(self.windows, self.hits, SLOWDOWN)
+        return sl.slowdown_confidence(self.kept("windows"), self.hits, SLOWDOWN)
 
     @cached_property
     def suspects(self) -> DataFrame:
-        return sl.slowdown_offenders(self.windows, self.proc)
+        return sl.slowdown_offenders(self.kept("windows"), self.proc)
 
     @cached_property
     def trends(self) -> DataFrame:
@@ -84,7 +95,7 @@ class Inputs(Views):
 
     @cached_property
     def leaks(self) -> DataFrame:
-        return tr.detect_leaks(self.grow, LEAK, self.trends)
+        return tr.detect_leaks(self.grow, LEAK, self.kept("trends"))
 
     @cached_property
     def pids(self) -> DataFrame:
@@ -92,15 +103,15 @@ class Inputs(Views):
 
     @cached_property
     def offenders(self) -> DataFrame:
-        return of.rank_offenders(self.pids)
+        return of.rank_offenders(self.kept("pids"))
 
     @cached_property
     def security(self) -> DataFrame:
-        return of.security_offenders(self.pids)
+        return of.security_offenders(self.kept("pids"))
 
     @cached_property
     def background(self) -> DataFrame:
-        return of.background_offenders(self.pids)
+        return of.background_offenders(self.kept("pids"))
 
     @cached_property
     def events_diff(self) -> DataFrame:
@@ -123,11 +134,11 @@ class Inputs(Views):
 
     @cached_property
     def correlated(self) -> DataFrame:
-        return ev.correlate_events(self.evt, self.slowdowns, SLOWDOWN)
+        return ev.correlate_events(self.evt, self.kept("slowdowns"), SLOWDOWN)
 
     @cached_property
     def bottleneck_points(self) -> DataFrame:
-        return sc.bottleneck_scores(self.sys, self.anomalies, self.lat, self.slowdowns, self.suspects)
+        return sc.bottleneck_scores(self.sys, self.kept("anomalies"), self.lat, self.kept("slowdowns"), self.kept("suspects"))
 
     @cached_property
     def bottlenecks(self) -> DataFrame:
@@ -135,17 +146,17 @@ class Inputs(Views):
 
     @cached_property
     def scores(self) -> DataFrame:
-        return sc.run_scores(self.runs, self.sys, self.lat, self.anomalies, self.slowdowns, self.leaks,
+        return sc.run_scores(self.runs, self.sys, self.lat, self.kept("anomalies"), self.kept("slowdowns"), self.kept("leaks"),
                              self.offenders, self.security, self.background)
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        return sc.run_verdict(self.scores, self.bottlenecks, self.anomalies, self.slowdowns, self.leaks)
+        return sc.run_verdict(self.kept("scores"), self.kept("bottlenecks"), self.kept("anomalies"), self.kept("slowdowns"), self.kept("leaks"))
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return cm.comparison_matrix(self.runs, self.scores, self.bottlenecks, self.sys, self.lat, self.anomalies,
-                                    self.slowdowns, self.leaks, of.process_churn(self.events_diff))
+        return cm.comparison_matrix(self.runs, self.kept("scores"), self.kept("bottlenecks"), self.sys, self.lat, self.kept("anomalies"),
+                                    self.kept("slowdowns"), self.kept("leaks"), of.process_churn(self.events_diff))
 
     @cached_property
     def rankings(self) -> DataFrame:
@@ -184,10 +195,10 @@ add("coerce_scalars",
 add("core_list",
     lambda i: i.sys.select("run_id", "row_ord", parse_semicolon_list("cpu_per_core_pct").alias("c")).select(
         "run_id", "row_ord", F.size("c").alias("cores"), F.aggregate("c", F.lit(0.0), lambda a, x: a + x).alias("total"), F.get("c", F.lit(2)).alias("third")),
-    "select run_id, row_ord, len(c)::int cores, list_sum(c) total, c[3] third from (select *, list_transform(string_split(cpu_per_core_pct,';'), x -> coalesce(try_cast(x as double),0)) c from v_sys)")
+    "select run_id, row_ord, len(c)::int cores, list_sum(c) total, c[3] third from (select *, list_transform(string_split(cpu_per_core_pct,';'), lambda x: coalesce(try_cast(x as double),0)) c from v_sys)")
 add("percentile_linear",
     lambda i: percentile_linear(i.sys, "cpu_total_pct", 0.95, ("run_id",), "cpu_p95"),
-    "select run_id, quantile_cont(cpu_total_pct,0.95) cpu_p95 from v_sys group by 1", cpu_p95=6)
+    "select run_id, quantile_cont(cpu_total_pct,0.95) cpu_p95 from v_sys group by 1", cpu_p95=8)
 add("moving_average",
     lambda i: moving_average(i.igrow, "rss_bytes", 8, ("run_id", "pid")).select("run_id", "pid", "row_ord", "smooth"),
     "select run_id, pid, row_ord, avg(rss_bytes) over (partition by run_id, pid order by rel_seconds, row_ord rows between 7 preceding and current row) smooth from v_grow", smooth=3)
@@ -226,7 +237,7 @@ add("memory_pressure", lambda i: _no_text(an.memory_pressure(i.isys, ANOMALY)),
 add("swap_usage", lambda i: _no_text(an.swap_usage(i.sys, ANOMALY)), "select * from a4", avg_pct=6)
 add("disk_active_high", lambda i: _no_text(an.disk_active_high(i.isys, ANOMALY)), f"select {_SPAN}, avg_pct from a5", peak_pct=6, avg_pct=6)
 add("network_unreachable", lambda i: _no_text(an.network_unreachable(i.lat, ANOMALY)), "select * from a6", loss_pct=6)
-add("network_latency_spike", lambda i: _no_text(an.network_latency_spike(i.lat, ANOMALY)), "select * from a7", avg_ms=6, p95_ms=6, peak_ms=6, loss_pct=6)
+add("network_latency_spike", lambda i: _no_text(an.network_latency_spike(i.lat, ANOMALY)), "select * from a7", avg_ms=6, p95_ms=8, peak_ms=6, loss_pct=6)
 add("detect_anomalies",
     lambda i: i.anomalies.select("run_id", "kind", "severity", "start_idx", "end_idx", "samples", "peak_pct", "core", "target"),
     "select run_id, kind, severity, start_idx, end_idx, samples, peak_pct, core, target from anomalies", peak_pct=6)
@@ -271,7 +282,7 @@ add("top_spawners", lambda i: of.top_spawners(i.events_diff),
 add("display_name",
     lambda i: i.proc.select("name").union(i.conn.select("name")).distinct().select(
         "name", app_key("name").alias("app_key"), display_name(app_key("name")).alias("display_name")),
-    "select n.name, lower(trim(n.name)) app_key, coalesce(k.display, array_to_string(list_transform(regexp_extract_all(regexp_replace(lower(trim(n.name)),'\\.exe$',''),'[a-z]+|[^a-z]+'), x -> upper(x[1]) || x[2:]),'')) display_name from (select name from v_proc union select name from v_conn) n left join known_apps k on k.exe=lower(trim(n.name))")
+    "select n.name, lower(trim(n.name)) app_key, coalesce(k.display, array_to_string(list_transform(regexp_extract_all(regexp_replace(lower(trim(n.name)),'\\.exe$',''),'[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]),'')) display_name from (select name from v_proc union select name from v_conn) n left join known_apps k on k.exe=lower(trim(n.name))")
 _IO = ("io_read_bps", "io_write_bps")
 add("app_ticks", lambda i: ap.app_ticks(i.proc), "select * from aticks", io_read_bps=4, io_write_bps=4)
 add("app_aggregates", lambda i: ap.app_aggregates(i.proc).withColumn("pids", F.array_join(F.col("pids").cast("array<string>"), ";")), "select * from apps", io_read_bps_max=4, io_write_bps_max=4)
@@ -279,13 +290,13 @@ add("rank_apps", lambda i: ap.rank_apps(ap.app_aggregates(i.proc)), "select * fr
 
 # --- raw sample derivations ------------------------------------------------------------------
 add("system_rates", lambda i: de.system_rates(i.tot),
-    "select run_id, row_ord, mono, coalesce(round_even((disk_read_bytes-lag(disk_read_bytes) over w)/dt,1),0.0) disk_read_bytes_per_sec, coalesce(round_even((disk_write_count-lag(disk_write_count) over w)/dt,2),0.0) disk_write_count_per_sec, coalesce(round_even((net_bytes_sent-lag(net_bytes_sent) over w)/dt,1),0.0) net_sent_bytes_per_sec, round_even((ctx_switches-lag(ctx_switches) over w)/dt,1) ctx_switches_per_sec, coalesce(round_even(greatest(0,least(100,(disk_busy_ms-lag(disk_busy_ms) over w)/(dt*1000)*100)),2),0.0) disk_active_pct_est from (select *, greatest(mono-lag(mono) over (partition by run_id order by mono, row_ord),1e-3) dt from v_tot) window w as (partition by run_id order by mono, row_ord)")
+    "select run_id, row_ord, mono, coalesce(round_even((disk_read_bytes-lag(disk_read_bytes) over w)/dt,1),0.0) disk_read_bytes_per_sec, coalesce(round_even((disk_write_count-lag(disk_write_count) over w)/dt,2),0.0) disk_write_count_per_sec, coalesce(round_even((net_bytes_sent-lag(net_bytes_sent) over w)/dt,1),0.0) net_sent_bytes_per_sec, round_even((ctx_switches-lag(ctx_switches) over w)/dt,1) ctx_switches_per_sec, case when dt is null then 0.0 else round_even(greatest(0,least(100,(disk_busy_ms-lag(disk_busy_ms) over w)/(dt*1000)*100)),2) end disk_active_pct_est from (select *, case when lag(mono) over (partition by run_id order by mono, row_ord) is not null then greatest(mono-lag(mono) over (partition by run_id order by mono, row_ord),1e-3) end dt from v_tot) window w as (partition by run_id order by mono, row_ord)")
 add("adapter_rates", lambda i: de.adapter_rates(i.nic),
     "select n.run_id, n.adapter, n.mono, coalesce(round_even(greatest(0,(n.bytes_sent-p.bytes_sent)/greatest(n.mono-t.prev,1e-3)),1),0.0) bytes_sent_per_sec, coalesce(round_even(greatest(0,(n.packets_recv-p.packets_recv)/greatest(n.mono-t.prev,1e-3)),2),0.0) packets_recv_per_sec from v_nic n join (select run_id, mono, lag(mono) over (partition by run_id order by mono) prev from (select distinct run_id, mono from v_nic)) t on n.run_id=t.run_id and n.mono=t.mono left join v_nic p on p.run_id=n.run_id and p.adapter=n.adapter and p.mono=t.prev")
 add("process_io_rates", lambda i: de.process_io_rates(i.ctr),
     "select c.run_id, c.pid, c.row_ord, c.mono, coalesce(greatest(0,(c.read_bytes-c.p)/greatest(c.mono-t.prev,1e-3)),0) io_read_bps from (select *, lag(read_bytes) over (partition by run_id, pid order by mono, row_ord) p from v_ctr) c join (select run_id, mono, lag(mono) over (partition by run_id order by mono) prev from (select distinct run_id, mono from v_ctr)) t on c.run_id=t.run_id and c.mono=t.mono", io_read_bps=4)
 add("latency_probe_summary", lambda i: de.latency_probe_summary(i.rep).drop("raw_times_ms"),
-    "select run_id, row_ord, target, count, list_avg(t) avg_ms, list_min(t) min_ms, list_max(t) max_ms, case when len(t)>=2 then round_even(list_sum(list_transform(range(2,len(t)+1), k -> abs(t[k]-t[k-1])))/(len(t)-1),2) end jitter_ms, case when len(t)>0 then round_even((1-len(t)/count)*100,1) else 100.0 end loss_pct from (select *, case when raw_times_ms='' then [] else list_transform(string_split(raw_times_ms,';'), x -> x::double) end t from v_rep)", avg_ms=6)
+    "select run_id, row_ord, target, count, list_avg(t) avg_ms, list_min(t) min_ms, list_max(t) max_ms, case when len(t)>=2 then round_even(list_sum(list_transform(range(2,len(t)+1), lambda k: abs(t[k]-t[k-1])))/(len(t)-1),2) end jitter_ms, case when len(t)>0 then round_even((1-len(t)/count)*100,1) else 100.0 end loss_pct from (select *, case when raw_times_ms='' then [] else list_transform(string_split(raw_times_ms,';'), lambda x: x::double) end t from v_rep)", avg_ms=6)
 add("candidate_processes", lambda i: de.candidate_processes(i.proc, n=1, pid=7),
     "select distinct run_id, rel_seconds, pid from (select *, row_number() over (partition by run_id, rel_seconds order by cpu_pct desc, pid desc, name desc) a, row_number() over (partition by run_id, rel_seconds order by rss_bytes desc, pid desc, name desc) b, row_number() over (partition by run_id, rel_seconds order by num_handles desc, pid desc, name desc) c, row_number() over (partition by run_id, rel_seconds order by io_read_bps+io_write_bps desc, pid desc, name desc) d from v_proc) where a=1 or b=1 or c=1 or d=1 or pid=7 or lower(name) in (select nm from critical)")
 add("flag_target",
@@ -293,11 +304,10 @@ add("flag_target",
     "select run_id, pid, (pid=7 or lower(name)='chrome.exe') is_target, count(*) n from v_proc group by 1,2,3")
 add("process_snapshot_diff", lambda i: i.events_diff, "select * from proc_events")
 add("service_snapshot_diff", lambda i: de.service_snapshot_diff(i.svc),
-    "with o as (select run_id, snapshot_ord, lag(snapshot_ord) over (partition by run_id order by snapshot_ord) prev_ord from (select distinct run_id, snapshot_ord from v_svc)), c as (select v.*, prev_ord from v_svc v join o using (run_id, snapshot_ord) where prev_ord is not null), p as (select v.run_id, o.snapshot_ord, v.name, v.status, v.pid from v_svc v join o on v.run_id=o.run_id and v.snapshot_ord=o.prev_ord) "
-    "select c.run_id, c.snapshot_ord, 'service_added' event, c.name, c.status status, null::varchar from_status, null::varchar to_status, null::bigint from_pid, null::bigint to_pid from c anti join p using (run_id, snapshot_ord, name) "
-    "union all select p.run_id, p.snapshot_ord, 'service_removed', p.name, null, null, null, null, null from p anti join c using (run_id, snapshot_ord, name) "
-    "union all select c.run_id, c.snapshot_ord, 'service_status_change', c.name, null, p.status, c.status, null, null from c join p using (run_id, snapshot_ord, name) where c.status is distinct from p.status "
-    "union all select c.run_id, c.snapshot_ord, 'service_pid_change', c.name, null, null, null, p.pid, c.pid from c join p using (run_id, snapshot_ord, name) where c.pid is distinct from p.pid and c.pid<>0")
+    "select c.run_id, c.snapshot_ord, 'service_added' event, c.name, c.status status, null::varchar from_status, null::varchar to_status, null::bigint from_pid, null::bigint to_pid from svc_now c anti join svc_before p using (run_id, snapshot_ord, name) "
+    "union all select p.run_id, p.snapshot_ord, 'service_removed', p.name, null, null, null, null, null from svc_before p anti join svc_now c using (run_id, snapshot_ord, name) "
+    "union all select c.run_id, c.snapshot_ord, 'service_status_change', c.name, null, p.status, c.status, null, null from svc_now c join svc_before p using (run_id, snapshot_ord, name) where c.status is distinct from p.status "
+    "union all select c.run_id, c.snapshot_ord, 'service_pid_change', c.name, null, null, null, p.pid, c.pid from svc_now c join svc_before p using (run_id, snapshot_ord, name) where c.pid is distinct from p.pid and c.pid<>0")
 add("gpu_engine_rollup", lambda i: i.engines, "select * from gpu_eng")
 add("gpu_process_memory_rollup", lambda i: i.gpu_memory, "select * from gpu_mem")
 add("disk_io_by_process", lambda i: de.disk_io_by_process(i.io),
@@ -328,7 +338,7 @@ add("connection_status_counts",
         ne.connection_status_counts(i.conn, "app_key").select("run_id", F.lit("app").alias("by"), "app_key", "status", "n")),
     "select run_id, 'pid' as \"by\", pid::varchar as owner, status, count(*) n from conn where status<>'' group by all union all select run_id, 'app', app_key, status, count(*) from conn where status<>'' group by all")
 add("latency_by_target", lambda i: la.latency_by_target(i.lat), "select * from targets",
-    rtt_avg_ms=6, rtt_p95_ms=6, rtt_max_ms=6, jitter_avg_ms=6, avg_loss_pct=6, resolve_avg_ms=6, resolve_p95_ms=6)
+    rtt_avg_ms=6, rtt_p95_ms=8, rtt_max_ms=6, jitter_avg_ms=6, avg_loss_pct=6, resolve_avg_ms=6, resolve_p95_ms=8)
 add("dns_findings", lambda i: la.dns_findings(la.latency_by_target(i.lat)).drop("detail"),
     "select run_id, target, 'slow_dns' kind, case when resolve_avg_ms>=300 then 'high' else 'medium' end severity from targets where resolve_avg_ms>=100 union all select run_id, target, 'dns_failures', 'high' from targets where resolve_fail_samples/samples>=0.25")
 add("gpu_engine_stats", lambda i: gp.gpu_engine_stats(i.engines), "select * from gpu_stats")
@@ -344,7 +354,7 @@ add("event_bucket", lambda i: i.evt.groupBy("provider", event_bucket("provider")
     "select provider, bucket, count(*) n from ev group by 1,2")
 _window_text = lambda: F.coalesce(F.array_join(F.transform("correlated_slowdowns", lambda w: w["kind"]), ";"), F.lit("")).alias("kinds")
 add("correlate_events", lambda i: i.correlated.select("run_id", "row_ord", "bucket", "n_correlated", _window_text()),
-    "select run_id, row_ord, bucket, n_correlated::int n_correlated, array_to_string(list_transform(case when windows='' then [] else string_split(windows,';') end, x -> split_part(x,':',2)),';') kinds from ev_full")
+    "select run_id, row_ord, bucket, n_correlated::int n_correlated, array_to_string(list_transform(case when windows='' then [] else string_split(windows,';') end, lambda x: split_part(x,':',2)),';') kinds from ev_full")
 add("event_bucket_counts", lambda i: ev.event_bucket_counts(i.correlated),
     "select run_id, bucket, count(*) events, count(*) filter (where n_correlated>0) correlated from ev_full group by 1,2")
 add("top_events", lambda i: ev.top_events(i.correlated).select("run_id", "rank", "row_ord", "level_code", "bucket", "rel_seconds", "n_correlated"),
@@ -353,17 +363,17 @@ add("top_events", lambda i: ev.top_events(i.correlated).select("run_id", "rank",
 # --- bottlenecks, scores, verdict ------------------------------------------------------------
 add("bottleneck_scores", lambda i: i.bottleneck_points.drop("ord"), "select run_id, dim, points from bscores", points=6)
 add("classify_bottleneck", lambda i: i.bottlenecks.select("run_id", "primary", text_list("secondary")), "select * from bottleneck")
-add("bottleneck_reasons", lambda i: sc.bottleneck_reasons(i.sys, i.anomalies, i.lat, i.slowdowns, i.suspects))
-add("stability_score", lambda i: sc.stability_score(i.runs, i.sys, i.anomalies), "select * from x4", cpu_std=6, mem_std=6, stability=6)
+add("bottleneck_reasons", lambda i: sc.bottleneck_reasons(i.sys, i.kept("anomalies"), i.lat, i.kept("slowdowns"), i.kept("suspects")))
+add("stability_score", lambda i: sc.stability_score(i.runs, i.sys, i.kept("anomalies")), "select * from x4", cpu_std=6, mem_std=6, stability=6)
 add("efficiency_score", lambda i: sc.efficiency_score(i.runs, i.sys, i.background), "select * from x5", idle_pct=6, mem_free_pct=6, background_cpu=6, efficiency=6)
-add("workload_score", lambda i: sc.workload_score(i.runs, i.sys, i.slowdowns), "select * from x6", workload=6)
+add("workload_score", lambda i: sc.workload_score(i.runs, i.sys, i.kept("slowdowns")), "select * from x6", workload=6)
 add("security_score", lambda i: sc.security_score(i.runs, i.security), "select * from x7", cpu=4, rss=4, security=6)
-add("network_score", lambda i: sc.network_score(i.runs, i.lat), "select * from x8", avg_ms=6, p95_ms=6, loss_pct=6, network=6)
-add("hygiene_score", lambda i: sc.hygiene_score(i.runs, i.leaks, i.offenders), "select * from x9", penalty=4, hygiene=4)
+add("network_score", lambda i: sc.network_score(i.runs, i.lat), "select * from x8", avg_ms=6, p95_ms=8, loss_pct=6, network=6)
+add("hygiene_score", lambda i: sc.hygiene_score(i.runs, i.kept("leaks"), i.offenders), "select * from x9", penalty=4, hygiene=4)
 add("run_scores", lambda i: i.scores, "select * from scores")
 add("run_verdict", lambda i: i.verdicts.drop("verdict"), "select * from verdict")
 add("recommendations",
-    lambda i: sc.recommendations(i.bottlenecks, i.security, i.background, i.leaks, of.process_churn(i.events_diff)).groupBy("run_id", "ord", "rule").agg(F.count(F.lit(1)).alias("n")),
+    lambda i: sc.recommendations(i.bottlenecks, i.security, i.background, i.kept("leaks"), of.process_churn(i.events_diff)).groupBy("run_id", "ord", "rule").agg(F.count(F.lit(1)).alias("n")),
     "select run_id, ord, rule, count(*) n from (select run_id, 1 ord, concat('primary_',\"primary\") rule from bottleneck where \"primary\" in ('cpu','memory','disk','network','security') union all select run_id, 2, 'security_cpu' from security where rank<=3 group by run_id having sum(cpu_pct_avg)>15 union all select * from (select distinct run_id, 3, concat('leak_', replace(kind,'_leak_candidate','')), process_name from leaks where confidence in ('likely','strong evidence')) t(a,b,c,d) select_only union all select run_id, 5, 'background_cpu' from background where rank<=3 group by run_id having sum(cpu_pct_avg)>10 union all select run_id, 6, 'churn' from churn where total_process_starts>200) group by 1,2,3".replace("select * from (select distinct run_id, 3, concat('leak_', replace(kind,'_leak_candidate','')), process_name from leaks where confidence in ('likely','strong evidence')) t(a,b,c,d) select_only", "select a, b, c from (select distinct run_id, 3, concat('leak_', replace(kind,'_leak_candidate','')), process_name from leaks where confidence in ('likely','strong evidence')) t(a,b,c,d)"))
 add("score_class", lambda i: i.scores.select("run_id", sc.score_class("overall").alias("overall_class"), sc.score_class("network").alias("network_class"), sc.score_class("hygiene").alias("hygiene_class")),
     "select run_id, " + ", ".join(f"case when {c}>=80 then 'good' when {c}>=60 then 'med' else 'bad' end {c}_class" for c in ("overall", "network", "hygiene")) + " from scores")
@@ -374,11 +384,11 @@ add("comparison_rankings", lambda i: i.rankings, "select * from rankings")
 _DELTA = (("overall", 5), ("cpu_avg", 3), ("mem_avg", 3), ("disk_avg", 3), ("latency_p95_ms", 20), ("anomalies", 3), ("slowdowns", 3))
 add("pairwise_observations", lambda i: cm.pairwise_observations(i.matrix),
     " union all ".join(f"select a.run_id run_a, b.run_id run_b, '{m}' metric, a.{m}::double value_a, b.{m}::double value_b, round_even(a.{m}-b.{m},1)::double delta from matrix a join matrix b on a.run_id<b.run_id where abs(round_even(a.{m}-b.{m},1))>={t}" for m, t in _DELTA))
-add("common_and_unique_problems", lambda i: cm.common_and_unique_problems(i.runs, i.anomalies, i.slowdowns),
+add("common_and_unique_problems", lambda i: cm.common_and_unique_problems(i.runs, i.kept("anomalies"), i.kept("slowdowns")),
     "select 'common' as scope, null::varchar run_id, problem from kinds group by 3 having count(*)=(select count(*) from v_runs) union all select 'unique', max(run_id), problem from kinds group by 3 having count(*)=1")
 add("comparison_winners", lambda i: cm.comparison_winners(i.rankings),
     "select " + ", ".join(f"max(run_id) filter (where ranking='{r}') {n}" for r, n in cm.WINNERS.items()) + " from rankings where rank=1")
-add("run_summary", lambda i: cm.run_summary(i.runs, i.verdicts, i.scores, i.bottlenecks).withColumn("secondary", F.array_join("secondary", ";")).drop("verdict"),
+add("run_summary", lambda i: cm.run_summary(i.runs, i.verdicts, i.kept("scores"), i.kept("bottlenecks")).withColumn("secondary", F.array_join("secondary", ";")).drop("verdict"),
     "select r.*, s.overall, s.confidence, b.\"primary\", b.secondary from v_runs r join scores s using (run_id) join bottleneck b using (run_id)")
 
 # --- chart tables ----------------------------------------------------------------------------

@@ -66,7 +66,7 @@ _MB = "(1024*1024)"
 
 def _title(key: str) -> str:
     base = f"regexp_replace({key}, '\\.exe$', '')"
-    return f"array_to_string(list_transform(regexp_extract_all({base},'[a-z]+|[^a-z]+'), x -> upper(x[1]) || x[2:]),'')"
+    return f"array_to_string(list_transform(regexp_extract_all({base},'[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]),'')"
 
 
 def _display(key: str) -> str:
@@ -178,6 +178,9 @@ STEPS |= {
     # latency
     "targets": "select *, row_number() over (partition by run_id order by loss_rate_pct desc, round_even(coalesce(rtt_avg_ms,0),2) desc, target) rank from (select run_id, target, coalesce(arg_min(hostname_resolved,row_ord) filter (where hostname_resolved<>''),'') hostname_resolved, count(*) samples, count(*) filter (where loss_pct>=100) fully_lost_samples, round_even(100*count(*) filter (where loss_pct>=100)/count(*),1) loss_rate_pct, avg(avg_ms) rtt_avg_ms, quantile_cont(avg_ms,0.95) rtt_p95_ms, max(max_ms) rtt_max_ms, avg(jitter_ms) jitter_avg_ms, avg(loss_pct) avg_loss_pct, avg(resolve_ms) resolve_avg_ms, quantile_cont(resolve_ms,0.95) resolve_p95_ms, max(resolve_ms) resolve_max_ms, count(*) filter (where resolve_ms is null) resolve_fail_samples, round_even(100*count(*) filter (where resolve_ms is null)/count(*),1) resolve_fail_rate_pct from v_lat group by 1,2)",
     # gpu
+    "svc_ord": "select run_id, snapshot_ord, lag(snapshot_ord) over (partition by run_id order by snapshot_ord) prev_ord from (select distinct run_id, snapshot_ord from v_svc)",
+    "svc_now": "select v.*, prev_ord from v_svc v join svc_ord using (run_id, snapshot_ord) where prev_ord is not null",
+    "svc_before": "select v.run_id, o.snapshot_ord, v.name, v.status, v.pid from v_svc v join svc_ord o on v.run_id=o.run_id and v.snapshot_ord=o.prev_ord",
     "gpu_eng": "select run_id, snapshot, engine_type, luid, round_even(max(v),2) utilization_pct from (select *, case when et='' then '?' else et end engine_type, case when lu='' then '?' else lu end luid, greatest(0,least(100,value)) v from (select *, regexp_extract(instance,'engtype_([A-Za-z0-9]+)',1,'i') et, regexp_extract(instance,'luid_(0x[0-9A-Fa-f]+_0x[0-9A-Fa-f]+)',1,'i') lu from v_gpu)) where v>0 group by 1,2,3,4",
     "gpu_stats": "select run_id, engine_type, luid, round_even(avg(utilization_pct),2) avg_pct, round_even(max(utilization_pct),2) peak_pct, count(*) samples from gpu_eng group by 1,2,3",
     "gpu_raw": "select *, cast(regexp_extract(instance,'pid_(\\d+)',1) as bigint) pid, value*1048576 ded, value*1e5 shr from v_gpu",
