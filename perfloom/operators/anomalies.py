@@ -9,24 +9,43 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import parse_semicolon_list, text_or_unknown, zero_if_null
 from ..thresholds import Thresholds
-from .series import indexed, merge_windows, percentile_linear, rows_in_windows, sustained_windows
+from .series import indexed, islands, merge_windows, percentile_linear, rows_in_windows
 
 SPAN_COLUMNS = ["run_id", "kind", "severity", "start_idx", "end_idx", "start_rel", "end_rel", "samples", "peak_pct", "avg_pct"]
 
 
-def _load_spans(system: DataFrame, col: str, th, pct: str, samples: str, gap: str) -> DataFrame:
-    """Sustained windows of one load column, merged, with peak and mean over the whole span."""
-    rows = indexed(system).select("run_id", "idx", "rel_seconds", zero_if_null(col).alias("v"))
-    limited = th.attach(rows, pct)
-    found = sustained_windows(limited, "v", F.col(f"th_{pct}"), 1)
-    found = th.attach(found, samples).filter(
-        F.col("end_idx") - F.col("start_idx") + 1 >= F.col(f"th_{samples}")
-    )
-    found = th.attach(found, gap)
-    merged = merge_windows(found, F.col(f"th_{gap}"))
-    return (
-        rows_in_windows(rows, merged)
-        .groupBy("run_id", "start_idx", "end_idx")
+# kind -> (column, limit, shortest length, bridged gap, sentence)
+LOADS = {
+    "cpu_sustained_high": ("cpu_total_pct", "cpu_sustained_pct", "cpu_sustained_seconds", "cpu_merge_gap", "CPU stayed"),
+    "memory_pressure": ("mem_percent", "mem_used_pct_high", "mem_sustained_samples", "mem_merge_gap", "Memory usage held"),
+    "disk_active_high": ("disk_active_pct_est", "disk_active_pct", "disk_active_seconds", "disk_merge_gap", "Disk active time held"),
+}
+
+
+def load_anomalies(system: DataFrame, th=Thresholds(), kinds=tuple(LOADS)) -> DataFrame:
+    """Sustained windows of load columns, merged, with peak and mean over the whole span.
+
+    All kinds go through one pass: the series are keyed by (run, kind).
+    """
+    keys = ("run_id", "kind")
+
+    def limit(position: int) -> Column:
+        chosen = F.lit(None)
+        for k in kinds:
+            chosen = F.when(F.col("kind") == k, F.col(f"th_{LOADS[k][position]}")).otherwise(chosen)
+        return chosen
+
+    names = lambda position: [LOADS[k][position] for k in kinds]
+    values = F.array(*[F.struct(F.lit(k).alias("kind"), zero_if_null(LOADS[k][0]).alias("v")) for k in kinds])
+    rows = indexed(system).select("run_id", "idx", "rel_seconds", F.explode(values).alias("e"))
+    rows = rows.select("run_id", "e.kind", "idx", "rel_seconds", "e.v")
+    over = th.attach(rows, *names(1)).filter(F.col("v") >= limit(1)).select(*keys, "idx")
+    found = th.attach(islands(over, F.lit(True), keys), *names(2), *names(3))
+    found = found.filter(F.col("end_idx") - F.col("start_idx") + 1 >= limit(2))
+    merged = merge_windows(found, limit(3), keys)
+    d = (
+        rows_in_windows(rows, merged, keys)
+        .groupBy(*keys, "start_idx", "end_idx")
         .agg(
             F.min("rel_seconds").alias("start_rel"),
             F.max("rel_seconds").alias("end_rel"),
@@ -35,25 +54,27 @@ def _load_spans(system: DataFrame, col: str, th, pct: str, samples: str, gap: st
             F.avg("v").alias("avg_pct"),
         )
     )
+    d = th.attach(d, *names(1), "mem_used_pct_critical", "disk_peak_high")
+    memory = F.when(F.col("peak_pct") >= F.col("th_mem_used_pct_critical"), "high").otherwise("medium")
+    disk = F.when(F.col("peak_pct") > F.col("th_disk_peak_high"), "high").otherwise("medium")
+    severity = F.when(F.col("kind") == "memory_pressure", memory).when(F.col("kind") == "disk_active_high", disk).otherwise("high")
+    subject = F.lit(None).cast("string")
+    for k in kinds:
+        subject = F.when(F.col("kind") == k, LOADS[k][4]).otherwise(subject)
+    text = F.format_string("%s above %.0f%% for %ds (peak %.1f%%).", subject, limit(1).cast("double"), F.col("samples"), F.col("peak_pct"))
+    return d.withColumns({"severity": severity, "description": text}).select(*SPAN_COLUMNS, "description")
 
 
-def _span_text(subject: str, limit: Column, tail: str = "") -> Column:
-    return F.format_string(
-        f"{subject} above %.0f%% for %ds (peak %.1f%%).{tail}",
-        limit.cast("double"), F.col("samples"), F.col("peak_pct"),
-    )
+def cpu_sustained_high(system: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    return load_anomalies(system, th, ("cpu_sustained_high",))
 
 
-def cpu_sustained_high(system: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    d = _load_spans(system, "cpu_total_pct", th, "cpu_sustained_pct", "cpu_sustained_seconds", "cpu_merge_gap")
-    d = th.attach(d, "cpu_sustained_pct")
-    return d.withColumns(
-        {
-            "kind": F.lit("cpu_sustained_high"),
-            "severity": F.lit("high"),
-            "description": _span_text("CPU stayed", F.col("th_cpu_sustained_pct")),
-        }
-    ).select(*SPAN_COLUMNS, "description")
+def memory_pressure(system: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    return load_anomalies(system, th, ("memory_pressure",))
+
+
+def disk_active_high(system: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    return load_anomalies(system, th, ("disk_active_high",))
 
 
 def cpu_single_core_saturation(system: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
@@ -63,10 +84,8 @@ def cpu_single_core_saturation(system: DataFrame, th: Thresholds = Thresholds())
         cores = parse_semicolon_list(cores)
     rows = indexed(system).select("run_id", "idx", "rel_seconds", cores.alias("cores"))
     keys = ("run_id", "core")
-    per_core = th.attach(
-        rows.select("run_id", "idx", F.posexplode("cores").alias("core", "v")), "cpu_single_core_pct"
-    )
-    found = sustained_windows(per_core, "v", F.col("th_cpu_single_core_pct"), 1, keys)
+    per_core = th.attach(rows.select("run_id", "idx", F.posexplode("cores").alias("core", "v")), "cpu_single_core_pct")
+    found = islands(per_core, F.col("v") >= F.col("th_cpu_single_core_pct"), keys)
     found = th.attach(found, "cpu_single_core_seconds", "core_merge_gap").filter(
         F.col("end_idx") - F.col("start_idx") + 1 >= F.col("th_cpu_single_core_seconds")
     )
@@ -106,19 +125,6 @@ def cpu_single_core_saturation(system: DataFrame, th: Thresholds = Thresholds())
     )
 
 
-def memory_pressure(system: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    d = _load_spans(system, "mem_percent", th, "mem_used_pct_high", "mem_sustained_samples", "mem_merge_gap")
-    d = th.attach(d, "mem_used_pct_high", "mem_used_pct_critical")
-    critical = F.col("peak_pct") >= F.col("th_mem_used_pct_critical")
-    return d.withColumns(
-        {
-            "kind": F.lit("memory_pressure"),
-            "severity": F.when(critical, "high").otherwise("medium"),
-            "description": _span_text("Memory usage held", F.col("th_mem_used_pct_high")),
-        }
-    ).select(*SPAN_COLUMNS, "description")
-
-
 def swap_usage(system: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     v = zero_if_null("swap_percent")
     d = system.groupBy("run_id").agg(F.max(v).alias("peak_pct"), F.avg(v).alias("avg_pct"))
@@ -133,18 +139,6 @@ def swap_usage(system: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     )
 
 
-def disk_active_high(system: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    d = _load_spans(system, "disk_active_pct_est", th, "disk_active_pct", "disk_active_seconds", "disk_merge_gap")
-    d = th.attach(d, "disk_active_pct", "disk_peak_high")
-    return d.withColumns(
-        {
-            "kind": F.lit("disk_active_high"),
-            "severity": F.when(F.col("peak_pct") > F.col("th_disk_peak_high"), "high").otherwise("medium"),
-            "description": _span_text("Disk active time held", F.col("th_disk_active_pct")),
-        }
-    ).select(*SPAN_COLUMNS, "description")
-
-
 def _target_latency(latency: DataFrame) -> DataFrame:
     d = latency.withColumn("target", text_or_unknown("target"))
     return d.groupBy("run_id", "target").agg(
@@ -193,11 +187,9 @@ def detect_anomalies(system: DataFrame, latency: DataFrame, th: Thresholds = Thr
     """All anomaly kinds under one schema."""
     rows = indexed(system)
     found = [
-        cpu_sustained_high(rows, th),
+        load_anomalies(rows, th),
         cpu_single_core_saturation(rows, th),
-        memory_pressure(rows, th),
         swap_usage(rows, th),
-        disk_active_high(rows, th),
         network_unreachable(latency, th),
         network_latency_spike(latency, th),
     ]

@@ -17,6 +17,9 @@ GRID = 400
 
 
 def _sized(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with ``_n``, the row count of its series."""
+    if "_n" in df.columns:
+        return df
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return df.join(sizes, [*keys])
 
@@ -53,7 +56,7 @@ def top_apps_stack(process: DataFrame, k: int = 6) -> DataFrame:
     )
     # Idle time only hides an application, its ticks still count for the time axis.
     axis = process.filter("rel_seconds is not null").select("run_id", "rel_seconds").distinct()
-    axis = _sized(dense_index(axis, ("run_id",), ("rel_seconds",)), ("run_id",))
+    axis = dense_index(axis, ("run_id",), ("rel_seconds",), size="_n")
     every = F.when(F.col("_n") > GRID, F.floor(F.col("_n") / GRID) + 1).otherwise(F.lit(1))
     axis = axis.filter(F.col("idx") % every == 0).select("run_id", "rel_seconds")
 
@@ -85,7 +88,7 @@ def top_process_series(process: DataFrame, k: int = 6, target: int = 300) -> Dat
     sums = d.groupBy("run_id", "pid").agg(F.sum("cpu_pct").alias("total"), F.max_by("name", "row_ord").alias("name"))
     top = top_k(sums, ["run_id"], [F.desc("total"), F.asc("pid")], k)
     mine = d.drop("name").join(top.select("run_id", "pid"), ["run_id", "pid"], "left_semi")
-    rows = dense_index(mine, ("run_id", "pid"), ("rel_seconds", "row_ord", "cpu_pct"))
+    rows = dense_index(mine, ("run_id", "pid"), ("rel_seconds", "row_ord", "cpu_pct"), size="_n")
     thin = downsample_max(rows, "rel_seconds", ["cpu_pct"], target, ("run_id", "pid"))
     return thin.join(top.select("run_id", "pid", "rank", "name"), ["run_id", "pid"])
 

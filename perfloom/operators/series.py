@@ -19,20 +19,28 @@ from ..functions.session import checkpointed
 
 CHUNK = 1 << 16
 SPAN_BIN = 64
+BROADCAST_ROWS = 200_000
 RUN = ("run_id",)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Mark a materialised table for broadcast if its counted size allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def dense_index(
     df: DataFrame,
     keys: Sequence[str] = RUN,
     order: Sequence[str] = ("rel_seconds", "row_ord"),
     name: str = "idx",
+    size: str | None = None,
 ) -> DataFrame:
-    """Add a 0-based position of each row among the rows of its key.
+    """Add a 0-based position of each row among the rows of its key (and the key's row count).
 
     One range sort spreads the rows evenly whatever the key sizes are. The sorted layout is
     checkpointed, because range borders are sampled and may differ when a lost task is
-    recomputed. The per-(key, partition) counts are one row per key plus one per partition.
+    recomputed. The per-(key, partition) offsets are one row per key plus one per partition;
+    they are broadcast only when counting shows them to be few.
     """
     placed = (
         df.repartitionByRange(*keys, *order)
@@ -46,14 +54,14 @@ def dense_index(
     pieces = placed.groupBy(*keys, "_part").agg(
         F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    before = F.sum("_n").over(
-        W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    )
+    w = W.partitionBy(*keys)
+    before = F.sum("_n").over(w.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     shift = pieces.select(
-        *keys, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")
+        *keys, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"),
+        *([F.sum("_n").over(w).alias(size)] if size else []),
     )
     return (
-        placed.join(shift, [*keys, "_part"])
+        placed.join(small(checkpointed(shift)), [*keys, "_part"])
         .withColumn(name, F.col("_pos") + F.col("_shift"))
         .drop("_part", "_pos", "_shift")
     )
@@ -279,19 +287,34 @@ def moving_average(df: DataFrame, col: str, window: int, keys: Sequence[str] = R
 
 
 def grouped_moving_average(
-    df: DataFrame, col: str, window_col: str, keys: Sequence[str] = RUN, name: str = "smooth"
+    df: DataFrame, col: str, window_col: str, size_col: str, keys: Sequence[str] = RUN,
+    name: str = "smooth", previous: str = "prev_smooth",
 ) -> DataFrame:
-    """Trailing mean whose length differs per key: difference of two running totals."""
+    """Trailing mean whose length differs per key, and the one of the row before.
+
+    The mean is the difference of two running totals. A row sends its total to its own position
+    and to the position one window later (where it is subtracted), with the usual copies for
+    the next chunk, so one shuffle serves the difference and the look back.
+    """
     totals = prefix_sums(df, {"_sum": F.col(col)}, keys)
-    older = totals.select(
-        *keys, (F.col("idx") + F.col(window_col)).alias("idx"), F.col("_sum").alias("_older")
-    )
-    size = F.least(F.col("idx") + 1, F.col(window_col))
-    return (
-        totals.join(older, [*keys, "idx"], "left")
-        .withColumn(name, (F.col("_sum") - F.coalesce("_older", F.lit(0))) / size)
-        .drop("_sum", "_older")
+    later = F.col("idx") + F.col(window_col)
+    send = F.array(
+        F.struct(F.col("idx").alias("_to"), F.lit(1).alias("_own")),
+        F.when(later < F.col(size_col), F.struct(later.alias("_to"), F.lit(0).alias("_own"))),
     )
+    sent = totals.withColumn("_s", F.explode(F.array_compact(send))).select("*", "_s._to", "_s._own").drop("_s")
+    home = chunk_of("_to")
+    next_too = F.when(F.col("_to") % CHUNK == CHUNK - 1, home + 1)
+    sent = sent.withColumn("_chunk", F.explode(F.array_compact(F.array(home, next_too))))
+    by = W.partitionBy(*keys, "_chunk")
+    w = by.orderBy("_to", "_own")
+    paired = sent.withColumn(
+        "_older", F.when(F.lag("_to").over(w) == F.col("_to"), F.lag("_sum").over(w)).otherwise(F.lit(0))
+    ).filter(F.col("_own") == 1)
+    length = F.least(F.col("idx") + 1, F.col(window_col))
+    smooth = paired.withColumn(name, (F.col("_sum") - F.col("_older")) / length)
+    smooth = smooth.withColumn(previous, F.lag(name).over(by.orderBy("_to")))
+    return smooth.filter(F.col("_chunk") == home).drop("_sum", "_older", "_to", "_own", "_chunk")
 
 
 def r2(y: str, x: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import text_or_unknown
 from ..thresholds import Thresholds
-from .series import dense_index, grouped_moving_average, r2, top_k, with_neighbours
+from .series import dense_index, grouped_moving_average, r2, top_k
 
 METRICS = ("rss_bytes", "num_handles", "num_threads")
 KEYS = ("run_id", "pid", "metric")
@@ -18,53 +18,44 @@ PLATEAU_TOLERANCE = 0.02
 
 
 def smoothed_series(process: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """Long series (run, pid, metric, idx) with the trailing mean over max(5, n // 20) points."""
+    """Long series (run, pid, metric, idx) with the trailing mean over max(5, n // 20) points.
+
+    ``end_val`` is the last smoothed value of the series, taken as the mean of its last points.
+    """
     base = process.select("run_id", "pid", "rel_seconds", "row_ord", text_or_unknown("name").alias("name"),
                           *[F.col(m).cast("bigint").alias(m) for m in metrics])
     long = base.unpivot(["run_id", "pid", "rel_seconds", "row_ord", "name"], list(metrics), "metric", "value")
     long = long.filter(F.col("pid").isNotNull() & F.col("rel_seconds").isNotNull() & F.col("value").isNotNull())
-    points = dense_index(long, KEYS)
-    sizes = points.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_POINTS)
-    points = points.join(sizes, [*KEYS]).withColumn(
-        "w", F.greatest(F.lit(5), F.floor(F.col("n") / 20)).cast("bigint")
+    points = dense_index(long, KEYS, size="n").filter(F.col("n") >= MIN_POINTS)
+    points = points.withColumn("w", F.greatest(F.lit(5), F.floor(F.col("n") / 20)).cast("bigint"))
+    ends = points.filter(F.col("idx") >= F.col("n") - F.col("w")).groupBy(*KEYS).agg(
+        (F.sum("value") / F.count(F.lit(1))).alias("end_val")
     )
-    return grouped_moving_average(points, "value", "w", KEYS)
+    return grouped_moving_average(points, "value", "w", "n", KEYS).join(ends, [*KEYS])
 
 
 def trend_stats(process: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Slope, fit, monotonicity, plateau, ends and peak of each smoothed series."""
     s = smoothed_series(process, metrics)
-    paired = with_neighbours(s, {"_prev": lambda w: F.lag("smooth").over(w)}, KEYS)
-    rises = F.avg(F.when(F.col("_prev").isNotNull(), (F.col("smooth") >= F.col("_prev")).cast("double")))
-    stats = paired.groupBy(*KEYS, "n").agg(
+    rises = F.avg(F.when(F.col("idx") > 0, (F.col("smooth") >= F.col("prev_smooth")).cast("double")))
+    outside = F.abs(F.col("smooth") - F.col("end_val")) > F.abs(F.col("end_val")) * PLATEAU_TOLERANCE
+    stats = s.groupBy(*KEYS, "n", "end_val").agg(
         F.regr_slope("smooth", "rel_seconds").alias("slope"),
         r2("smooth", "rel_seconds").alias("r2"),
         rises.alias("mono"),
         F.min_by("smooth", "idx").alias("start_val"),
-        F.max_by("smooth", "idx").alias("end_val"),
         F.max("smooth").alias("peak_val"),
         (F.max("rel_seconds") - F.min("rel_seconds")).alias("_span"),
         F.max_by("name", "idx").alias("process_name"),
+        F.max(F.when(outside, F.col("idx"))).alias("_out"),
     ).filter("slope is not null")
-    outside = F.abs(F.col("smooth") - F.col("end_val")) > F.abs(F.col("end_val")) * PLATEAU_TOLERANCE
-    last_out = (
-        s.select(*KEYS, "idx", "smooth")
-        .join(stats.select(*KEYS, "end_val"), [*KEYS])
-        .filter(outside)
-        .groupBy(*KEYS)
-        .agg(F.max("idx").alias("_out"))
-    )
     share = (F.col("n") - 1 - F.coalesce("_out", F.lit(-1))) / F.col("n")
-    return (
-        stats.join(last_out, [*KEYS], "left")
-        .withColumns(
-            {
-                "plateau": F.when(F.col("end_val") > 0, share).otherwise(0.0),
-                "duration": F.when(F.col("_span") > 0, F.col("_span")).otherwise(1.0),
-            }
-        )
-        .drop("_span", "_out")
-    )
+    return stats.withColumns(
+        {
+            "plateau": F.when(F.col("end_val") > 0, share).otherwise(0.0),
+            "duration": F.when(F.col("_span") > 0, F.col("_span")).otherwise(1.0),
+        }
+    ).drop("_span", "_out")
 
 
 def grade_confidence(slope: Column, unit: Column, growth_ratio: Column) -> Column:
