@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +25,11 @@ from ..operators import scores as sc
 from ..operators import slowdowns as sl
 from ..operators import trends as tr
 from ..operators.series import (
-    clip, dense_index, islands, merge_windows, monotonic_ratio, moving_average,
+    clip, dense_index, merge_windows, monotonic_ratio, moving_average,
     percentile_linear, plateau_fraction, r2, sustained_windows,
 )
-from ..functions.session import checkpointed
 from ..thresholds import Thresholds
+from .analysis import Analysis
 from .oracles import query_sql
 from .views import Views
 
@@ -49,70 +49,25 @@ GPU = Thresholds(gpu_engine_medium_pct=53.0, gpu_engine_high_pct=54.5)
 
 
 class Inputs(Views):
-    """Views plus the findings that several queries build on."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        super().__init__(spark, folder)
-        self._kept: dict[str, DataFrame] = {}
-
-    def kept(self, name: str) -> DataFrame:
-        """A finding written once (it is small) for the queries that read it several times."""
-        if name not in self._kept:
-            self._kept[name] = checkpointed(getattr(self, name))
-        return self._kept[name]
+    """The views, the findings over them, and a few inputs that several queries share."""
 
     @cached_property
-    def isys(self) -> DataFrame:
-        return dense_index(self.sys)
+    def analysis(self) -> Analysis:
+        own = {"anomaly": ANOMALY, "slowdown": SLOWDOWN, "leak": LEAK, "gpu": GPU}
+        return Analysis(Tables(self), **own)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        try:
+            return super().__getattr__(name)
+        except AttributeError:
+            if name.startswith("_"):
+                raise
+            return getattr(self.analysis, name)
 
     @cached_property
     def igrow(self) -> DataFrame:
         return dense_index(self.grow, ("run_id", "pid"))
 
-    @cached_property
-    def anomalies(self) -> DataFrame:
-        return an.detect_anomalies(self.isys, self.lat, ANOMALY)
-
-    @cached_property
-    def windows(self) -> DataFrame:
-        return sl.slowdown_windows(self.isys, SLOWDOWN)
-
-    @cached_property
-    def hits(self) -> DataFrame:
-        return sl.slowdown_latency_hits(self.kept("windows"), self.lat, SLOWDOWN)
-
-    @cached_property
-    def slowdowns(self) -> DataFrame:
-        return sl.slowdown_confidence(self.kept("windows"), self.hits, SLOWDOWN)
-
-    @cached_property
-    def suspects(self) -> DataFrame:
-        return sl.slowdown_offenders(self.kept("windows"), self.proc)
-
-    @cached_property
-    def trends(self) -> DataFrame:
-        return tr.trend_stats(self.grow)
-
-    @cached_property
-    def leaks(self) -> DataFrame:
-        return tr.detect_leaks(self.grow, LEAK, self.kept("trends"))
-
-    @cached_property
-    def pids(self) -> DataFrame:
-        return of.per_pid_aggregates(self.proc)
-
-    @cached_property
-    def offenders(self) -> DataFrame:
-        return of.rank_offenders(self.kept("pids"))
-
-    @cached_property
-    def security(self) -> DataFrame:
-        return of.security_offenders(self.kept("pids"))
-
-    @cached_property
-    def background(self) -> DataFrame:
-        return of.background_offenders(self.kept("pids"))
-
     @cached_property
     def events_diff(self) -> DataFrame:
         return de.process_snapshot_diff(self.snap)
@@ -128,39 +83,25 @@ class Inputs(Views):
         )
         return de.gpu_process_memory_rollup(counter("value*1048576", 3), counter("value*1e5D", 4))
 
-    @cached_property
-    def gpu_pids(self) -> DataFrame:
-        return gp.gpu_process_memory(self.gpu_memory, gp.first_process_names(self.proc))
 
-    @cached_property
-    def correlated(self) -> DataFrame:
-        return ev.correlate_events(self.evt, self.kept("slowdowns"), SLOWDOWN)
+class Tables(dict):
+    """Analysis tables by name, made from the views on first use."""
 
-    @cached_property
-    def bottleneck_points(self) -> DataFrame:
-        return sc.bottleneck_scores(self.sys, self.kept("anomalies"), self.lat, self.kept("slowdowns"), self.kept("suspects"))
-
-    @cached_property
-    def bottlenecks(self) -> DataFrame:
-        return sc.classify_bottleneck(self.bottleneck_points)
-
-    @cached_property
-    def scores(self) -> DataFrame:
-        return sc.run_scores(self.runs, self.sys, self.lat, self.kept("anomalies"), self.kept("slowdowns"), self.kept("leaks"),
-                             self.offenders, self.security, self.background)
+    NAMES = {
+        "runs": "runs", "system": "sys", "process": "proc", "trend_process": "grow", "latency": "lat",
+        "connections": "conn", "process_events": "events_diff", "gpu_engine": "engines",
+        "gpu_process": "gpu_memory", "gpu_adapter": "gad", "event_log": "evt", "disk_io_events": "io",
+    }
 
-    @cached_property
-    def verdicts(self) -> DataFrame:
-        return sc.run_verdict(self.kept("scores"), self.kept("bottlenecks"), self.kept("anomalies"), self.kept("slowdowns"), self.kept("leaks"))
+    def __init__(self, inputs: Inputs):
+        super().__init__(dict.fromkeys(self.NAMES))
+        self.inputs = inputs
 
-    @cached_property
-    def matrix(self) -> DataFrame:
-        return cm.comparison_matrix(self.runs, self.kept("scores"), self.kept("bottlenecks"), self.sys, self.lat, self.kept("anomalies"),
-                                    self.kept("slowdowns"), self.kept("leaks"), of.process_churn(self.events_diff))
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self.inputs, self.NAMES[name])
 
-    @cached_property
-    def rankings(self) -> DataFrame:
-        return cm.comparison_rankings(self.matrix)
+    def get(self, name: str, default=None):
+        return self[name] if name in self.NAMES else default
 
 
 @dataclass(frozen=True)
@@ -221,21 +162,21 @@ add("series_summary",
     "select run_id, avg(cpu_total_pct) mean, max(cpu_total_pct) peak, stddev_pop(cpu_total_pct) pstdev, greatest(0,least(100,sum(cpu_total_pct))) clipped_high, greatest(0,least(100,-sum(cpu_total_pct)))::double clipped_low from v_sys group by 1", mean=6, pstdev=6)
 _SE = ("start_idx", "end_idx")
 add("sustained_windows",
-    lambda i: sustained_windows(i.isys, "cpu_total_pct", 20.0, 5).select("run_id", *_SE),
+    lambda i: sustained_windows(i.indexed_system, "cpu_total_pct", 20.0, 5).select("run_id", *_SE),
     "select run_id, s start_idx, e end_idx from cpu_ok")
 add("merge_windows",
-    lambda i: merge_windows(sustained_windows(i.isys, "cpu_total_pct", 20.0, 5), 3).select("run_id", *_SE),
+    lambda i: merge_windows(sustained_windows(i.indexed_system, "cpu_total_pct", 20.0, 5), 3).select("run_id", *_SE),
     "select run_id, s start_idx, e end_idx from cpu_merged")
 
 # --- anomalies -------------------------------------------------------------------------------
 _SPAN = "run_id, kind, severity, start_idx, end_idx, start_rel, end_rel, samples, peak_pct"
 _no_text = lambda df: df.drop("description")
-add("cpu_sustained_high", lambda i: _no_text(an.cpu_sustained_high(i.isys, ANOMALY)), f"select {_SPAN}, avg_pct from a1", avg_pct=6)
-add("cpu_single_core_saturation", lambda i: _no_text(an.cpu_single_core_saturation(i.isys, ANOMALY)),
+add("cpu_sustained_high", lambda i: _no_text(an.cpu_sustained_high(i.indexed_system, ANOMALY)), f"select {_SPAN}, avg_pct from a1", avg_pct=6)
+add("cpu_single_core_saturation", lambda i: _no_text(an.cpu_single_core_saturation(i.indexed_system, ANOMALY)),
     f"select {_SPAN}, core, other_cores_avg_pct from a2", other_cores_avg_pct=6)
-add("memory_pressure", lambda i: _no_text(an.memory_pressure(i.isys, ANOMALY)), f"select {_SPAN}, avg_pct from a3", avg_pct=6)
+add("memory_pressure", lambda i: _no_text(an.memory_pressure(i.indexed_system, ANOMALY)), f"select {_SPAN}, avg_pct from a3", avg_pct=6)
 add("swap_usage", lambda i: _no_text(an.swap_usage(i.sys, ANOMALY)), "select * from a4", avg_pct=6)
-add("disk_active_high", lambda i: _no_text(an.disk_active_high(i.isys, ANOMALY)), f"select {_SPAN}, avg_pct from a5", peak_pct=6, avg_pct=6)
+add("disk_active_high", lambda i: _no_text(an.disk_active_high(i.indexed_system, ANOMALY)), f"select {_SPAN}, avg_pct from a5", peak_pct=6, avg_pct=6)
 add("network_unreachable", lambda i: _no_text(an.network_unreachable(i.lat, ANOMALY)), "select * from a6", loss_pct=6)
 add("network_latency_spike", lambda i: _no_text(an.network_latency_spike(i.lat, ANOMALY)), "select * from a7", avg_ms=6, p95_ms=8, peak_ms=6, loss_pct=6)
 add("detect_anomalies",
@@ -276,7 +217,7 @@ add("per_pid_aggregates", lambda i: i.pids, "select * from pids", **_PIDS)
 add("rank_offenders", lambda i: i.offenders, "select * from offenders")
 add("security_offenders", lambda i: i.security, "select * from security")
 add("background_offenders", lambda i: i.background, "select * from background")
-add("process_churn", lambda i: of.process_churn(i.events_diff), "select * from churn")
+add("process_churn", lambda i: i.churn, "select * from churn")
 add("top_spawners", lambda i: of.top_spawners(i.events_diff),
     "select * from (select run_id, name, starts, row_number() over (partition by run_id order by starts desc, name) rank from (select run_id, name, count(*) starts from proc_events where event='process_started' group by 1,2)) where rank<=10")
 add("display_name",
@@ -373,7 +314,7 @@ add("hygiene_score", lambda i: sc.hygiene_score(i.runs, i.kept("leaks"), i.offen
 add("run_scores", lambda i: i.scores, "select * from scores")
 add("run_verdict", lambda i: i.verdicts.drop("verdict"), "select * from verdict")
 add("recommendations",
-    lambda i: sc.recommendations(i.bottlenecks, i.security, i.background, i.kept("leaks"), of.process_churn(i.events_diff)).groupBy("run_id", "ord", "rule").agg(F.count(F.lit(1)).alias("n")),
+    lambda i: sc.recommendations(i.bottlenecks, i.security, i.background, i.kept("leaks"), i.churn).groupBy("run_id", "ord", "rule").agg(F.count(F.lit(1)).alias("n")),
     "select run_id, ord, rule, count(*) n from (select run_id, 1 ord, concat('primary_',\"primary\") rule from bottleneck where \"primary\" in ('cpu','memory','disk','network','security') union all select run_id, 2, 'security_cpu' from security where rank<=3 group by run_id having sum(cpu_pct_avg)>15 union all select * from (select distinct run_id, 3, concat('leak_', replace(kind,'_leak_candidate','')), process_name from leaks where confidence in ('likely','strong evidence')) t(a,b,c,d) select_only union all select run_id, 5, 'background_cpu' from background where rank<=3 group by run_id having sum(cpu_pct_avg)>10 union all select run_id, 6, 'churn' from churn where total_process_starts>200) group by 1,2,3".replace("select * from (select distinct run_id, 3, concat('leak_', replace(kind,'_leak_candidate','')), process_name from leaks where confidence in ('likely','strong evidence')) t(a,b,c,d) select_only", "select a, b, c from (select distinct run_id, 3, concat('leak_', replace(kind,'_leak_candidate','')), process_name from leaks where confidence in ('likely','strong evidence')) t(a,b,c,d)"))
 add("score_class", lambda i: i.scores.select("run_id", sc.score_class("overall").alias("overall_class"), sc.score_class("network").alias("network_class"), sc.score_class("hygiene").alias("hygiene_class")),
     "select run_id, " + ", ".join(f"case when {c}>=80 then 'good' when {c}>=60 then 'med' else 'bad' end {c}_class" for c in ("overall", "network", "hygiene")) + " from scores")
@@ -392,15 +333,15 @@ add("run_summary", lambda i: cm.run_summary(i.runs, i.verdicts, i.kept("scores")
     "select r.*, s.overall, s.confidence, b.\"primary\", b.secondary from v_runs r join scores s using (run_id) join bottleneck b using (run_id)")
 
 # --- chart tables ----------------------------------------------------------------------------
-add("downsample_max", lambda i: ch.downsample_max(i.isys, "rel_seconds", ["cpu_total_pct"], 100),
+add("downsample_max", lambda i: ch.downsample_max(i.indexed_system, "rel_seconds", ["cpu_total_pct"], 100),
     "select run_id, cast(case when n<=100 then idx else ceil((idx+1)/(n/100))-1 end as bigint) bucket, min(rel_seconds) rel_seconds, max(cpu_total_pct) cpu_total_pct from (select *, count(*) over (partition by run_id) n from ix_sys) group by 1,2")
-add("core_heatmap", lambda i: ch.core_heatmap(i.isys),
+add("core_heatmap", lambda i: ch.core_heatmap(i.indexed_system),
     "select run_id, core, cast(floor(idx/(case when n>400 then n//400+1 else 1 end)) as bigint) slot, max(coalesce(v,0)) as value from (select *, count(*) over (partition by run_id, core) n from core_rows) group by 1,2,3")
 add("top_apps_stack", lambda i: ch.top_apps_stack(i.proc),
     "select s.run_id, s.metric, s.series, a.rel_seconds, coalesce(v.value,0)::double as value from grid_axis a join grid_series s using (run_id) left join (select run_id, metric, rel_seconds, series, sum(value) as value from grid_named group by 1,2,3,4) v on v.run_id=s.run_id and v.metric=s.metric and v.series=s.series and v.rel_seconds=a.rel_seconds", value=4)
 add("top_process_series", lambda i: ch.top_process_series(i.proc),
     "select run_id, pid, rank, max(name) as name, cast(case when n<=300 then idx else ceil((idx+1)/(n/300))-1 end as bigint) bucket, min(rel_seconds) rel_seconds, max(cpu_pct) cpu_pct from ptop group by 1,2,3,5")
-add("overlay_series", lambda i: ch.overlay_series(i.isys),
+add("overlay_series", lambda i: ch.overlay_series(i.indexed_system),
     "select run_id, idx, rel_seconds, cpu_total_pct from (select *, count(*) over (partition by run_id) n from ix_sys) where idx % (case when n>400 then n//400 else 1 end)=0")
-add("throughput_series", lambda i: ch.throughput_series(i.isys),
+add("throughput_series", lambda i: ch.throughput_series(i.indexed_system),
     "select run_id, cast(case when n<=500 then idx else ceil((idx+1)/(n/500))-1 end as bigint) bucket, min(rel_seconds) rel_seconds, max(net_sent_bytes_per_sec/(1024*1024)) sent_mb_s, max(net_recv_bytes_per_sec/(1024*1024)) recv_mb_s from (select *, count(*) over (partition by run_id) n from ix_sys) group by 1,2", sent_mb_s=6, recv_mb_s=6)
