@@ -15,19 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.session import checkpointed
+from ..functions.session import written
 
 CHUNK = 1 << 16
 SPAN_BIN = 64
-BROADCAST_ROWS = 200_000
 RUN = ("run_id",)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Mark a materialised table for broadcast if its counted size allows it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def dense_index(
     df: DataFrame,
     keys: Sequence[str] = RUN,
@@ -37,17 +31,17 @@ def dense_index(
 ) -> DataFrame:
     """Add a 0-based position of each row among the rows of its key (and the key's row count).
 
-    One range sort spreads the rows evenly whatever the key sizes are. The sorted layout is
-    checkpointed, because range borders are sampled and may differ when a lost task is
-    recomputed. The per-(key, partition) offsets are one row per key plus one per partition;
-    they are broadcast only when counting shows them to be few.
+    One range sort spreads the rows evenly whatever the key sizes are. The sorted rows are
+    written out with their place, because range borders are sampled and may differ when a lost
+    task is recomputed. The per-(key, partition) offsets are one row per key plus one per
+    partition; as a written table they are broadcast only if their files are small enough.
     """
     placed = (
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    placed = checkpointed(placed)
+    placed = written(placed)
     part = F.shiftright(F.col("_at"), 33)
     pos = F.col("_at").bitwiseAND((1 << 33) - 1)
     placed = placed.withColumns({"_part": part, "_pos": pos}).drop("_at")
@@ -61,7 +55,7 @@ def dense_index(
         *([F.sum("_n").over(w).alias(size)] if size else []),
     )
     return (
-        placed.join(small(checkpointed(shift)), [*keys, "_part"])
+        placed.join(written(shift), [*keys, "_part"])
         .withColumn(name, F.col("_pos") + F.col("_shift"))
         .drop("_part", "_pos", "_shift")
     )

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from ..functions.session import checkpointed
+from ..functions.session import written
 from ..operators import anomalies, apps, compare, derive, events, gpu, latency, network, offenders, scores, slowdowns, trends
 from ..operators.series import dense_index
 from ..thresholds import Thresholds
@@ -36,7 +36,7 @@ class Analysis:
     def kept(self, name: str) -> DataFrame:
         """A finding written once (it is small) for the steps that read it several times."""
         if name not in self._kept:
-            self._kept[name] = checkpointed(getattr(self, name))
+            self._kept[name] = written(getattr(self, name))
         return self._kept[name]
 
     @cached_property

@@ -31,7 +31,7 @@ from ..operators.series import (
 from ..thresholds import Thresholds
 from .analysis import Analysis
 from .oracles import query_sql
-from .views import Views
+from .views import Views, spread
 
 # The defaults find nothing (or everything) on the given tables, so the queries pass these.
 ANOMALY = Thresholds(
@@ -238,7 +238,7 @@ add("process_io_rates", lambda i: de.process_io_rates(i.ctr),
     "select c.run_id, c.pid, c.row_ord, c.mono, coalesce(greatest(0,(c.read_bytes-c.p)/greatest(c.mono-t.prev,1e-3)),0) io_read_bps from (select *, lag(read_bytes) over (partition by run_id, pid order by mono, row_ord) p from v_ctr) c join (select run_id, mono, lag(mono) over (partition by run_id order by mono) prev from (select distinct run_id, mono from v_ctr)) t on c.run_id=t.run_id and c.mono=t.mono", io_read_bps=4)
 add("latency_probe_summary", lambda i: de.latency_probe_summary(i.rep).drop("raw_times_ms"),
     "select run_id, row_ord, target, count, list_avg(t) avg_ms, list_min(t) min_ms, list_max(t) max_ms, case when len(t)>=2 then round_even(list_sum(list_transform(range(2,len(t)+1), lambda k: abs(t[k]-t[k-1])))/(len(t)-1),2) end jitter_ms, case when len(t)>0 then round_even((1-len(t)/count)*100,1) else 100.0 end loss_pct from (select *, case when raw_times_ms='' then [] else list_transform(string_split(raw_times_ms,';'), lambda x: x::double) end t from v_rep)", avg_ms=6)
-add("candidate_processes", lambda i: de.candidate_processes(i.proc, n=1, pid=7),
+add("candidate_processes", lambda i: de.candidate_processes(spread(i.proc), n=1, pid=7),
     "select distinct run_id, rel_seconds, pid from (select *, row_number() over (partition by run_id, rel_seconds order by cpu_pct desc, pid desc, name desc) a, row_number() over (partition by run_id, rel_seconds order by rss_bytes desc, pid desc, name desc) b, row_number() over (partition by run_id, rel_seconds order by num_handles desc, pid desc, name desc) c, row_number() over (partition by run_id, rel_seconds order by io_read_bps+io_write_bps desc, pid desc, name desc) d from v_proc) where a=1 or b=1 or c=1 or d=1 or pid=7 or lower(name) in (select nm from critical)")
 add("flag_target",
     lambda i: de.flag_target(i.proc, "CHROME.exe", 7).groupBy("run_id", "pid", "is_target").agg(F.count(F.lit(1)).alias("n")),

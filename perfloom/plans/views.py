@@ -59,6 +59,12 @@ def duckdb_view(name: str) -> str:
     return VIEWS[name].format(**DUCKDB)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """More tasks for a scan that cannot be split as far as there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Views:
     """Lazy access to the views over one folder of parquet tables."""
 
