@@ -3,7 +3,7 @@
 A record file is a sequence of frames: length (8 bytes), masked checksum of the length (4), the
 serialized sequence, masked checksum of it (4), little-endian. The checksum is CRC-32 rotated and
 shifted by a constant, so that a checksum of stored checksums is not degenerate. A serialized sequence
-is a flag (1 byte: has an id), the document id (8) and the token ids (4 each). The index file holds
+is a flag (1 byte: has an id), the width of a token id (1), the document id (8) and the token ids (2 or 4 each). The index file holds
 offset and size (8 bytes each) of every frame, so a reader can fetch frames in any order.
 
 Rows are dealt by ranges of (doc_id, hash of the text), so files are in ascending doc_id order,
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,7 +26,7 @@ from . import storage
 from .text_ids import TextIds
 
 MASK_DELTA = 0xA282EAD8  # fixed value of the record format
-HEADER, TRAILER, OWNER, ENTRY = "<QI", "<I", "<?q", "<QQ"
+HEADER, TRAILER, OWNER, ENTRY = "<QI", "<I", "<?Bq", "<QQ"
 HEADER_SIZE, TRAILER_SIZE, OWNER_SIZE = map(struct.calcsize, (HEADER, TRAILER, OWNER))
 MANIFEST = "shard long, file string, offsets string, records long, ids long"
 RECORD = "shard long, ordinal long, doc_id long, before long, ids binary"
@@ -50,24 +51,27 @@ def unframed(frame: bytes) -> bytes:
     return data
 
 
-def write_records(docs: DataFrame, vocabulary: str, end: int, keeps_blanks: bool = True, folder: str | None = None) -> DataFrame:
-    """Write the ids of every text in ascending doc_id order; the manifest of the files."""
+def write_records(docs: DataFrame, vocabulary: str, end: int, keeps_blanks: bool = True, folder: str | None = None, width: int = 2) -> DataFrame:
+    """Write the ids of every text in ascending doc_id order; the manifest of the files.
+
+    ``width``: bytes of an id in the files, 2 for vocabularies of at most 65,536 ids, else 4.
+    """
     folder = folder or storage.new_folder(docs.sparkSession, "records")
 
     def shard(batches):
         import pyarrow as pa
 
-        encoder = TextIds(vocabulary, keeps_blanks, end)
+        encoder = TextIds(vocabulary, keeps_blanks, end, width)
         out, name = None, storage.attempt_name("")
         entries, at, ids = [], 0, 0
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part, frames = batch.slice(first, 256), []
                 for doc, tokens in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
-                    frames.append(framed(struct.pack(OWNER, doc is not None, doc or 0) + tokens))
+                    frames.append(framed(struct.pack(OWNER, doc is not None, width, doc or 0) + tokens))
                     entries.append(struct.pack(ENTRY, at, len(frames[-1])))
                     at += len(frames[-1])
-                    ids += len(tokens) // 4
+                    ids += len(tokens) // width
                 out = out or storage.open_output(f"{folder}/{name}.rec")
                 out.write(b"".join(frames))
         if out:
@@ -103,7 +107,7 @@ def _frames(row: dict):
             head = source.read(HEADER_SIZE)
             data = unframed(head + source.read(struct.unpack(HEADER, head)[0] + TRAILER_SIZE))
             yield _record(row["shard"], ordinal, before, data)
-            before += (len(data) - OWNER_SIZE) // 4
+            before += (len(data) - OWNER_SIZE) // data[1]
 
 
 def read_shuffled(manifest: DataFrame, seed: int = 0) -> DataFrame:
@@ -138,8 +142,9 @@ def read_shuffled(manifest: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def _record(shard: int, ordinal: int, before: int | None, data: bytes) -> dict:
-    has, doc = struct.unpack_from(OWNER, data)
-    return {"shard": shard, "ordinal": ordinal, "doc_id": doc if has else None, "before": before, "ids": data[OWNER_SIZE :]}
+    has, width, doc = struct.unpack_from(OWNER, data)
+    ids = data[OWNER_SIZE:]
+    return {"shard": shard, "ordinal": ordinal, "doc_id": doc if has else None, "before": before, "ids": array("I", array("H", ids)).tobytes() if width == 2 else ids}
 
 
 def _batches(rows, size: int = 1024):

@@ -1,60 +1,99 @@
-"""Token ids of whole texts, with the ids of recurring pieces remembered.
+"""Token ids of whole texts, with the ids of recurring words remembered.
 
 A tokenizer of the two kinds below never joins what stands on both sides of certain blanks, so
-a text's ids are its pieces' ids one after another. Words recur, so most pieces need no second run
-of the tokenizer. The memory is bounded: when it holds ``REMEMBERED`` pieces it starts anew, which
-changes the time and never the ids. Pieces longer than ``LONGEST`` are not remembered.
+a text's ids are its words' ids one after another. Words recur, so most need no second run of the
+tokenizer. The memory is bounded: when it holds ``REMEMBERED`` words it starts anew, which changes the
+time and never the ids. Words longer than ``LONGEST`` are not remembered.
+
+A byte-level vocabulary keeps blanks: a single blank between two words belongs to the second word, and a
+single line end between two words is a token of its own. Only texts whose white space is of these two kinds
+are taken apart, any other text goes through the tokenizer whole. The other kind drops
+white space, so texts are taken apart at blanks, tabs and line ends.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+STOPS = frozenset(".,;:!?")
 LONGEST = 64
-#: A blank that starts the next piece: text on both sides, so no run of white space is cut.
-WITH_BLANK = re.compile(r"(?<=\S)(?= \S)")
-#: White space that the tokenizer's own normalisation drops between pieces.
 BLANKS = re.compile(r"[ \t\n\r]+")
 
 
 class TextIds:
-    """``vocabulary``: path of a tokenizers file. ``keeps_blanks``: a byte-level vocabulary whose pieces
-    start with their blank; else one that drops white space. ``end``: id after each text."""
+    """``vocabulary``: path of a tokenizers file. ``keeps_blanks``: see above. ``end``: id after each text.
+    ``width``: bytes of an id in the result, 4 or, for vocabularies of at most 65,536 ids, 2."""
 
-    def __init__(self, vocabulary: str, keeps_blanks: bool, end: int):
+    def __init__(self, vocabulary: str, keeps_blanks: bool, end: int, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.keeps_blanks, self.known = keeps_blanks, {"": b""}
-        self.end = end.to_bytes(4, "little")
+        self.keeps_blanks, self.kind = keeps_blanks, {2: "H", 4: "I"}[width]
+        self.end = self._bytes([end])
+        self.line_end = self._whole("\n") if keeps_blanks else b""
+        self.stops = {c: self._whole(c) for c in STOPS}
+        self.known: dict[str, bytes] = {}  # words after a blank, or all words of the other kind
+        self.first: dict[str, bytes] = {}  # words at the start of a line
 
-    def pieces(self, text: str) -> list[str]:
-        return (WITH_BLANK if self.keeps_blanks else BLANKS).split(text)
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()  # little-endian on the machines Spark runs on
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        import numpy as np
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(pieces, found, strict=True)}
+    def _learn(self, memory: dict[str, bytes], words: set[str], prefix: str) -> None:
+        """Remember words; letters and one mark after them are tokenized apart by both kinds."""
+        new = words.difference(memory)
+        stopped = [w for w in new if w[-1:] in self.stops and w[:-1].isalpha()]
+        new = list(new.difference(stopped).union(w[:-1] for w in stopped).difference(memory))
+        found = self.tokenizer.encode_batch_fast([prefix + w for w in new], add_special_tokens=False)
+        memory.update(zip(new, [self._bytes(e.ids) for e in found], strict=True))
+        memory.update((w, memory[w[:-1]] + self.stops[w[-1]]) for w in stopped)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers, with the end id; a null text is an empty one."""
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        out = []
-        for text in texts:
-            pieces = self.pieces(text or "")
-            new = set(pieces).difference(self.known)
-            ids = self.known
-            if new:
-                learnt = self._learn(list(new))
-                self.known.update((p, i) for p, i in learnt.items() if len(p) <= LONGEST)
-                if any(len(p) > LONGEST for p in new):
-                    ids = {**{p: self.known[p] for p in set(pieces) & self.known.keys()}, **learnt}
-            out.append(b"".join([*map(ids.__getitem__, pieces), self.end]))
+        """Ids as little-endian integers, with the end id; a null text is an empty one."""
+        texts = ["" if t is None else t for t in texts]
+        found = self._kept(texts) if self.keeps_blanks else self._dropped(texts)
+        for memory in (self.known, self.first):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+            elif any(len(w) > LONGEST for w in self.fresh):
+                for w in self.fresh:
+                    if len(w) > LONGEST:
+                        memory.pop(w, None)
+        return found
+
+    def _dropped(self, texts: list[str]) -> list[bytes]:
+        parts = [BLANKS.split(t) for t in texts]
+        self.fresh = set().union(*parts).difference(self.known)
+        self._learn(self.known, self.fresh, "")
+        get = self.known.__getitem__
+        return [b"".join([*map(get, p), self.end]) for p in parts]
+
+    def _kept(self, texts: list[str]) -> list[bytes]:
+        parts = [[line.split(" ") for line in t.split("\n")] if plain(t) else None for t in texts]
+        starts = {line[0] for p in parts if p for line in p}
+        words = set().union(*(line[1:] for p in parts if p for line in p))
+        self.fresh = words.difference(self.known) | starts.difference(self.first)
+        self._learn(self.first, starts, "")
+        self._learn(self.known, words, " ")
+        get, out = self.known.__getitem__, []
+        for text, lines in zip(texts, parts, strict=True):
+            if lines is None:
+                out.append(self._whole(text) + self.end)
+            else:
+                out.append(self.line_end.join([b"".join([self.first[x[0]], *map(get, x[1:])]) for x in lines]) + self.end)
         return out
+
+
+def plain(text: str) -> bool:
+    """Whether all white space of a text is single blanks and line ends between words."""
+    if not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace():
+        return not text
+    return len(text.split()) == text.count(" ") + text.count("\n") + 1
