@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, records, storage, warc
+from . import chat, forest, mixing, packing, records, storage, topk, warc
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -21,6 +21,17 @@ def vocabulary(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    rows = table(spark, folder, "embeddings")
+    return topk.top_k(rows, F.col("vec_id") % 20 == 0, 20).select("query_id", F.col("rank").cast("int"), F.col("id").alias("vec_id"), "score")
+
+
+def op4_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return forest.near_vectors(table(spark, folder, "embeddings"), 0.9)
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Pages written as archives and read back."""
     return warc.read_archives(warc.write_archives(table(spark, folder, "pages"))).select(
@@ -68,5 +79,5 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_warc, op6_chat_format, op8_mixing, op9_packing, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op3_topk, op4_near_vectors, op5_warc, op6_chat_format, op8_mixing, op9_packing, op10_token_records)}
 SQL: dict[str, str] = {}
