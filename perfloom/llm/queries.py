@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, forest, mixing, packing, records, storage, topk, warc
+from . import chat, forest, language, minhash, mixing, packing, records, storage, topk, warc
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -21,6 +21,23 @@ def vocabulary(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return minhash.near_documents(table(spark, folder, "documents"), 75)
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    away = held_out(F.col("doc_id"))
+    named = language.identified(docs, ~away & F.col("doc_id").isNotNull())
+    return named.select("doc_id", away.alias("held_out"), F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"))
+
+
 def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest rows of every twentieth vector."""
     rows = table(spark, folder, "embeddings")
@@ -79,5 +96,5 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_topk, op4_near_vectors, op5_warc, op6_chat_format, op8_mixing, op9_packing, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_language, op3_topk, op4_near_vectors, op5_warc, op6_chat_format, op8_mixing, op9_packing, op10_token_records)}
 SQL: dict[str, str] = {}
