@@ -37,7 +37,7 @@ LANES = SKETCH_BITS // 64
 CHUNK = 256
 BLOCK = 2048
 SENT = 1_000_000  # rows of ids (about 30 MB) that a broadcast may have
-FEATURES = "doc_id long, n long, digest binary, bands array<bigint>, sketch array<bigint>"
+FEATURES = "doc_id long, text_hash long, n long, digest binary, bands array<bigint>, sketch array<bigint>"
 
 
 class Shingler:
@@ -123,11 +123,12 @@ def features(docs: DataFrame) -> DataFrame:
                     flips = np.bincount((mixed(place + drawn) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
                     sketches.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
                     [x.split()[0] for x in FEATURES.split(", ")],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     return written(rows.mapInArrow(run, FEATURES).withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -148,19 +149,37 @@ def _possible(percent: int, left: str, right: str) -> Column:
 
 def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
-    found = features(docs)
-    classes = found.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"))
-    classes = written(classes)
-    nodes = written(found.join(classes.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"))
-    labels = _labels(docs, nodes, percent)
-    placed = found.select("row", "doc_id", "n", "digest").join(classes, "digest", "left").join(labels, "node", "left")
-    placed = placed.withColumn("group", F.coalesce("label", "node", "row"))
-    placed = written(placed.select("doc_id", "n", "group"))
+    placed = _grouped(docs, percent)
     least = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "group")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """row, doc_id, text_hash, n and group (a row number that near-duplicates share) of every row."""
+    found = features(docs)
+    classes = written(found.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node")))
+    nodes = written(found.join(classes.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"))
+    labels = _labels(docs, nodes, percent)
+    placed = found.select("row", "doc_id", "text_hash", "n", "digest").join(classes, "digest", "left").join(labels, "node", "left")
+    return written(placed.select("row", "doc_id", "text_hash", "n", F.coalesce("label", "node", "row").alias("group")))
+
+
+def survivors(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One document of each group, with all columns of ``docs``: the one with the least doc_id (nulls last)."""
+    placed = _grouped(docs, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")).alias("first")
+    chosen = placed.groupBy("group").agg(first).select("first.doc_id", "first.text_hash")
+    same = placed.groupBy("doc_id", "text_hash").agg((F.count(F.lit(1)) > 1).alias("_again")).withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
+    keys = chosen.join(same, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).select("_d", "_t", "_again")
+    keys = written(keys.distinct())
+    if keys.count() <= SENT:
+        keys = F.broadcast(keys)  # its size is checked; beyond it the join shuffles
+    left = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t")))
+    again = left.filter("_again").dropDuplicates(["_d", "_t"])  # rows that repeat doc_id and text
+    return left.filter("not _again").unionByName(again).select(*docs.columns)
+
+
 def _labels(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """node and label of every class that is linked to another."""
     keys = nodes.select("node", F.explode("bands").alias("key"))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, forest, language, minhash, mixing, packing, records, storage, topk, warc
+from . import chat, forest, language, minhash, mixing, packing, records, storage, suffixes, topk, warc
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -72,6 +72,17 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without passages of 400 bytes that occur anywhere else."""
+    docs = suffixes.repeated_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    text = F.col("text").cast("string")
+    return docs.select(
+        "doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("_spans").cast("long").alias("n_spans"), F.sha2(suffixes.kept_bytes(text, F.col("_spans")), 256).alias("kept_sha256"),
+    )
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """The mix of all documents: what it takes of each."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text").withColumn("row", F.monotonically_increasing_id())
@@ -96,5 +107,5 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_language, op3_topk, op4_near_vectors, op5_warc, op6_chat_format, op8_mixing, op9_packing, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_language, op3_topk, op4_near_vectors, op5_warc, op6_chat_format, op7_suffixes, op8_mixing, op9_packing, op10_token_records)}
 SQL: dict[str, str] = {}
