@@ -20,6 +20,7 @@ labelled rows everything is `und`; an empty table gives no rows. Other columns a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,13 +82,11 @@ def grams(texts: list[str]):
     return own[part[GRAM - 1 :]][inside], hashed[inside], has
 
 
+@lru_cache(maxsize=1)
 def _letters():
-    global LETTERS
-    if "LETTERS" not in globals():
-        import numpy as np
+    import numpy as np
 
-        LETTERS = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    return LETTERS
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def slots_of(hashed, probe: int):

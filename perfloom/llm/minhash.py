@@ -21,7 +21,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,12 @@ SENT = 1_000_000  # rows of ids (about 30 MB) that a broadcast may have
 FEATURES = "doc_id long, text_hash long, n long, digest binary, bands array<bigint>, sketch array<bigint>"
 
 
+@lru_cache(maxsize=1)
+def shared_shingler() -> Shingler:
+    """One `Shingler` for all tasks that a Python worker runs one after another."""
+    return Shingler()
+
+
 class Shingler:
     """Sorted distinct shingle hashes of texts. Word hashes are remembered up to a bound."""
 
@@ -100,7 +106,7 @@ def features(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        shingler = Shingler()
+        shingler = shared_shingler()
         place = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
         band = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
@@ -224,7 +230,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        shingler = Shingler()
+        shingler = shared_shingler()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

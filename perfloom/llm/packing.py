@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .text_ids import TextIds
+from .text_ids import text_ids
 
 BUFFER = 1 << 20
 STEP_IDS = 1 << 16
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int, keeps_blanks: bool = False,
     def packed(batches):
         import pyarrow as pa
 
-        encoder, packer, steps = TextIds(vocabulary, keeps_blanks, end), Packer(tiers), Steps()
+        encoder, packer, steps = text_ids(vocabulary, keeps_blanks, end), Packer(tiers), Steps()
         first, made = storage.partition_number() << 33, 0
         types = [pa.int64()] * 8 + [pa.binary()]
         names = [x.split()[0] for x in PIECE.split(", ")]

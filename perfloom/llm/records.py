@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import storage
-from .text_ids import TextIds
+from .text_ids import text_ids
 
 MASK_DELTA = 0xA282EAD8  # fixed value of the record format
 HEADER, TRAILER, OWNER, ENTRY = "<QI", "<I", "<?Bq", "<QQ"
@@ -61,7 +61,7 @@ def write_records(docs: DataFrame, vocabulary: str, end: int, keeps_blanks: bool
     def shard(batches):
         import pyarrow as pa
 
-        encoder = TextIds(vocabulary, keeps_blanks, end, width)
+        encoder = text_ids(vocabulary, keeps_blanks, end, width)
         out, name = None, storage.attempt_name("")
         entries, at, ids = [], 0, 0
         for batch in batches:

@@ -17,13 +17,20 @@ import os
 import re
 from array import array
 from collections.abc import Iterable
+from functools import lru_cache
 
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 STOPS = frozenset(".,;:!?")
 LONGEST = 64
 BLANKS = re.compile(r"[ \t\n\r]+")
 
 
+@lru_cache(maxsize=1)
+def text_ids(vocabulary: str, keeps_blanks: bool, end: int, width: int = 4) -> TextIds:
+    """One `TextIds` for all tasks that a Python worker runs one after another."""
+    return TextIds(vocabulary, keeps_blanks, end, width)
+
+
 class TextIds:
     """``vocabulary``: path of a tokenizers file. ``keeps_blanks``: see above. ``end``: id after each text.
     ``width``: bytes of an id in the result, 4 or, for vocabularies of at most 65,536 ids, 2."""
