@@ -3,7 +3,8 @@
 Two equal windows of `WINDOW` bytes have the same content, so any function of the content deals suffixes to
 buckets in which all equal windows meet. Here it is the least hash of the window's `GRAM`-byte grams.
 
-1. One pass cuts each text into runs of window starts with the same least gram. Runs whose gram hash
+1. Texts that occur as a whole more than once (told by 96 bits of hashes and the length) are removed as
+   a whole and sorted once. One pass cuts each other text into runs of window starts with the same least gram. Runs whose gram hash
    occurs once can hold no repeated window and end here.
 2. The bytes of the other runs are dealt by gram hash to buckets of about `BUCKET` bytes. A gram with very many
    runs (a passage that many documents share) is dealt further by the gram's place in the window, which is
@@ -13,7 +14,7 @@ buckets in which all equal windows meet. Here it is the least hash of the window
    are merged in. Runs with equal bytes are sorted once and counted.
 4. Neighbours in that order are compared over `WINDOW` bytes; what is equal is a repeated window.
 
-Recursion ends when names span a window. Ranks are exact, nothing is decided by a hash.
+Recursion ends when names span a window. Which windows are equal is decided by their bytes.
 
 Cases: null texts are empty; texts shorter than a window have no repeated part; a null doc_id and rows
 that repeat a doc_id are documents like others; rows that repeat both doc_id and text repeat each
@@ -40,9 +41,24 @@ SPANS = "array<struct<start:bigint,end:bigint>>"
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with `_spans`, the maximal byte ranges of each text covered by repeated windows."""
-    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_hash": F.xxhash64(F.col("text").cast("string"))})
-    spans = _merged(_repeats(keyed, window))
-    return _with(keyed, spans, F.col("count_of_spans")).withColumn("_spans", F.coalesce("_spans", F.array().cast(SPANS))).drop("_doc", "_hash")
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_hash": F.xxhash64(text), "_more": F.hash(text), "_size": F.octet_length(text).cast("bigint")})
+    copies = written(
+        keyed.filter(F.col("_size") >= window).groupBy("_hash", "_more", "_size")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("_doc").isNotNull().alias("some"), "_doc")).alias("one")).filter("n > 1")
+        .select(F.col("_hash").alias("h"), F.col("_more").alias("m"), F.col("_size").alias("s"), F.col("one._doc").alias("one"), F.lit(True).alias("copy"))
+    )
+    if copies.count() <= SENT:
+        copies = F.broadcast(copies)  # its size is checked; beyond it the join shuffles
+    same = (F.col("_hash") == F.col("h")) & (F.col("_more") == F.col("m")) & (F.col("_size") == F.col("s"))
+    keyed = keyed.join(copies, same, "left").drop("h", "m", "s")
+    whole = F.col("copy").isNotNull()
+    single = keyed.filter(~whole | F.col("one").eqNullSafe(F.col("_doc")))  # one text of each kind
+    spans = _merged(_repeats(single.select("_doc", "_hash", "text"), window))
+    out = _with(keyed, spans, F.col("count_of_spans"))
+    all_of_it = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("_size").alias("end")))
+    out = out.withColumn("_spans", F.when(whole, all_of_it).otherwise(F.coalesce("_spans", F.array().cast(SPANS))))
+    return out.drop("_doc", "_hash", "_more", "_size", "one", "copy")
 
 
 def kept_bytes(text: Column, spans: Column) -> Column:
@@ -264,9 +280,10 @@ def suffix_array(s, symbols: int, window: int, span: int = 1):
     scale = len(sampled) + 2
     rest = rest[np.argsort(t[rest] * scale + rank[rest + 1], kind="stable")]
     one, two = order[order % 3 == 1], order[order % 3 == 2]
-    before = np.searchsorted(t[one] * scale + rank[one + 1], t[rest] * scale + rank[rest + 1])
+    before = np.searchsorted(np.sort(t[one] * scale + rank[one + 1]), t[rest] * scale + rank[rest + 1])
     pair, _ = names(np.concatenate([t[two], t[rest]]) * symbols + np.concatenate([t[two + 1], t[rest + 1]]))
-    before += np.searchsorted(pair[: len(two)] * scale + rank[two + 2], pair[len(two) :] * scale + rank[rest + 2])
+    before += np.searchsorted(np.sort(pair[: len(two)] * scale + rank[two + 2]), pair[len(two) :] * scale + rank[rest + 2])
+    before = np.maximum.accumulate(before)  # suffixes that agree over a window have no fixed order
     out = np.full(n, -1, np.int64)
     out[before + np.arange(len(rest))] = rest
     out[out < 0] = order
