@@ -34,6 +34,7 @@ BANDS, ROWS = 36, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 LANES = SKETCH_BITS // 64
+PARITY_BITS = 4096
 CHUNK = 256
 BLOCK = 2048
 SENT = 1_000_000  # rows of ids (about 30 MB) that a broadcast may have
@@ -98,6 +99,14 @@ def samples(shingles):
     return least
 
 
+def parity(shingles: bytes) -> bytes:
+    """The odd sketch of a whole set: bits that differ between two of them are differing members at least."""
+    import numpy as np
+
+    at = (np.frombuffer(shingles, np.uint64) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def features(docs: DataFrame) -> DataFrame:
     """Set size, digest, band keys and odd sketch of every document."""
 
@@ -203,7 +212,7 @@ def _labels(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     links = links.union(_confirmed(stars(open_members, "last"), short, sets, percent))
     labels = _named(links)
     open_members = _open(open_members.drop("label"), labels)
-    links = links.union(_confirmed(_by_sketch(open_members, short, percent), short, sets, percent))
+    links = links.union(_confirmed(_by_sketch(open_members, short, sets, percent), short, sets, percent))
     return _named(links)
 
 
@@ -219,7 +228,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and sorted shingle hashes of the classes wanted, made again from the text of their first document."""
+    """node, sorted shingle hashes and their parity bitmap of the classes wanted, made again from the text of their first document."""
     wanted = written(nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("_doc"), "digest"))
     if wanted.count() <= SENT:
         wanted = F.broadcast(wanted)  # its size is checked; beyond it the join shuffles
@@ -236,11 +245,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 own = [shingler(t).tobytes() for t in part.column("text").to_pylist()]
                 same = [xxhash.xxh3_128_digest(x) == d for x, d in zip(own, part.column("digest").to_pylist(), strict=True)]
-                out = pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary())], ["node", "shingles"])
+                out = pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary()), pa.array(map(parity, own), pa.binary())], ["node", "shingles", "parity"])
                 yield out.filter(pa.array(same))
 
     # rows that repeat a doc_id and its text would come twice
-    return written(chosen.mapInArrow(run, "node long, shingles binary"))
+    return written(chosen.mapInArrow(run, "node long, shingles binary, parity binary"))
 
 
 def _confirmed(pairs: DataFrame, short: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -271,9 +280,13 @@ def _confirmed(pairs: DataFrame, short: DataFrame, sets: DataFrame, percent: int
     return written(partners.union(bases).groupBy("a", "chunk").applyInPandas(confirm, "a long, b long"))
 
 
-def _by_sketch(members: DataFrame, short: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket that sizes and sketches allow, compared in blocks."""
-    blocks = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).join(short, "node")
+def _by_sketch(members: DataFrame, short: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one bucket that sizes and sketches allow, compared in blocks.
+
+    Here the odd sketches of the whole sets decide after those of the samples: they never exclude a pair that
+    reaches the similarity, and seldom leave one that is far below it.
+    """
+    blocks = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).join(short, "node").join(sets.select("node", "parity"), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     cells = blocks.withColumn("mine", mine).withColumn("other", other).withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
@@ -285,20 +298,24 @@ def _by_sketch(members: DataFrame, short: DataFrame, percent: int) -> DataFrame:
 
         node, label, n, mine = (frame[c].to_numpy() for c in ("node", "label", "n", "mine"))
         sketch = np.array(frame["sketch"].tolist(), np.int64).reshape(len(frame), -1).view(np.uint64)
+        whole = np.frombuffer(b"".join(frame["parity"]), np.uint64).reshape(len(frame), -1)
         left, right = np.flatnonzero(mine == key[1]), np.flatnonzero(mine == key[2])
         out = []
         for at in range(0, len(left), 128):
             some = left[at : at + 128]
-            fits = label[some][:, None] < label[right] if key[1] != key[2] else (label[some][:, None] < label[right])
+            fits = label[some][:, None] < label[right]
             if key[1] != key[2]:
                 fits |= label[some][:, None] > label[right]
             sizes = n[some][:, None], n[right]
             fits &= np.minimum(*sizes) * 100 >= np.maximum(*sizes) * percent
             i, j = np.nonzero(fits)
-            for k in range(0, len(i), 1 << 16):
-                a, b = some[i[k : k + (1 << 16)]], right[j[k : k + (1 << 16)]]
+            for k in range(0, len(i), 1 << 14):
+                a, b = some[i[k : k + (1 << 14)]], right[j[k : k + (1 << 14)]]
                 near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= limit
+                a, b = a[near], b[near]
+                differ = np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1).astype(np.int64)  # of n + m - 2 common members
+                near = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
                 out.append(pd.DataFrame({"a": np.minimum(node[a], node[b])[near], "b": np.maximum(node[a], node[b])[near]}))
         return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
 
-    return cells.select("key", "low", "high", "mine", "node", "label", "n", "sketch").groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    return cells.select("key", "low", "high", "mine", "node", "label", "n", "sketch", "parity").groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
