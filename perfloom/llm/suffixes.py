@@ -34,7 +34,7 @@ BUCKET = 1 << 20
 CROWD = 2048
 PARTS = 64
 SLICE = 1 << 20
-SENT = 1_000_000  # runs (about 40 MB) that a broadcast may have
+SENT = 500_000  # copied texts (about 20 MB) that a broadcast may have
 RUN = "doc_id long, text_hash long, gram long, place long, first long, last long"
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
@@ -55,7 +55,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = F.col("copy").isNotNull()
     single = keyed.filter(~whole | F.col("one").eqNullSafe(F.col("_doc")))  # one text of each kind
     spans = _merged(_repeats(single.select("_doc", "_hash", "text"), window))
-    out = _with(keyed, spans, F.col("count_of_spans"))
+    out = _with(keyed, spans)
     all_of_it = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("_size").alias("end")))
     out = out.withColumn("_spans", F.when(whole, all_of_it).otherwise(F.coalesce("_spans", F.array().cast(SPANS))))
     return out.drop("_doc", "_hash", "_more", "_size", "one", "copy")
@@ -71,10 +71,8 @@ def kept_bytes(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, data).otherwise(F.aggregate(gaps, F.lit(b""), lambda whole, part: F.concat(whole, part)))
 
 
-def _with(keyed: DataFrame, found: DataFrame, weight: Column) -> DataFrame:
-    """``keyed`` with the columns found for its (doc_id, text_hash); broadcast only if few runs or spans are sent."""
-    if (found.agg(F.sum(weight)).first()[0] or 0) <= SENT:
-        found = F.broadcast(found)  # its size is checked; beyond it the join shuffles
+def _with(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """``keyed`` with the columns found for its (doc_id, text_hash)."""
     same = keyed["_doc"].eqNullSafe(found["doc_key"]) & (keyed["_hash"] == found["text_hash"])
     return keyed.join(found, same, "left").drop("doc_key", "text_hash", "count_of_spans")
 
@@ -154,8 +152,11 @@ def _repeats(keyed: DataFrame, window: int) -> DataFrame:
     grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     chosen = runs.join(grams, "gram")
     parts = F.least(F.ceil(F.col("n") / CROWD), F.lit(PARTS)).cast("long")
-    chosen = chosen.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     width = window - GRAM + 1
+    chosen = chosen.withColumn("parts", parts)
+    low, high = (F.floor((F.col("place") - F.col(c)) * F.col("parts") / width) for c in ("last", "first"))
+    reached = F.sequence(F.greatest(low - 1, F.lit(0)), F.least(high + 1, F.col("parts") - 1))  # the filter below is exact
+    chosen = chosen.withColumn("part", F.explode(reached))
     near, far = (F.floor(F.lit(width) * (F.col("part") + k) / F.col("parts")) for k in (0, 1))  # places of the gram in the window
     chosen = chosen.withColumns({"first": F.greatest("first", F.col("place") - far + 1), "last": F.least("last", F.col("place") - near)}).filter("first <= last")
     shape = F.struct("gram", "part", "first", "last")
@@ -182,7 +183,7 @@ def _repeats(keyed: DataFrame, window: int) -> DataFrame:
             if found:
                 yield pd.DataFrame(found, columns=["gram", "part", "node", "first", "data"])
 
-    texts = _with(keyed, listed, F.col("count_of_spans")).filter("node is not null").select("node", "runs", F.col("text").cast("string").alias("text"))
+    texts = _with(keyed, listed).filter("node is not null").select("node", "runs", F.col("text").cast("string").alias("text"))
     pieces = texts.mapInPandas(cut, "gram long, part long, node long, first long, data binary")
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("gram", "part"), F.lit(buckets)))
 
