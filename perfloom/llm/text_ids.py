@@ -2,8 +2,8 @@
 
 A tokenizer of the two kinds below never joins what stands on both sides of certain blanks, so
 a text's ids are its words' ids one after another. Words recur, so most need no second run of the
-tokenizer. The memory is bounded: when it holds ``REMEMBERED`` words it starts anew, which changes the
-time and never the ids. Words longer than ``LONGEST`` are not remembered.
+tokenizer. The memory is bounded: when it holds ``REMEMBERED`` words it becomes the older memory, from which only
+words met again are taken over; this changes the time and never the ids. Words longer than ``LONGEST`` are not remembered.
 
 A byte-level vocabulary keeps blanks: a single blank between two words belongs to the second word, and a
 single line end between two words is a token of its own. Only texts whose white space is of these two kinds
@@ -19,7 +19,7 @@ from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 STOPS = frozenset(".,;:!?")
 LONGEST = 64
 BLANKS = re.compile(r"[ \t\n\r]+")
@@ -45,6 +45,7 @@ class TextIds:
         self.end = self._bytes([end])
         self.line_end = self._whole("\n") if keeps_blanks else b""
         self.stops = {c: self._whole(c) for c in STOPS}
+        self.older: dict[str, dict[str, bytes]] = {"known": {}, "first": {}}
         self.known: dict[str, bytes] = {}  # words after a blank, or all words of the other kind
         self.first: dict[str, bytes] = {}  # words at the start of a line
 
@@ -54,9 +55,13 @@ class TextIds:
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, memory: dict[str, bytes], words: set[str], prefix: str) -> None:
+    def _learn(self, name: str, words: set[str], prefix: str) -> None:
         """Remember words; letters and one mark after them are tokenized apart by both kinds."""
+        memory, older = getattr(self, name), self.older[name]
         new = words.difference(memory)
+        if older:
+            memory.update((w, older[w]) for w in new if w in older)
+            new = new.difference(memory)
         stopped = [w for w in new if w[-1:] in self.stops and w[:-1].isalpha()]
         new = list(new.difference(stopped).union(w[:-1] for w in stopped).difference(memory))
         found = self.tokenizer.encode_batch_fast([prefix + w for w in new], add_special_tokens=False)
@@ -67,9 +72,11 @@ class TextIds:
         """Ids as little-endian integers, with the end id; a null text is an empty one."""
         texts = ["" if t is None else t for t in texts]
         found = self._kept(texts) if self.keeps_blanks else self._dropped(texts)
-        for memory in (self.known, self.first):
+        for name in ("known", "first"):
+            memory = getattr(self, name)
             if len(memory) > REMEMBERED:
-                memory.clear()
+                self.older[name] = memory
+                setattr(self, name, {})
             elif any(len(w) > LONGEST for w in self.fresh):
                 for w in self.fresh:
                     if len(w) > LONGEST:
@@ -79,7 +86,7 @@ class TextIds:
     def _dropped(self, texts: list[str]) -> list[bytes]:
         parts = [BLANKS.split(t) for t in texts]
         self.fresh = set().union(*parts).difference(self.known)
-        self._learn(self.known, self.fresh, "")
+        self._learn("known", self.fresh, "")
         get = self.known.__getitem__
         return [b"".join([*map(get, p), self.end]) for p in parts]
 
@@ -88,8 +95,8 @@ class TextIds:
         starts = {line[0] for p in parts if p for line in p}
         words = set().union(*(line[1:] for p in parts if p for line in p))
         self.fresh = words.difference(self.known) | starts.difference(self.first)
-        self._learn(self.first, starts, "")
-        self._learn(self.known, words, " ")
+        self._learn("first", starts, "")
+        self._learn("known", words, " ")
         get, out = self.known.__getitem__, []
         for text, lines in zip(texts, parts, strict=True):
             if lines is None:
