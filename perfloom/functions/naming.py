@@ -139,7 +139,7 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 def app_key(name: Column | str) -> Column:
     """Lower-cased, trimmed process name; ``?`` when there is none."""
     c = F.col(name) if isinstance(name, str) else name
-    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("?")).otherwise(F.trim(F.lower(c)))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("?")).otherwise(F.trim(F.lower(c), F.lit(" \t\n\r\x0b\x0c")))
 
 
 def display_name(key: Column | str) -> Column:

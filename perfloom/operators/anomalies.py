@@ -61,7 +61,7 @@ def load_anomalies(system: DataFrame, th=Thresholds(), kinds=tuple(LOADS)) -> Da
     subject = F.lit(None).cast("string")
     for k in kinds:
         subject = F.when(F.col("kind") == k, LOADS[k][4]).otherwise(subject)
-    text = F.format_string("%s above %.0f%% for %ds (peak %.1f%%).", subject, limit(1).cast("double"), F.col("samples"), F.col("peak_pct"))
+    text = F.format_string("%s at %.0f%% or more over %d samples, %.1f%% at most.", subject, limit(1).cast("double"), F.col("samples"), F.col("peak_pct"))
     return d.withColumns({"severity": severity, "description": text}).select(*SPAN_COLUMNS, "description")
 
 
@@ -115,7 +115,7 @@ def cpu_single_core_saturation(system: DataFrame, th: Thresholds = Thresholds())
                 "kind": F.lit("cpu_single_core_saturation"),
                 "severity": F.lit("medium"),
                 "description": F.format_string(
-                    "Core %d pinned >%.0f%% for %ds while other cores averaged %.1f%%.",
+                    "Core %d ran at %.0f%% or more over %d samples; the others at %.1f%% on average.",
                     F.col("core"), F.col("th_cpu_single_core_pct").cast("double"),
                     F.col("samples"), F.col("other_cores_avg_pct"),
                 ),
@@ -135,7 +135,7 @@ def swap_usage(system: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
         F.lit("swap_usage").alias("kind"),
         F.when(medium, "medium").otherwise("low").alias("severity"),
         "peak_pct", "avg_pct",
-        F.format_string("Swap usage reached %.1f%% (avg %.1f%%).", F.col("peak_pct"), F.col("avg_pct")).alias("description"),
+        F.format_string("Up to %.1f%% of swap was in use, %.1f%% on average.", F.col("peak_pct"), F.col("avg_pct")).alias("description"),
     )
 
 
@@ -157,7 +157,7 @@ def network_unreachable(latency: DataFrame, th: Thresholds = Thresholds()) -> Da
         F.lit("network_unreachable").alias("kind"),
         F.lit("high").alias("severity"),
         "target", "loss_pct",
-        F.format_string("Target %s was mostly unreachable (avg loss %.1f%%).", F.col("target"), F.col("loss_pct")).alias("description"),
+        F.format_string("No probe of %s was answered; %.1f%% were lost.", F.col("target"), F.col("loss_pct")).alias("description"),
     )
 
 
@@ -177,7 +177,7 @@ def network_latency_spike(latency: DataFrame, th: Thresholds = Thresholds()) ->
         F.lit("network_latency_spike").alias("kind"),
         "severity", "target", "avg_ms", "p95_ms", "peak_ms", "loss_pct",
         F.format_string(
-            "Latency to %s: avg %.1fms, p95 %.1fms, peak %.1fms, loss %.1f%%.",
+            "Probes of %s: %.1f ms on average, 95%% within %.1f ms, %.1f ms at most, %.1f%% lost.",
             "target", "avg_ms", "p95_ms", "peak_ms", "loss_pct",
         ).alias("description"),
     )

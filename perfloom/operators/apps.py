@@ -10,8 +10,6 @@ from ..functions.naming import IDLE_APP, app_key, display_name
 from .offenders import MB, _axis, rank_axes
 from .series import top_k
 
-LISTED_PIDS = 25
-
 
 def app_ticks(process: DataFrame) -> DataFrame:
     """Sums over the concurrent processes of an application at each tick."""
@@ -26,17 +24,22 @@ def app_ticks(process: DataFrame) -> DataFrame:
     )
 
 
-def app_pids(process: DataFrame) -> DataFrame:
-    """Distinct pids per application: their number and the first 25 of them."""
+def app_members(process: DataFrame) -> DataFrame:
+    """All (run, application, pid), a row each."""
     d = process.filter(F.col("rel_seconds").isNotNull() & F.col("pid").isNotNull())
-    pairs = d.select("run_id", app_key("name").alias("app_key"), "pid").distinct()
+    return d.select("run_id", app_key("name").alias("app_key"), "pid").distinct()
+
+
+def app_pids(process: DataFrame, listed: int | None = 25) -> DataFrame:
+    """Distinct pids per application: their number and the first ``listed`` of them (None: all)."""
+    pairs = app_members(process)
     counts = pairs.groupBy("run_id", "app_key").agg(F.count(F.lit(1)).alias("pid_count"))
-    listed = top_k(pairs, ["run_id", "app_key"], [F.asc("pid")], LISTED_PIDS)
-    listed = listed.groupBy("run_id", "app_key").agg(F.array_sort(F.collect_list("pid")).alias("pids"))
-    return counts.join(listed, ["run_id", "app_key"])
+    first = top_k(pairs, ["run_id", "app_key"], [F.asc("pid")], listed)
+    first = first.groupBy("run_id", "app_key").agg(F.array_sort(F.collect_list("pid")).alias("pids"))
+    return counts.join(first, ["run_id", "app_key"])
 
 
-def app_aggregates(process: DataFrame) -> DataFrame:
+def app_aggregates(process: DataFrame, listed: int | None = 25) -> DataFrame:
     d = app_ticks(process).groupBy("run_id", "app_key").agg(
         F.count(F.lit(1)).alias("samples"),
         F.bround(F.avg("cpu_pct"), 2).alias("cpu_pct_avg"),
@@ -52,7 +55,7 @@ def app_aggregates(process: DataFrame) -> DataFrame:
         F.min("rel_seconds").alias("first_seen"),
         F.max("rel_seconds").alias("last_seen"),
     )
-    d = d.join(app_pids(process), ["run_id", "app_key"], "left")
+    d = d.join(app_pids(process, listed), ["run_id", "app_key"], "left")
     return d.withColumns(
         {
             "display_name": display_name("app_key"),

@@ -13,8 +13,6 @@ from .apps import app_ticks
 from .offenders import MB
 from .series import dense_index, indexed, top_k
 
-GRID = 400
-
 
 def _sized(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` with ``_n``, the row count of its series."""
@@ -34,22 +32,22 @@ def downsample_max(df: DataFrame, x: str, ys: Sequence[str], target: int = 500,
     )
 
 
-def core_heatmap(system: DataFrame) -> DataFrame:
-    """Core x time grid; more than 400 columns are folded by their maximum."""
+def core_heatmap(system: DataFrame, points: int = 400) -> DataFrame:
+    """Core x time grid; more than ``points`` columns are folded by their maximum."""
     cores = F.col("cpu_per_core_pct")
     if dict(system.dtypes)["cpu_per_core_pct"] == "string":
         cores = parse_semicolon_list(cores)
     d = indexed(system).select("run_id", "idx", cores.alias("cores"))
     sizes = d.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("cores")).alias("_cores"))
     d = d.join(sizes, "run_id").filter("_cores > 0")
-    fold = F.when(F.col("_n") > GRID, F.floor(F.col("_n") / GRID) + 1).otherwise(F.lit(1))
+    fold = F.when(F.col("_n") > points, F.floor(F.col("_n") / points) + 1).otherwise(F.lit(1))
     d = d.withColumn("core", F.explode(F.sequence(F.lit(0), F.col("_cores") - 1)))
     return d.groupBy("run_id", "core", F.floor(F.col("idx") / fold).alias("slot")).agg(
         F.max(F.coalesce(F.get("cores", F.col("core")), F.lit(0.0))).alias("value")
     )
 
 
-def top_apps_stack(process: DataFrame, k: int = 6) -> DataFrame:
+def top_apps_stack(process: DataFrame, k: int = 6, points: int = 400) -> DataFrame:
     """Top ``k`` applications by CPU and by memory at each kept tick; the rest as ``other``."""
     ticks = app_ticks(process).filter(F.col("app_key") != IDLE_APP).select(
         "run_id", "app_key", "rel_seconds", F.col("cpu_pct").alias("cpu"), (F.col("rss_bytes") / MB).alias("rss_mb")
@@ -57,7 +55,7 @@ def top_apps_stack(process: DataFrame, k: int = 6) -> DataFrame:
     # Idle time only hides an application, its ticks still count for the time axis.
     axis = process.filter("rel_seconds is not null").select("run_id", "rel_seconds").distinct()
     axis = dense_index(axis, ("run_id",), ("rel_seconds",), size="_n")
-    every = F.when(F.col("_n") > GRID, F.floor(F.col("_n") / GRID) + 1).otherwise(F.lit(1))
+    every = F.when(F.col("_n") > points, F.floor(F.col("_n") / points) + 1).otherwise(F.lit(1))
     axis = axis.filter(F.col("idx") % every == 0).select("run_id", "rel_seconds")
 
     totals = ticks.groupBy("run_id", "app_key").agg(F.sum("cpu").alias("cpu"), F.max("rss_mb").alias("rss_mb"))
@@ -93,10 +91,10 @@ def top_process_series(process: DataFrame, k: int = 6, target: int = 300) -> Dat
     return thin.join(top.select("run_id", "pid", "rank", "name"), ["run_id", "pid"])
 
 
-def overlay_series(system: DataFrame, metric: str = "cpu_total_pct") -> DataFrame:
-    """Every ``n // 400``-th sample of each run."""
+def overlay_series(system: DataFrame, metric: str = "cpu_total_pct", points: int = 400) -> DataFrame:
+    """Every ``n // points``-th sample of each run."""
     d = _sized(indexed(system).select("run_id", "idx", "rel_seconds", zero_if_null(metric).alias(metric)), ("run_id",))
-    step = F.when(F.col("_n") > GRID, F.floor(F.col("_n") / GRID)).otherwise(F.lit(1))
+    step = F.when(F.col("_n") > points, F.floor(F.col("_n") / points)).otherwise(F.lit(1))
     return d.filter(F.col("idx") % step == 0).select("run_id", "idx", zero_if_null("rel_seconds").alias("rel_seconds"), metric)
 
 

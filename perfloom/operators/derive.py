@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,13 +146,17 @@ def candidate_processes(
     snapshot: DataFrame, n: int = 20, by: Sequence[str] = ("run_id", "rel_seconds"),
     name: str | None = None, pid: int | None = None, path: str | None = None,
 ) -> DataFrame:
-    """Pids to sample: top ``n`` by CPU, memory, handles and I/O, plus targets and critical names."""
+    """Pids to sample: top ``n`` by CPU, memory, handles and I/O, plus targets and critical names.
+
+    I/O ranks by the bytes read and written so far; a table without these counters ranks by its rates.
+    """
+    counters = [c for c in ("io_read_bytes", "io_write_bytes") if c in snapshot.columns] or ["io_read_bps", "io_write_bps"]
     d = flag_target(snapshot, name, pid, path).select(
         *by, "pid", text_or_unknown("name").alias("name"), "is_target",
         zero_if_null("cpu_pct").alias("cpu"),
         F.coalesce(F.col("rss_bytes"), F.lit(0)).cast("double").alias("rss"),
         F.coalesce(F.col("num_handles"), F.lit(0)).cast("double").alias("handles"),
-        (zero_if_null("io_read_bps") + zero_if_null("io_write_bps")).alias("io"),
+        reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0)).cast("double") for c in counters]).alias("io"),
     )
     long = d.unpivot([*by, "pid", "name"], ["cpu", "rss", "handles", "io"], "axis", "value")
     ranked = top_k(long, [*by, "axis"], [F.desc("value"), F.desc("pid"), F.desc("name")], n)

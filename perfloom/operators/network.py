@@ -9,8 +9,6 @@ from ..functions.coerce import text_or_unknown
 from ..functions.naming import app_key, display_name, is_remote, strip_port
 from .series import top_k
 
-LISTED_REMOTES = 25
-
 
 def _owned(connections: DataFrame) -> DataFrame:
     """Rows with an owner, the application key and the remote host (null when local)."""
@@ -43,14 +41,17 @@ def _ranked(d: DataFrame, tie: str, n: int | None) -> DataFrame:
     return top_k(d, ["run_id"], [F.desc("avg_concurrent_conns"), F.desc("unique_remote_count"), F.asc(tie)], n)
 
 
-def connections_by_pid(connections: DataFrame, n: int | None = 10) -> DataFrame:
+def pid_remotes(connections: DataFrame) -> DataFrame:
+    """All (run, pid, remote host), a row each."""
+    return _owned(connections).filter("remote is not null").select("run_id", "pid", "remote").distinct()
+
+
+def connections_by_pid(connections: DataFrame, n: int | None = 10, listed: int | None = 25) -> DataFrame:
+    """``listed``: how many remote hosts are named per process (None: all)."""
     rows = _owned(connections)
     top = _ranked(_summary(rows, ["run_id", "pid"], [F.min_by("name", "row_ord").alias("name")]), "pid", n)
-    listed = top_k(
-        rows.filter("remote is not null").select("run_id", "pid", "remote").distinct(),
-        ["run_id", "pid"], [F.asc("remote")], LISTED_REMOTES, "_pos",
-    ).groupBy("run_id", "pid").agg(F.array_sort(F.collect_list("remote")).alias("unique_remotes"))
-    d = top.join(listed, ["run_id", "pid"], "left")
+    first = top_k(pid_remotes(connections), ["run_id", "pid"], [F.asc("remote")], listed, "_pos").groupBy("run_id", "pid").agg(F.array_sort(F.collect_list("remote")).alias("unique_remotes"))
+    d = top.join(first, ["run_id", "pid"], "left")
     return d.withColumns(
         {
             "unique_remotes": F.coalesce("unique_remotes", F.array().cast("array<string>")),

@@ -80,19 +80,12 @@ def with_neighbours(
 ) -> DataFrame:
     """Window columns that look at most ``back`` / ``ahead`` rows away.
 
-    ``columns`` maps a name to ``f(window)``. The last ``back`` rows of a chunk are copied into
-    the next one (and the first ``ahead`` into the one before), so each chunk is complete alone.
+    ``columns`` maps a name to ``f(window)``. A row is copied into every chunk that has a row at
+    most ``back`` after it or ``ahead`` before it, so each chunk is complete alone.
     """
-    if max(back, ahead) >= CHUNK:
-        raise ValueError("look-around is limited to one chunk; use prefix_sums")
     home = chunk_of("idx")
-    inside = F.col("idx") % CHUNK
-    homes = [home]
-    if back:
-        homes.append(F.when(inside >= CHUNK - back, home + 1))
-    if ahead:
-        homes.append(F.when((inside < ahead) & (home > 0), home - 1))
-    spread = df.withColumn("_chunk", F.explode(F.array_compact(F.array(*homes))))
+    first = F.greatest(chunk_of(F.col("idx") - ahead), F.lit(0))
+    spread = df.withColumn("_chunk", F.explode(F.sequence(first, chunk_of(F.col("idx") + back))))
     w = W.partitionBy(*keys, "_chunk").orderBy("idx")
     out = spread.withColumns({n: f(w) for n, f in columns.items()})
     return out.filter(F.col("_chunk") == home).drop("_chunk")

@@ -13,11 +13,10 @@ from .series import dense_index, grouped_moving_average, r2, top_k
 
 METRICS = ("rss_bytes", "num_handles", "num_threads")
 KEYS = ("run_id", "pid", "metric")
-MIN_POINTS = 20
 PLATEAU_TOLERANCE = 0.02
 
 
-def smoothed_series(process: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+def smoothed_series(process: DataFrame, metrics: tuple[str, ...] = METRICS, th: Thresholds = Thresholds()) -> DataFrame:
     """Long series (run, pid, metric, idx) with the trailing mean over max(5, n // 20) points.
 
     ``end_val`` is the last smoothed value of the series, taken as the mean of its last points.
@@ -26,7 +25,7 @@ def smoothed_series(process: DataFrame, metrics: tuple[str, ...] = METRICS) -> D
                           *[F.col(m).cast("bigint").alias(m) for m in metrics])
     long = base.unpivot(["run_id", "pid", "rel_seconds", "row_ord", "name"], list(metrics), "metric", "value")
     long = long.filter(F.col("pid").isNotNull() & F.col("rel_seconds").isNotNull() & F.col("value").isNotNull())
-    points = dense_index(long, KEYS, size="n").filter(F.col("n") >= MIN_POINTS)
+    points = th.attach(dense_index(long, KEYS, size="n"), "trend_min_points").filter(F.col("n") >= F.col("th_trend_min_points")).drop("th_trend_min_points")
     points = points.withColumn("w", F.greatest(F.lit(5), F.floor(F.col("n") / 20)).cast("bigint"))
     ends = points.filter(F.col("idx") >= F.col("n") - F.col("w")).groupBy(*KEYS).agg(
         (F.sum("value") / F.count(F.lit(1))).alias("end_val")
@@ -34,9 +33,9 @@ def smoothed_series(process: DataFrame, metrics: tuple[str, ...] = METRICS) -> D
     return grouped_moving_average(points, "value", "w", "n", KEYS).join(ends, [*KEYS])
 
 
-def trend_stats(process: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+def trend_stats(process: DataFrame, metrics: tuple[str, ...] = METRICS, th: Thresholds = Thresholds()) -> DataFrame:
     """Slope, fit, monotonicity, plateau, ends and peak of each smoothed series."""
-    s = smoothed_series(process, metrics)
+    s = smoothed_series(process, metrics, th)
     rises = F.avg(F.when(F.col("idx") > 0, (F.col("smooth") >= F.col("prev_smooth")).cast("double")))
     outside = F.abs(F.col("smooth") - F.col("end_val")) > F.abs(F.col("end_val")) * PLATEAU_TOLERANCE
     stats = s.groupBy(*KEYS, "n", "end_val").agg(
@@ -129,7 +128,7 @@ def thread_leaks(stats: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
 
 
 def detect_leaks(process: DataFrame, th: Thresholds = Thresholds(), stats: DataFrame | None = None) -> DataFrame:
-    stats = trend_stats(process) if stats is None else stats
+    stats = trend_stats(process, th=th) if stats is None else stats
     return reduce(DataFrame.unionByName, [memory_leaks(stats, th), handle_leaks(stats, th), thread_leaks(stats, th)])
 
 

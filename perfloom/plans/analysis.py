@@ -70,7 +70,7 @@ class Analysis:
 
     @cached_property
     def trends(self) -> DataFrame:
-        return trends.trend_stats(self.tables.get("trend_process", self.tables.get("process")))
+        return trends.trend_stats(self.tables.get("trend_process", self.tables.get("process")), th=self._th("leak"))
 
     @cached_property
     def leaks(self) -> DataFrame:
@@ -156,7 +156,8 @@ class Analysis:
     @cached_property
     def recommendations(self) -> DataFrame:
         return scores.recommendations(
-            self.kept("bottlenecks"), self.security, self.background, self.kept("leaks"), self.churn, self.tables.get("antivirus")
+            self.kept("bottlenecks"), self.security, self.background, self.kept("leaks"),
+            self.churn if "process_events" in self.tables else None, self.tables.get("antivirus"),
         )
 
     @cached_property
@@ -193,6 +194,7 @@ class Analysis:
             "bottlenecks": self.kept("bottlenecks"),
             "bottleneck_reasons": self.bottleneck_reasons,
             "summary": self.verdicts,
+            "recommendations": self.recommendations,
         }
         t = self.tables
         if "connections" in t:
@@ -201,7 +203,7 @@ class Analysis:
             out["top_remotes"] = network.top_remotes(t["connections"], "app_key")
             out["connection_status"] = network.connection_status_counts(t["connections"], "app_key")
         if "process_events" in t:
-            out |= {"churn": self.churn, "spawners": self.spawners, "recommendations": self.recommendations}
+            out |= {"churn": self.churn, "spawners": self.spawners}
         if "gpu_engine" in t:
             out |= {"gpu_engines": self.gpu_engines, "gpu_findings": gpu.gpu_findings(self.gpu_engines, self._th("gpu"))}
         if "gpu_process" in t:

@@ -31,7 +31,7 @@ from ..operators.series import (
 from ..thresholds import Thresholds
 from .analysis import Analysis
 from .oracles import query_sql
-from .views import Views, spread
+from .views import Views
 
 # The defaults find nothing (or everything) on the given tables, so the queries pass these.
 ANOMALY = Thresholds(
@@ -78,10 +78,11 @@ class Inputs(Views):
 
     @cached_property
     def gpu_memory(self) -> DataFrame:
-        counter = lambda value, skip: self.gpu.filter(F.expr(f"row_ord % {skip} <> 0")).select(
-            "run_id", "snapshot", "instance", F.expr(value).alias("value")
+        counter = lambda value, instance: self.gpu.select(
+            "run_id", "snapshot", F.expr(instance).alias("instance"), F.expr(value).alias("value")
         )
-        return de.gpu_process_memory_rollup(counter("value*1048576", 3), counter("value*1e5D", 4))
+        # The shared counter names other processes, so either side of the join can be missing.
+        return de.gpu_process_memory_rollup(counter("value*1048576", "instance"), counter("value*1e5D", "replace(instance,'pid_','pid_1')"))
 
 
 class Tables(dict):
@@ -227,6 +228,7 @@ add("display_name",
 _IO = ("io_read_bps", "io_write_bps")
 add("app_ticks", lambda i: ap.app_ticks(i.proc), "select * from aticks", io_read_bps=4, io_write_bps=4)
 add("app_aggregates", lambda i: ap.app_aggregates(i.proc).withColumn("pids", F.array_join(F.col("pids").cast("array<string>"), ";")), "select * from apps", io_read_bps_max=4, io_write_bps_max=4)
+add("app_members", lambda i: ap.app_members(i.proc), "select distinct run_id, trim(lower(name)) app_key, pid from v_proc")
 add("rank_apps", lambda i: ap.rank_apps(ap.app_aggregates(i.proc)), "select * from apps_ranked")
 
 # --- raw sample derivations ------------------------------------------------------------------
@@ -238,8 +240,8 @@ add("process_io_rates", lambda i: de.process_io_rates(i.ctr),
     "select c.run_id, c.pid, c.row_ord, c.mono, coalesce(greatest(0,(c.read_bytes-c.p)/greatest(c.mono-t.prev,1e-3)),0) io_read_bps from (select *, lag(read_bytes) over (partition by run_id, pid order by mono, row_ord) p from v_ctr) c join (select run_id, mono, lag(mono) over (partition by run_id order by mono) prev from (select distinct run_id, mono from v_ctr)) t on c.run_id=t.run_id and c.mono=t.mono", io_read_bps=4)
 add("latency_probe_summary", lambda i: de.latency_probe_summary(i.rep).drop("raw_times_ms"),
     "select run_id, row_ord, target, count, list_avg(t) avg_ms, list_min(t) min_ms, list_max(t) max_ms, case when len(t)>=2 then round_even(list_sum(list_transform(range(2,len(t)+1), lambda k: abs(t[k]-t[k-1])))/(len(t)-1),2) end jitter_ms, case when len(t)>0 then round_even((1-len(t)/count)*100,1) else 100.0 end loss_pct from (select *, case when raw_times_ms='' then [] else list_transform(string_split(raw_times_ms,';'), lambda x: x::double) end t from v_rep)", avg_ms=6)
-add("candidate_processes", lambda i: de.candidate_processes(spread(i.proc), n=1, pid=7),
-    "select distinct run_id, rel_seconds, pid from (select *, row_number() over (partition by run_id, rel_seconds order by cpu_pct desc, pid desc, name desc) a, row_number() over (partition by run_id, rel_seconds order by rss_bytes desc, pid desc, name desc) b, row_number() over (partition by run_id, rel_seconds order by num_handles desc, pid desc, name desc) c, row_number() over (partition by run_id, rel_seconds order by io_read_bps+io_write_bps desc, pid desc, name desc) d from v_proc) where a=1 or b=1 or c=1 or d=1 or pid=7 or lower(name) in (select nm from critical)")
+add("candidate_processes", lambda i: de.candidate_processes(i.proc.withColumns({"io_read_bytes": F.expr("row_ord*1000"), "io_write_bytes": F.expr("pid*500000")}), n=1, pid=7),
+    "select distinct run_id, rel_seconds, pid from (select *, row_number() over (partition by run_id, rel_seconds order by cpu_pct desc, pid desc, name desc) a, row_number() over (partition by run_id, rel_seconds order by rss_bytes desc, pid desc, name desc) b, row_number() over (partition by run_id, rel_seconds order by num_handles desc, pid desc, name desc) c, row_number() over (partition by run_id, rel_seconds order by row_ord*1000+pid*500000 desc, pid desc, name desc) d from v_proc) where a=1 or b=1 or c=1 or d=1 or pid=7 or lower(name) in (select nm from critical)")
 add("flag_target",
     lambda i: de.flag_target(i.proc, "CHROME.exe", 7).groupBy("run_id", "pid", "is_target").agg(F.count(F.lit(1)).alias("n")),
     "select run_id, pid, (pid=7 or lower(name)='chrome.exe') is_target, count(*) n from v_proc group by 1,2,3")
@@ -270,6 +272,7 @@ add("connections_by_pid",
 add("connections_by_app",
     lambda i: ne.connections_by_app(i.conn).select("run_id", "rank", "app_key", "display_name", "pid_count", *_CONN),
     f"select * from (select {_order.format('app_key')}, * from conn_app) where rank<=10")
+add("pid_remotes", lambda i: ne.pid_remotes(i.conn), "select distinct run_id, pid, remote from conn where remote is not null")
 add("top_remotes",
     lambda i: ne.top_remotes(i.conn, "pid").select("run_id", F.lit("pid").alias("by"), F.col("pid").cast("string").alias("owner"), "remote", "samples", "rank").union(
         ne.top_remotes(i.conn, "app_key").select("run_id", F.lit("app").alias("by"), "app_key", "remote", "samples", "rank")),
@@ -304,7 +307,8 @@ add("top_events", lambda i: ev.top_events(i.correlated).select("run_id", "rank",
 # --- bottlenecks, scores, verdict ------------------------------------------------------------
 add("bottleneck_scores", lambda i: i.bottleneck_points.drop("ord"), "select run_id, dim, points from bscores", points=6)
 add("classify_bottleneck", lambda i: i.bottlenecks.select("run_id", "primary", text_list("secondary")), "select * from bottleneck")
-add("bottleneck_reasons", lambda i: sc.bottleneck_reasons(i.sys, i.kept("anomalies"), i.lat, i.kept("slowdowns"), i.kept("suspects")))
+add("bottleneck_reasons", lambda i: i.bottleneck_reasons.drop("text"),
+    "select run_id, dim, rank, kind, start_idx, core, target from (select *, row_number() over (partition by run_id, dim order by seq, ord, core, start_idx, place, target) rank from reason_rows) where rank<=5")
 add("stability_score", lambda i: sc.stability_score(i.runs, i.sys, i.kept("anomalies")), "select * from x4", cpu_std=6, mem_std=6, stability=6)
 add("efficiency_score", lambda i: sc.efficiency_score(i.runs, i.sys, i.background), "select * from x5", idle_pct=6, mem_free_pct=6, background_cpu=6, efficiency=6)
 add("workload_score", lambda i: sc.workload_score(i.runs, i.sys, i.kept("slowdowns")), "select * from x6", workload=6)
@@ -315,7 +319,7 @@ add("run_scores", lambda i: i.scores, "select * from scores")
 add("run_verdict", lambda i: i.verdicts.drop("verdict"), "select * from verdict")
 add("recommendations",
     lambda i: sc.recommendations(i.bottlenecks, i.security, i.background, i.kept("leaks"), i.churn).groupBy("run_id", "ord", "rule").agg(F.count(F.lit(1)).alias("n")),
-    "select run_id, ord, rule, count(*) n from (select run_id, 1 ord, concat('primary_',\"primary\") rule from bottleneck where \"primary\" in ('cpu','memory','disk','network','security') union all select run_id, 2, 'security_cpu' from security where rank<=3 group by run_id having sum(cpu_pct_avg)>15 union all select * from (select distinct run_id, 3, concat('leak_', replace(kind,'_leak_candidate','')), process_name from leaks where confidence in ('likely','strong evidence')) t(a,b,c,d) select_only union all select run_id, 5, 'background_cpu' from background where rank<=3 group by run_id having sum(cpu_pct_avg)>10 union all select run_id, 6, 'churn' from churn where total_process_starts>200) group by 1,2,3".replace("select * from (select distinct run_id, 3, concat('leak_', replace(kind,'_leak_candidate','')), process_name from leaks where confidence in ('likely','strong evidence')) t(a,b,c,d) select_only", "select a, b, c from (select distinct run_id, 3, concat('leak_', replace(kind,'_leak_candidate','')), process_name from leaks where confidence in ('likely','strong evidence')) t(a,b,c,d)"))
+    "select run_id, ord, rule, count(*) n from (select run_id, 1 ord, concat('primary_',\"primary\") rule from bottleneck where \"primary\" in ('cpu','memory','disk','network','security') union all select run_id, 2, 'security_cpu' from security where rank<=3 group by run_id having sum(cpu_pct_avg)>15 union all select a, b, c from (select distinct run_id, 3, concat('leak_', replace(kind,'_leak_candidate','')), process_name from leaks where confidence in ('likely','strong evidence')) t(a,b,c,d) union all select run_id, 5, 'background_cpu' from background where rank<=3 group by run_id having sum(cpu_pct_avg)>10 union all select run_id, 6, 'churn' from churn where total_process_starts>200) group by 1,2,3")
 add("score_class", lambda i: i.scores.select("run_id", sc.score_class("overall").alias("overall_class"), sc.score_class("network").alias("network_class"), sc.score_class("hygiene").alias("hygiene_class")),
     "select run_id, " + ", ".join(f"case when {c}>=80 then 'good' when {c}>=60 then 'med' else 'bad' end {c}_class" for c in ("overall", "network", "hygiene")) + " from scores")
 

@@ -184,7 +184,7 @@ STEPS |= {
     "gpu_eng": "select run_id, snapshot, engine_type, luid, round_even(max(v),2) utilization_pct from (select *, case when et='' then '?' else et end engine_type, case when lu='' then '?' else lu end luid, greatest(0,least(100,value)) v from (select *, regexp_extract(instance,'engtype_([A-Za-z0-9]+)',1,'i') et, regexp_extract(instance,'luid_(0x[0-9A-Fa-f]+_0x[0-9A-Fa-f]+)',1,'i') lu from v_gpu)) where v>0 group by 1,2,3,4",
     "gpu_stats": "select run_id, engine_type, luid, round_even(avg(utilization_pct),2) avg_pct, round_even(max(utilization_pct),2) peak_pct, count(*) samples from gpu_eng group by 1,2,3",
     "gpu_raw": "select *, cast(regexp_extract(instance,'pid_(\\d+)',1) as bigint) pid, value*1048576 ded, value*1e5 shr from v_gpu",
-    "gpu_mem": "select run_id, snapshot, pid, coalesce(d.b,0)::bigint dedicated_bytes, coalesce(s.b,0)::bigint shared_bytes from (select run_id, snapshot, pid, sum(trunc(ded)::bigint) b from gpu_raw where row_ord%3<>0 group by 1,2,3) d full join (select run_id, snapshot, pid, sum(trunc(shr)::bigint) b from gpu_raw where row_ord%4<>0 group by 1,2,3) s using (run_id, snapshot, pid)",
+    "gpu_mem": "select run_id, snapshot, pid, coalesce(d.b,0)::bigint dedicated_bytes, coalesce(s.b,0)::bigint shared_bytes from (select run_id, snapshot, pid, sum(trunc(ded)::bigint) b from gpu_raw group by 1,2,3) d full join (select run_id, snapshot, concat('1',pid)::bigint pid, sum(trunc(shr)::bigint) b from gpu_raw group by 1,2,3) s using (run_id, snapshot, pid)",
     "proc_names": "select run_id, pid, max(name) as name from v_proc where pid>0 group by 1,2",
     "gpu_pids": f"select m.run_id, m.pid, coalesce(n.name,'?') as name, m.dedicated_peak_mb, m.dedicated_avg_mb, m.shared_peak_mb, trim(lower(coalesce(n.name,'?'))) app_key, {_display('trim(lower(coalesce(n.name,chr(63))))')} display_name from (select run_id, pid, round_even(max(dedicated_bytes)/{_MB},1) dedicated_peak_mb, round_even(avg(dedicated_bytes)/{_MB},1) dedicated_avg_mb, round_even(max(shared_bytes)/{_MB},1) shared_peak_mb from gpu_mem where pid>0 group by 1,2) m left join proc_names n using (run_id, pid)",
     # events
@@ -201,6 +201,12 @@ STEPS |= {
         "select run_id, reason, 5 from sd_tags where reason in ('cpu','memory','disk','network')",
         f"select run_id, 'security', 10 from sd_offenders where axis='cpu' and rank<=3 and lower(name) in {_in(SCANNER_NAMES)}",
     ]),
+    "reason_rows": union([
+        *[f"select run_id, '{d}' dim, 0 seq, 0 ord, 'pressure' kind, null::bigint start_idx, null::int core, null::varchar target, null::int place from v_sys group by 1 having avg(({c}>=80)::int)>0.1" for d, c in (("cpu", "cpu_total_pct"), ("memory", "mem_percent"), ("disk", "disk_active_pct_est"))],
+        "select run_id, case when kind like 'cpu%' then 'cpu' when kind in ('memory_pressure','swap_usage') then 'memory' when kind='disk_active_high' then 'disk' else 'network' end, 1, case when kind in ('cpu_single_core_saturation','swap_usage') then 1 else 0 end, kind, start_idx, core, target, null from anomalies",
+        "select run_id, 'network', 2, 0, 'mean_latency', null, null, null, null from v_lat group by 1 having avg(avg_ms)>=200",
+        f"select run_id, 'security', 3, 0, 'scanner', start_idx, null, lower(name), rank from sd_offenders where axis='cpu' and rank<=3 and lower(name) in {_in(SCANNER_NAMES)}",
+    ]),
     "dims": "select d.ord, d.dim, r.run_id from (select unnest([1,2,3,4,5,6]) ord, unnest(['cpu','memory','disk','network','security','background_noise']) dim) d, (select distinct run_id from v_sys) r",
     "bscores": "select d.run_id, d.dim, d.ord, coalesce(sum(p.points),0)::double points from dims d left join points p using (run_id, dim) group by 1,2,3",
     "branked": "select *, row_number() over (partition by run_id order by points desc, ord) rank from bscores",

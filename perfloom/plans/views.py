@@ -40,12 +40,12 @@ VIEWS = {
     "v_grow": f"select *, cast(floor(rss_bytes/1000.0) as bigint) num_handles, cast(floor(rss_bytes/20000.0) as bigint) num_threads from (select concat('run',cast(user_id%50%4 as string)) run_id, event_id row_ord, user_id%50 pid, concat('app',cast(user_id%50%9 as string),'.exe') name, {_REL} rel_seconds, cast(sum({_STEP}) over (partition by user_id%50 order by event_id) + 5000000 as bigint) rss_bytes from events) g",
     "v_lat": f"select concat('run',cast(o_custkey%4 as string)) run_id, o_orderkey row_ord, o_orderpriority target, cast({{ODAY}}*1037 as double) rel_seconds, case when {_NO_REPLY} then null else o_totalprice/1000 end avg_ms, case when {_NO_REPLY} then null else o_totalprice/800 end max_ms, cast(o_orderkey%7 as double) jitter_ms, cast(case when {_NO_REPLY} then 100 when o_orderkey%5=1 then 50 else 0 end as double) loss_pct, case when o_orderkey%4=0 then null else cast(o_custkey%400 as double) end resolve_ms, case when o_orderkey%3=0 then '' else concat('host-',lower(o_orderpriority)) end hostname_resolved from orders",
     "v_rep": "select concat('run',cast(o_custkey%4 as string)) run_id, o_orderkey row_ord, o_orderpriority target, 4 count, case o_orderkey%4 when 0 then '' when 1 then cast(o_orderkey%50 as string) when 2 then concat_ws(';',cast(o_orderkey%50 as string),cast(o_orderkey%31 as string)) else concat_ws(';',cast(o_orderkey%50 as string),cast(o_orderkey%31 as string),cast(o_orderkey%17 as string),cast(o_orderkey%23 as string)) end raw_times_ms from orders",
-    "v_svc": "select concat('run',cast(o_custkey%4 as string)) run_id, cast(floor({ODAY}/30) as bigint) snapshot_ord, concat('svc',cast(o_custkey%30 as string)) name, max(o_orderstatus) status, max(o_orderkey%6) pid from orders where o_orderkey%3=0 group by 1,2,3",
+    "v_svc": "select concat('run',cast(o_custkey%4 as string)) run_id, cast(floor({ODAY}/30) as bigint) snapshot_ord, concat('svc',cast(o_custkey%30 as string)) name, max(o_orderstatus) status, max(o_orderkey%6) pid from orders group by 1,2,3",
     "v_txt": "select concat('run',cast(user_id%4 as string)) run_id, event_id row_ord, case event_id%5 when 0 then '' when 1 then event_type when 2 then cast(event_id as string) when 3 then concat(cast(event_id as string),'.9') else concat('-',cast(event_id as string),'.7') end raw from events",
     "v_conn": "select concat('run',cast(o_custkey%4 as string)) run_id, o_orderkey row_ord, cast({ODAY}*1037 as double) rel_seconds, o_custkey%50 pid, concat('app',cast(o_custkey%50%9 as string),'.exe') name, concat('192.168.0.1:',cast(o_orderkey%60000 as string)) laddr, case when o_orderkey%9=0 then '' when o_orderkey%9=1 then concat('[fe80::',cast(o_custkey%5 as string),']:443') when o_orderkey%9=2 then '127.0.0.1:80' else concat('10.0.',cast(o_custkey%3 as string),'.',cast(o_orderkey%40 as string),':443') end raddr, case o_orderstatus when 'O' then 'ESTABLISHED' when 'F' then 'TIME_WAIT' else '' end status, case when o_orderkey%5=0 then 'udp' else 'tcp' end type from orders",
-    "v_evt": f"select concat('run',cast(user_id%4 as string)) run_id, event_id row_ord, {_REL} rel_seconds, event_id%3+1 level_code, case event_id%4 when 0 then 'disk' when 1 then 'Service Control Manager' when 2 then 'Application Error' else 'Unlisted' end provider from events where event_type='error'",
+    "v_evt": f"select concat('run',cast(user_id%4 as string)) run_id, event_id row_ord, {_REL} rel_seconds, event_id%3+1 level_code, case event_id%4 when 0 then 'disk' when 1 then 'Service Control Manager' when 2 then 'Application Error' else 'Unlisted' end provider from events",
     "v_io": "select concat('run',cast(l_orderkey%4 as string)) run_id, l_orderkey*10+l_linenumber row_ord, case l_returnflag when 'A' then 'DiskRead' when 'N' then 'FileWrite' else 'FileIo' end event_name, l_suppkey%60 pid, l_partkey bytes from lineitem",
-    "v_snap": "select distinct concat('run',cast(l_orderkey%4 as string)) run_id, cast(floor({DAY}/30) as bigint) snapshot_ord, l_suppkey pid, {PICK} name from lineitem where l_partkey%5=0",
+    "v_snap": "select distinct concat('run',cast(l_orderkey%4 as string)) run_id, cast(floor({DAY}/30) as bigint) snapshot_ord, l_suppkey pid, {PICK} name from lineitem",
     "v_gpu": "select concat('run',cast(user_id%4 as string)) run_id, event_id row_ord, cast(floor(({US}-1704067200000000)/3600000000) as bigint) snapshot, concat('pid_',cast(user_id as string),'_luid_0x00000000_0x0000A2',cast(user_id%2 as string),'_phys_0_eng_3_engtype_',case event_id%3 when 0 then '3D' when 1 then 'Copy' else 'VideoDecode' end) instance, value from events",
     "v_ctr": f"select concat('run',cast(user_id%4 as string)) run_id, user_id pid, event_id row_ord, {_REL} mono, sum(cast(floor(value*1000) as bigint)) over (partition by user_id order by event_id) read_bytes from events",
     "v_tot": f"select concat('run',cast(user_id%4 as string)) run_id, event_id row_ord, {_REL} mono, cast(event_id*1000+floor(value*100) as bigint) disk_read_bytes, cast(event_id*3 as bigint) disk_write_count, cast(event_id*2000+floor(value*5000) as bigint) disk_busy_ms, cast(event_id*500 as bigint) net_bytes_sent, cast(event_id*7 as bigint) ctx_switches from events",
@@ -59,12 +59,6 @@ def duckdb_view(name: str) -> str:
     return VIEWS[name].format(**DUCKDB)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More tasks for a scan that cannot be split as far as there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 class Views:
     """Lazy access to the views over one folder of parquet tables."""
 

@@ -8,7 +8,7 @@ overrides of every run.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +52,7 @@ class Thresholds:
     slowdown_latency_pad_seconds: float = 10.0
     slowdown_likely_samples: int = 10
     slowdown_strong_samples: int = 20
+    trend_min_points: int = 20
     leak_min_growth_bytes: float = 20.0 * 1024 * 1024
     handle_min_growth: float = 100.0
     handle_strong_end: float = 5000.0
@@ -68,7 +69,13 @@ class Thresholds:
 
 
 # The fields a run manifest may override; anything else in it is ignored.
-MANIFEST_FIELDS = tuple(f.name for f in fields(Thresholds))[:19]
+MANIFEST_FIELDS = (
+    "cpu_sustained_pct", "cpu_sustained_seconds", "cpu_single_core_pct", "cpu_single_core_seconds",
+    "mem_used_pct_high", "mem_used_pct_critical", "mem_commit_growth_mb_per_min", "disk_active_pct", "disk_active_seconds",
+    "net_latency_ms_high", "net_latency_ms_critical", "handle_growth_per_min_suspicious", "handle_growth_per_min_likely",
+    "thread_growth_per_min_suspicious", "thread_growth_per_min_likely", "leak_min_duration_seconds",
+    "leak_min_slope_bytes_per_sec", "slowdown_merge_gap_seconds", "slowdown_min_duration_seconds",
+)
 
 
 @dataclass(frozen=True)

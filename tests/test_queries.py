@@ -7,7 +7,7 @@ from perfloom.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 HEAVY = {  # built from everything else; check_oracles.py runs them on larger tables as well
-    "bottleneck_scores", "classify_bottleneck", "bottleneck_reasons", "recommendations", "score_class", "run_scores",
+    "bottleneck_scores", "classify_bottleneck", "recommendations", "score_class", "run_scores",
     "run_verdict", "comparison_rankings", "pairwise_observations", "comparison_winners", "run_summary", "stability_score",
     "grade_confidence", "memory_leaks", "handle_leaks", "thread_leaks", "hygiene_score", "event_bucket_counts",
 }

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from perfloom.operators import series
@@ -161,3 +162,11 @@ def test_time_range_join_spreads_and_keeps_pairs(spark):
     i = spark.createDataFrame(intervals, "run_id string, k long, lo double, hi double")
     got = sorted((r.pid, r.k) for r in series.time_range_join(p, i, "lo", "hi").collect())
     assert got == sorted((a[1], b[1]) for a in points for b in intervals if b[2] <= a[2] <= b[3])
+
+
+def test_moving_average_longer_than_a_chunk(spark):
+    n, window = (50, 11) if series.CHUNK == 4 else (140_000, 70_000)
+    rows = spark.range(n).selectExpr("'r' run_id", "id idx", "cast(id * 7919 % 1000 as double) v")
+    w = W.partitionBy("run_id").orderBy("idx").rowsBetween(1 - window, 0)
+    got = series.moving_average(rows, "v", window).withColumn("plain", F.avg("v").over(w))
+    assert got.agg(F.count("idx"), F.count_if(F.expr("abs(smooth - plain) > 1e-6"))).first() == (n, 0)
