@@ -266,7 +266,10 @@ def percentile_linear(
 
 
 def moving_average(df: DataFrame, col: str, window: int, keys: Sequence[str] = RUN, name: str = "smooth") -> DataFrame:
-    """Trailing mean over up to ``window`` rows."""
+    """Trailing mean over up to ``window`` rows.
+
+    The frame is summed for each row; for windows of many thousand rows `grouped_moving_average` costs less.
+    """
     back = max(window - 1, 0)
     return with_neighbours(
         df, {name: lambda w: F.avg(col).over(w.rowsBetween(-back, 0))}, keys, back=back

@@ -165,7 +165,7 @@ def test_time_range_join_spreads_and_keeps_pairs(spark):
 
 
 def test_moving_average_longer_than_a_chunk(spark):
-    n, window = (50, 11) if series.CHUNK == 4 else (140_000, 70_000)
+    n, window = 50, 11  # three chunks of four back
     rows = spark.range(n).selectExpr("'r' run_id", "id idx", "cast(id * 7919 % 1000 as double) v")
     w = W.partitionBy("run_id").orderBy("idx").rowsBetween(1 - window, 0)
     got = series.moving_average(rows, "v", window).withColumn("plain", F.avg("v").over(w))
