@@ -8,12 +8,15 @@ words met again are taken over; this changes the time and never the ids. Words l
 A byte-level vocabulary keeps blanks: a single blank between two words belongs to the second word, and a
 single line end between two words is a token of its own. Only texts whose white space is of these two kinds
 are taken apart, any other text goes through the tokenizer whole. The other kind drops
-white space, so texts are taken apart at blanks, tabs and line ends.
+white space and case, so texts are taken apart at blanks, tabs and line ends.
+
+A word of Latin letters alone is one piece for both kinds, so it goes straight to the tokenizer's model.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
@@ -22,6 +25,10 @@ REMEMBERED = 700_000
 STOPS = frozenset(".,;:!?")
 LONGEST = 64
 BLANKS = "\t\n\r"
+#: All white space but blanks and line ends.
+OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Letters that are composed already and stay letters in lower case (U+0130 does not).
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 
 
 @lru_cache(maxsize=1)
@@ -30,6 +37,16 @@ def text_ids(vocabulary: str, keeps_blanks: bool, end: int, width: int = 4) -> T
     return TextIds(vocabulary, keeps_blanks, end, width)
 
 
+class Memory(dict):
+    """Ids of words; a word that it lacks is noted in ``missed`` and gives None."""
+
+    def __init__(self):
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.missed.append(word)
+
+
 class TextIds:
     """``vocabulary``: path of a tokenizers file. ``keeps_blanks``: see above. ``end``: id after each text.
     ``width``: bytes of an id in the result, 4 or, for vocabularies of at most 65,536 ids, 2."""
@@ -40,13 +57,13 @@ class TextIds:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.keeps_blanks, self.kind = keeps_blanks, {2: "H", 4: "I"}[width]
         self.end = self._bytes([end])
         self.line_end = self._whole("\n") if keeps_blanks else b""
         self.stops = {c: self._whole(c) for c in STOPS}
-        self.older: dict[str, dict[str, bytes]] = {"known": {}, "first": {}}
-        self.known: dict[str, bytes] = {}  # words after a blank, or all words of the other kind
-        self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.shown = shown_bytes()
+        self.memory, self.older = Memory(), {}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()  # little-endian on the machines Spark runs on
@@ -54,55 +71,72 @@ class TextIds:
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, name: str, words: set[str], prefix: str) -> None:
+    def _learn(self, words: set[str]) -> None:
         """Remember words; letters and one mark after them are tokenized apart by both kinds."""
-        memory, older = getattr(self, name), self.older[name]
-        new = words.difference(memory)
+        memory, older = self.memory, self.older
         if older:
-            memory.update((w, older[w]) for w in new if w in older)
-            new = new.difference(memory)
-        stopped = [w for w in new if w[-1:] in self.stops and w[:-1].isalpha()]
-        new = list(new.difference(stopped).union(w[:-1] for w in stopped).difference(memory))
-        found = self.tokenizer.encode_batch_fast([prefix + w for w in new], add_special_tokens=False)
-        memory.update(zip(new, [self._bytes(e.ids) for e in found], strict=True))
+            memory.update((w, older[w]) for w in words if w in older)
+            words = {w for w in words if w not in memory}
+        stopped = [w for w in words if w[-1:] in STOPS and letters(w[:-1].lstrip("\n"))]
+        words = {w for w in words.union(w[:-1] for w in stopped).difference(stopped) if w not in memory}
+        others, kind, tokenize = [], self.kind, self.model.tokenize
+        for word in words:
+            text, before = self._spelled(word)
+            if LATIN(text, text[:1] == " "):
+                if not self.keeps_blanks:
+                    text = text.lower()
+                shown = text.encode().decode("latin-1").translate(self.shown)
+                memory[word] = before + array(kind, [t.id for t in tokenize(shown)]).tobytes()
+            else:
+                others.append((word, text, before))
+        found = self.tokenizer.encode_batch_fast([text for _, text, _ in others], add_special_tokens=False)
+        memory.update((word, before + self._bytes(e.ids)) for (word, _, before), e in zip(others, found, strict=True))
         memory.update((w, memory[w[:-1]] + self.stops[w[-1]]) for w in stopped)
 
+    def _spelled(self, word: str) -> tuple[str, bytes]:
+        """What the tokenizer sees of a word, and the ids before it."""
+        if not self.keeps_blanks:
+            return word, b""
+        return (word[1:], self.line_end) if word[:1] == "\n" else (" " + word, b"")
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids as little-endian integers, with the end id; a null text is an empty one."""
         texts = ["" if t is None else t for t in texts]
-        found = self._kept(texts) if self.keeps_blanks else self._dropped(texts)
-        for name in ("known", "first"):
-            memory = getattr(self, name)
-            if len(memory) > REMEMBERED:
-                self.older[name] = memory
-                setattr(self, name, {})
-            elif any(len(w) > LONGEST for w in self.fresh):
-                for w in self.fresh:
-                    if len(w) > LONGEST:
-                        memory.pop(w, None)
-        return found
-
-    def _dropped(self, texts: list[str]) -> list[bytes]:
-        parts = [blanks_only(t).split(" ") for t in texts]
-        self.fresh = set().union(*parts).difference(self.known)
-        self._learn("known", self.fresh, "")
-        get = self.known.__getitem__
-        return [b"".join([*map(get, p), self.end]) for p in parts]
-
-    def _kept(self, texts: list[str]) -> list[bytes]:
-        parts = [[line.split(" ") for line in t.split("\n")] if plain(t) else None for t in texts]
-        starts = {line[0] for p in parts if p for line in p}
-        words = set().union(*(line[1:] for p in parts if p for line in p))
-        self.fresh = words.difference(self.known) | starts.difference(self.first)
-        self._learn("first", starts, "")
-        self._learn("known", words, " ")
-        get, out = self.known.__getitem__, []
-        for text, lines in zip(texts, parts, strict=True):
-            if lines is None:
-                out.append(self._whole(text) + self.end)
-            else:
-                out.append(self.line_end.join([b"".join([self.first[x[0]], *map(get, x[1:])]) for x in lines]) + self.end)
-        return out
+        recall = self.memory.__getitem__
+        found = [None if self.keeps_blanks and not plain(t) else list(map(recall, self._words(t))) for t in texts]
+        missed, self.memory.missed = self.memory.missed, []
+        fresh = set(missed)
+        self._learn(fresh)
+        at = 0
+        for ids in found:
+            i = -1
+            for _ in range(ids.count(None) if ids else 0):
+                i = ids.index(None, i + 1)
+                ids[i] = self.memory[missed[at]]
+                at += 1
+        if len(self.memory) > REMEMBERED:
+            self.older, self.memory = self.memory, Memory()
+        for word in fresh:
+            if len(word) > LONGEST:
+                self.memory.pop(word, None)
+        skipped = len(self.line_end)
+        return [self._whole(t) + self.end if ids is None else b"".join([*ids, self.end])[skipped:] for t, ids in zip(texts, found, strict=True)]
+
+    def _words(self, text: str) -> list[str]:
+        """The words between blanks; with kept blanks, a line's first word has its line end before it, the text's too."""
+        return ("\n" + text.replace("\n", " \n") if self.keeps_blanks else blanks_only(text)).split(" ")
+
+
+def letters(text: str) -> bool:
+    """Whether a text is letters alone, in lower case too."""
+    return text.isalpha() and text.lower().isalpha()
+
+
+def shown_bytes() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: those that print are shown as
+    themselves, the rest as the characters from 256 on."""
+    printed = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+    return {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - printed))}
 
 
 def blanks_only(text: str) -> str:
@@ -116,4 +150,4 @@ def plain(text: str) -> bool:
     """Whether all white space of a text is single blanks and line ends between words."""
     if not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace():
         return not text
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+    return not any(c in text for c in OTHER_BLANKS)
