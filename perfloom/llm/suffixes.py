@@ -72,9 +72,10 @@ def kept_bytes(text: Column, spans: Column) -> Column:
 
 
 def _with(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """``keyed`` with the columns found for its (doc_id, text_hash)."""
+    """``keyed`` with the columns found for its (doc_id, text_hash). Both sides are shuffled and sorted whatever
+    their sizes, so that memory and disk behave alike on small and large corpora."""
     same = keyed["_doc"].eqNullSafe(found["doc_key"]) & (keyed["_hash"] == found["text_hash"])
-    return keyed.join(found, same, "left").drop("doc_key", "text_hash", "count_of_spans")
+    return keyed.join(found.hint("merge"), same, "left").drop("doc_key", "text_hash", "count_of_spans")
 
 
 def gram_hashes(data):
