@@ -150,8 +150,8 @@ def _runs(keyed: DataFrame, window: int) -> DataFrame:
 def _repeats(keyed: DataFrame, window: int) -> DataFrame:
     """doc_key, text_hash, start and end of repeated stretches, not yet merged."""
     runs = _runs(keyed, window)
-    grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    chosen = runs.join(grams, "gram")
+    grams = written(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    chosen = runs.join(grams.hint("merge"), "gram")  # two plain shuffles, so that Spark can split a crowded gram
     parts = F.least(F.ceil(F.col("n") / CROWD), F.lit(PARTS)).cast("long")
     width = window - GRAM + 1
     chosen = chosen.withColumn("parts", parts)
