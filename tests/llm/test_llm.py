@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from perfloom.llm import chat, components, forest, language, minhash, mixing, packing, records, suffixes, topk, warc
 from perfloom.llm.queries import BYTES, WORDS, vocabulary
 
@@ -172,3 +173,16 @@ def test_packing_and_records(spark, docs):
         before += len(r.ids) // 4
     again = records.read_shuffled(manifest, 5)
     assert sorted(r.doc_id for r in again.collect()) == sorted(ids)
+
+
+def test_pipeline_cuts_passages_of_over_fifty_words(spark):
+    draw = np.random.default_rng(8)
+    own = lambda: " ".join(f"own{draw.integers(10**9)}" for _ in range(40))
+    long, short, tiny = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("p", 51), ("q", 50), ("r", 30)))
+    han = "".join(chr(0x4E00 + i) for i in range(60))
+    rows = [(i, f"{own()} {part} {own()}") for i, part in enumerate([long, long, short, short, tiny, tiny, han, han])]
+    rows += [(8, long.replace("p", "s")), (9, long.replace("p", "s")), (10, None)]
+    table = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, table, "").collect()}
+    assert not any(f"{part[1:-1]}" in found[i] for i, part in ((0, long), (1, long), (6, han), (7, han)))
+    assert all(found[i] == dict(rows)[i] for i in (2, 3, 4, 5, 10)) and 8 not in found and 9 not in found
