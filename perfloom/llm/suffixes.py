@@ -6,15 +6,19 @@ buckets in which all equal windows meet. Here it is the least hash of the window
 1. Texts that occur as a whole more than once (told by 96 bits of hashes and the length) are removed as
    a whole and sorted once. One pass cuts each other text into runs of window starts with the same least gram. Runs whose gram hash
    occurs once can hold no repeated window and end here.
-2. The bytes of the other runs are dealt by gram hash to buckets of about `BUCKET` bytes. A gram with very many
-   runs (a passage that many documents share) is dealt further by the gram's place in the window, which is
-   equal in equal windows too.
+2. The bytes of the other runs are dealt by gram hash to buckets of about `BUCKET` bytes, at most `CROWD` runs of a gram.
+   Runs of a gram with more (a passage or phrase that many documents share) send no bytes. They are cut into `PARTS`
+   pieces by the gram's place in the window, which is equal in equal windows too. All windows of a piece have all but a
+   few bytes in common, so 128 bits of a hash of the common bytes and the few bytes around them tell windows apart.
+   Pieces are counted by that hash before a shuffle; where the bytes around differ, windows are counted. No group meets
+   in one task, whatever its size.
 3. A bucket sorts its suffixes by the difference-cover algorithm: triples at two of three positions are sorted and
    named, the names are sorted recursively, the remaining suffixes follow from one symbol and the rank after it, and
    are merged in. Runs with equal bytes are sorted once and counted.
 4. Neighbours in that order are compared over `WINDOW` bytes; what is equal is a repeated window.
 
-Recursion ends when names span a window. Which windows are equal is decided by their bytes.
+Recursion ends when names span a window. Which windows are equal is decided by their bytes, for crowded grams by the
+hash of the common bytes and the bytes around.
 
 Cases: null texts are empty; texts shorter than a window have no repeated part; a null doc_id and rows
 that repeat a doc_id are documents like others; rows that repeat both doc_id and text repeat each
@@ -71,11 +75,12 @@ def kept_bytes(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, data).otherwise(F.aggregate(gaps, F.lit(b""), lambda whole, part: F.concat(whole, part)))
 
 
-def _with(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """``keyed`` with the columns found for its (doc_id, text_hash). Both sides are shuffled and sorted whatever
+def _with(keyed: DataFrame, found: DataFrame, kept: str = "") -> DataFrame:
+    """``keyed`` with the columns found for its (doc_id, text_hash), only rows that have ``kept`` if it is given. Both sides are shuffled and sorted whatever
     their sizes, so that memory and disk behave alike on small and large corpora."""
     same = keyed["_doc"].eqNullSafe(found["doc_key"]) & (keyed["_hash"] == found["text_hash"])
-    return keyed.join(found.hint("merge"), same, "left").drop("doc_key", "text_hash", "count_of_spans")
+    out = keyed.join(found.hint("merge"), same, "left").drop("doc_key", "text_hash", "count_of_spans")
+    return out.filter(F.col(kept).isNotNull()) if kept else out
 
 
 def gram_hashes(data):
@@ -152,19 +157,87 @@ def _repeats(keyed: DataFrame, window: int) -> DataFrame:
     runs = _runs(keyed, window)
     grams = written(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     chosen = runs.join(grams.hint("merge"), "gram")  # two plain shuffles, so that Spark can split a crowded gram
-    parts = F.least(F.ceil(F.col("n") / CROWD), F.lit(PARTS)).cast("long")
+    found = written(_sorted_repeats(keyed, chosen.filter(F.col("n") <= CROWD), window))
+    if not grams.filter(F.col("n") > CROWD).isEmpty():
+        found = found.unionByName(written(_counted_repeats(written(_pieces(keyed, chosen.filter(F.col("n") > CROWD), window)), window)))
+    return found
+
+
+def _listed(chosen: DataFrame, shape: Column) -> DataFrame:
+    listed = chosen.groupBy(F.col("doc_id").alias("doc_key"), "text_hash").agg(F.collect_set(shape).alias("runs"))
+    return written(listed.withColumns({"node": F.monotonically_increasing_id(), "count_of_spans": F.size("runs")}))
+
+
+def _pieces(keyed: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
+    """Runs of crowded grams in pieces. A piece has the window starts from first to last; `common` is a hash of the
+    bytes that its windows share, `left` and `right` are its bytes before and after those, `skipped` is how many bytes
+    to the right the first window reaches."""
     width = window - GRAM + 1
-    chosen = chosen.withColumn("parts", parts)
-    low, high = (F.floor((F.col("place") - F.col(c)) * F.col("parts") / width) for c in ("last", "first"))
-    reached = F.sequence(F.greatest(low - 1, F.lit(0)), F.least(high + 1, F.col("parts") - 1))  # the filter below is exact
-    chosen = chosen.withColumn("part", F.explode(reached))
-    near, far = (F.floor(F.lit(width) * (F.col("part") + k) / F.col("parts")) for k in (0, 1))  # places of the gram in the window
-    chosen = chosen.withColumns({"first": F.greatest("first", F.col("place") - far + 1), "last": F.least("last", F.col("place") - near)}).filter("first <= last")
-    shape = F.struct("gram", "part", "first", "last")
-    listed = written(
-        chosen.groupBy(F.col("doc_id").alias("doc_key"), "text_hash").agg(F.collect_set(shape).alias("runs"))
-        .withColumns({"node": F.monotonically_increasing_id(), "count_of_spans": F.size("runs")})
+    count = min(PARTS, width)
+    bounds = [width * k // count for k in range(count + 1)]  # places of the gram in the window
+
+    def cut(batches):
+        from bisect import bisect_right
+        from hashlib import blake2b
+
+        import pandas as pd
+
+        names = ["doc_key", "text_hash", "part", "common", "left", "right", "skipped", "first", "last"]
+        for batch in batches:
+            found = []
+            for doc, key, runs, text in zip(batch["doc_key"], batch["text_hash"], batch["runs"], batch["text"], strict=True):
+                whole = text.encode()
+                doc = None if pd.isna(doc) else int(doc)
+                for r in runs:
+                    place = r["place"]
+                    for k in range(bisect_right(bounds, place - r["last"]) - 1, bisect_right(bounds, place - r["first"])):
+                        start, end = place - bounds[k], place - bounds[k + 1] + 1 + window  # of the common bytes
+                        a, b = max(r["first"], end - window), min(r["last"], start)
+                        common = blake2b(whole[start:end], digest_size=16).digest()
+                        found.append((doc, key, k, common, whole[a:start], whole[end : b + window], a + window - end, a, b))
+                if len(found) > 50_000:
+                    yield framed(found, names, pd)
+                    found = []
+            if found:
+                yield framed(found, names, pd)
+
+    def framed(found, names, pd):
+        return pd.DataFrame(found, columns=names).astype({"doc_key": "Int64"})
+
+    listed = _listed(chosen, F.struct("place", "first", "last"))
+    texts = _with(keyed, listed, kept="node").select(F.col("_doc").alias("doc_key"), F.col("_hash").alias("text_hash"), "runs", F.col("text").cast("string").alias("text"))
+    return texts.mapInPandas(cut, "doc_key long, text_hash long, part int, common binary, left binary, right binary, skipped int, first long, last long")
+
+
+def _counted_repeats(pieces: DataFrame, window: int) -> DataFrame:
+    """`_repeats` of `_pieces`. Spark adds up counts in each task before it shuffles them, and splits skewed joins."""
+    keys = ["part", "common"]
+    size = F.octet_length("left")
+    around = F.struct(size, "skipped", "left", "right")
+    tags = {k: F.xxhash64(F.lit(k), around) for k in (0, 1)}
+    groups = pieces.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[f(tags[k]).alias(f"{name}{k}") for k in tags for name, f in (("low", F.min), ("high", F.max))]
+    ).filter("n > 1")
+    groups = written(groups.select(*keys, ((F.col("low0") != F.col("high0")) | (F.col("low1") != F.col("high1"))).alias("mixed")))
+    met = pieces.join(groups, keys)
+    alike = met.filter("not mixed").select("doc_key", "text_hash", F.col("first").alias("start"), "last")
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - F.col("first")))
+    single = met.filter("mixed").withColumn("step", step)
+    reach = (F.col("skipped") + F.col("step")).cast("int")
+    before = F.substring("left", (F.col("step") + 1).cast("int"), size)
+    single = single.select(
+        "doc_key", "text_hash", *keys, (F.col("first") + F.col("step")).alias("start"),
+        F.concat(before, F.substring("right", F.lit(1), reach)).alias("around"), reach.alias("reach"),
     )
+    keys = [*keys, "reach", "around"]
+    again = written(single.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    one = single.join(again, keys).select("doc_key", "text_hash", "start", F.col("start").alias("last"))
+    return alike.unionByName(one).withColumn("end", F.col("last") + window).drop("last")
+
+
+def _sorted_repeats(keyed: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
+    """`_repeats` of runs whose grams are not crowded, by sorting their bytes in buckets."""
+    listed = _listed(chosen, F.struct("gram", "first", "last"))
     total = listed.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + window))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))
 
@@ -176,17 +249,17 @@ def _repeats(keyed: DataFrame, window: int) -> DataFrame:
             for node, runs, text in zip(batch["node"], batch["runs"], batch["text"], strict=True):
                 whole = text.encode()
                 for r in runs:
-                    found.append((r["gram"], r["part"], node, r["first"], whole[r["first"] : r["last"] + window]))
+                    found.append((r["gram"], node, r["first"], whole[r["first"] : r["last"] + window]))
                     size += len(found[-1][-1])
                 if size > 1 << 22:
-                    yield pd.DataFrame(found, columns=["gram", "part", "node", "first", "data"])
+                    yield pd.DataFrame(found, columns=["gram", "node", "first", "data"])
                     found, size = [], 0
             if found:
-                yield pd.DataFrame(found, columns=["gram", "part", "node", "first", "data"])
+                yield pd.DataFrame(found, columns=["gram", "node", "first", "data"])
 
-    texts = _with(keyed, listed).filter("node is not null").select("node", "runs", F.col("text").cast("string").alias("text"))
-    pieces = texts.mapInPandas(cut, "gram long, part long, node long, first long, data binary")
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("gram", "part"), F.lit(buckets)))
+    texts = _with(keyed, listed, kept="node").select("node", "runs", F.col("text").cast("string").alias("text"))
+    pieces = texts.mapInPandas(cut, "gram long, node long, first long, data binary")
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
 
     def bucket(frame):
         import numpy as np
@@ -200,7 +273,7 @@ def _repeats(keyed: DataFrame, window: int) -> DataFrame:
         return pd.DataFrame(out, columns=["node", "start", "end"], dtype=np.int64)
 
     found = dealt.groupBy("bucket").applyInPandas(bucket, "node long, start long, end long")
-    return written(found.join(listed.select("node", "doc_key", "text_hash"), "node").drop("node"))
+    return found.join(listed.select("node", "doc_key", "text_hash"), "node").drop("node")
 
 
 def _merged(found: DataFrame) -> DataFrame:

@@ -186,3 +186,34 @@ def test_pipeline_cuts_passages_of_over_fifty_words(spark):
     found = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, table, "").collect()}
     assert not any(f"{part[1:-1]}" in found[i] for i, part in ((0, long), (1, long), (6, han), (7, han)))
     assert all(found[i] == dict(rows)[i] for i in (2, 3, 4, 5, 10)) and 8 not in found and 9 not in found
+
+
+def test_crowded_grams(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CROWD", 4)
+    draw = np.random.default_rng(11)
+    own = lambda n: " ".join(draw.choice(WORD, n))
+    passage, phrase = own(40), own(9)
+    rows = [(i, f"{own(15)}{i} {passage if i % 3 else phrase} {own(15)}") for i in range(40)]
+    rows += [(100 + i, f"{i}{passage[:58 + i]}{'xyz'[i % 3]}") for i in range(12)] + [(200, passage), (None, passage), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffixes.repeated_spans(table, 60).select("text", suffixes.kept_bytes(F.col("text"), F.col("_spans")).alias("kept")).collect()
+    data = [(t or "").encode() for _, t in rows]
+    want = Counter((d, bytes(np.frombuffer(d, np.uint8)[~h])) for d, h in zip(data, _repeated(data, 60), strict=True))
+    assert Counter(((r.text or "").encode(), bytes(r.kept)) for r in found) == want
+
+
+def test_no_bucket_grows_with_a_hot_passage(spark, monkeypatch):
+    """The bytes that meet in one task stay bounded when ever more documents share a passage."""
+    seen = []
+    dealt = type(spark.range(1).groupBy("id")).applyInPandas
+
+    def watched(group, function, schema):
+        seen.append(group._df.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0)
+        return dealt(group, function, schema)
+
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInPandas", watched)
+    monkeypatch.setattr(suffixes, "CROWD", 16)
+    passage = " ".join(WORD[:60])
+    table = spark.range(300).select("id", F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit(passage), F.sha2((-F.col("id")).cast("string"), 512)).alias("text")).withColumnRenamed("id", "doc_id")
+    out = suffixes.repeated_spans(table, 60).select(F.explode("_spans").alias("s")).groupBy(F.col("s.end") - F.col("s.start")).count().collect()
+    assert sum(r["count"] for r in out) == 300 and seen and max(seen) < 300
