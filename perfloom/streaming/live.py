@@ -4,6 +4,12 @@ Operators that need earlier rows (rates, snapshot diffs) run the batch operator
 micro-batch plus a few carried rows, so they stay as parallel as in batch and give the same
 rows. The carried rows are a small table per batch id under ``state``; a retried batch reads
 the state of the batch before and writes its own again.
+
+Batches may split a tick, snapshot or window, and rows may come late. A run's rows are held back until one
+has come that is newer by more than ``lateness``; only then are their results written, as ``batch=<id>``, once and for
+good. A query that ends with its input (``once``) also writes what is still held back, as ``batch=open``, which the
+next batch replaces. Rows that come after their results were written are no part of any result; they are
+kept under ``_late``.
 """
 
 from __future__ import annotations
@@ -47,12 +53,15 @@ def _with_carry(
     rows: DataFrame,
     operator: Callable[[DataFrame], DataFrame],
     carry: Callable[[DataFrame], DataFrame],
-    fresh: Callable[[DataFrame, DataFrame], DataFrame],
+    at: str,
+    lateness: float,
     state: str,
     path: str,
     checkpoint: str,
     once: bool,
+    held: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> StreamingQuery:
+    """``carry`` picks what later rows need of closed rows, ``held`` what the operator needs of open ones."""
     schema = rows.schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -61,18 +70,35 @@ def _with_carry(
             old = spark.createDataFrame([], schema)
         else:
             old = spark.read.schema(schema).parquet(f"{state}/{batch_id - 1}")
-        both = old.unionByName(batch).persist()
+        batch = _bordered(batch, old, at, lateness, "_done").persist()
+        late = F.coalesce(F.col(at) < F.col("_done"), F.lit(False))
+        both = old.unionByName(batch.filter(~late).drop("_done")).persist()
         try:
-            out = fresh(operator(both), old)
-            out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-            carry(both).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+            out = _bordered(_bordered(operator(both), old, at, lateness, "_done"), both, at, lateness, "_border").persist()
+            new = F.col("_done").isNull() | F.col(at).isNull() | (F.col(at) >= F.col("_done"))
+            is_open = F.coalesce(F.col(at) >= F.col("_border"), F.lit(False))
+            out.filter(new & ~is_open).drop("_done", "_border").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            if once:
+                out.filter(is_open).drop("_done", "_border").write.mode("overwrite").parquet(f"{path}/batch=open")
+            out.unpersist()
+            batch.filter(late).drop("_done").write.mode("overwrite").parquet(f"{path}/_late/{batch_id}")
+            kept = _bordered(both.filter(F.col(at).isNotNull()), both, at, lateness, "_border")
+            closed, still = (kept.filter(c).drop("_border") for c in (~is_open, is_open))
+            carry(closed).unionByName(held(still)).write.mode("overwrite").parquet(f"{state}/{batch_id}")
         finally:
             both.unpersist()
+            batch.unpersist()
 
     writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _bordered(df: DataFrame, seen: DataFrame, at: str, lateness: float, name: str) -> DataFrame:
+    """``df`` with the first moment of its run that is still open after the rows ``seen``; null for unseen runs."""
+    newest = seen.groupBy(F.col("run_id").alias("_run")).agg((F.max(at) - F.lit(lateness)).alias(name))
+    return df.join(newest, df["run_id"].eqNullSafe(newest["_run"]), "left").drop("_run")
+
+
 def _last_rows(keys: list[str], at: str) -> Callable[[DataFrame], DataFrame]:
     """The newest row of each key."""
 
@@ -95,31 +121,23 @@ def _last_tick(at: str) -> Callable[[DataFrame], DataFrame]:
     return pick
 
 
-def _unseen(identity: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Results of the rows that were not carried over."""
-    return lambda out, old: out.join(old.select(*identity), identity, "left_anti")
-
+def stream_system_rates(rows, state, path, checkpoint, at: str = "mono", once: bool = True, lateness: float = 10) -> StreamingQuery:
+    return _with_carry(rows, lambda d: derive.system_rates(d, at), _last_rows(["run_id"], at), at, lateness, state, path, checkpoint, once)
 
-def stream_system_rates(rows, state, path, checkpoint, at: str = "mono", once: bool = True) -> StreamingQuery:
-    return _with_carry(rows, lambda d: derive.system_rates(d, at), _last_rows(["run_id"], at),
-                       _unseen(["run_id", at, "row_ord"]), state, path, checkpoint, once)
 
+def stream_adapter_rates(rows, state, path, checkpoint, at: str = "mono", once: bool = True, lateness: float = 10) -> StreamingQuery:
+    return _with_carry(rows, lambda d: derive.adapter_rates(d, at), _last_tick(at), at, lateness, state, path, checkpoint, once)
 
-def stream_adapter_rates(rows, state, path, checkpoint, at: str = "mono", once: bool = True) -> StreamingQuery:
-    return _with_carry(rows, lambda d: derive.adapter_rates(d, at), _last_tick(at),
-                       _unseen(["run_id", "adapter", at]), state, path, checkpoint, once)
 
+def stream_process_io_rates(rows, state, path, checkpoint, at: str = "mono", once: bool = True, lateness: float = 10) -> StreamingQuery:
+    return _with_carry(rows, lambda d: derive.process_io_rates(d, at), _last_rows(["run_id", "pid"], at), at, lateness, state, path, checkpoint, once)
 
-def stream_process_io_rates(rows, state, path, checkpoint, at: str = "mono", once: bool = True) -> StreamingQuery:
-    return _with_carry(rows, lambda d: derive.process_io_rates(d, at), _last_rows(["run_id", "pid"], at),
-                       _unseen(["run_id", "pid", at, "row_ord"]), state, path, checkpoint, once)
 
-
-def stream_snapshot_diff(rows, state, path, checkpoint, services: bool = False, once: bool = True) -> StreamingQuery:
-    """Process (or service) events of snapshots that arrive whole, in order."""
+def stream_snapshot_diff(rows, state, path, checkpoint, services: bool = False, once: bool = True, lateness: int = 1) -> StreamingQuery:
+    """Process (or service) events; a snapshot is open until one newer by more than ``lateness`` snapshots has come."""
     diff = derive.service_snapshot_diff if services else derive.process_snapshot_diff
-    # The carried snapshot is the first one of the next batch and gives no events there itself.
-    return _with_carry(rows, diff, _last_tick("snapshot_ord"), lambda out, old: out, state, path, checkpoint, once)
+    # The last closed snapshot is the first one of the next batch and gives no events there itself.
+    return _with_carry(rows, diff, _last_tick("snapshot_ord"), "snapshot_ord", lateness, state, path, checkpoint, once)
 
 
 def stream_app_ticks(process: DataFrame, lateness: str = "10 seconds") -> DataFrame:
@@ -143,11 +161,15 @@ def refresh_candidates(process: DataFrame, n: int = 20, every: int = 10) -> Data
     return derive.candidate_processes(d, n, ("run_id", "refresh"))
 
 
-def stream_candidates(process: DataFrame, path: str, checkpoint: str, n: int = 20, once: bool = True) -> StreamingQuery:
-    """`refresh_candidates` on each batch (a batch must hold whole windows)."""
+def stream_candidates(
+    process: DataFrame, path: str, checkpoint: str, n: int = 20, once: bool = True, every: int = 10, lateness: float = 10
+) -> StreamingQuery:
+    """`refresh_candidates`; a window is open until one has come that begins later by more than ``lateness`` seconds."""
+    rows = process.withColumn("refresh", F.floor(F.col("rel_seconds") / every) * every)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        refresh_candidates(batch, n).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def first_ticks(df: DataFrame) -> DataFrame:
+        first = df.groupBy("run_id", "refresh").agg(F.min("rel_seconds").alias("rel_seconds"))
+        return df.join(first, ["run_id", "refresh", "rel_seconds"], "left_semi").select(*df.columns)
 
-    writer = process.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return _with_carry(rows, lambda d: refresh_candidates(d, n, every), lambda closed: closed.limit(0), "refresh", lateness,
+                       f"{path}/_state", path, checkpoint, once, first_ticks)

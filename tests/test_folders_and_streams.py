@@ -181,3 +181,48 @@ def test_stream_candidates(spark, root, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out/batch=*")
     assert got.select("refresh").distinct().count() == 8
     assert {(r.run_id, r.pid) for r in got.filter("refresh = 10").collect()} == {("a", 7), ("b", 7)}
+
+
+def in_order(spark, batches, schema, path):
+    """A stream whose micro-batches are ``batches``."""
+    import time
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_stream_snapshot_split_over_batches(spark, tmp_path):
+    schema = "run_id string, snapshot_ord long, pid long, name string"
+    snap = lambda run, at, pids: [(run, at, p, f"n{p}") for p in pids]
+    batches = [
+        snap("a", 1, [1, 2, 3]) + snap("b", 1, [1]), snap("a", 2, [1]), snap("a", 2, [2, 4]), snap("a", 3, [1]) + snap("b", 2, [1, 9]),
+        snap("a", 2, [5]) + snap("a", 3, [2, 4]), snap("a", 4, [1]), snap("a", 5, [1]), snap("a", 1, [77]) + snap("a", 6, [1]),
+    ]
+    rows = in_order(spark, batches, schema, f"{tmp_path}/in")
+    live.stream_snapshot_diff(rows, f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination(120)
+    whole = spark.createDataFrame([r for b in batches for r in b if r[2] != 77], schema)
+    assert same(spark.read.parquet(f"{tmp_path}/out/batch=*"), derive.process_snapshot_diff(whole))
+    final = spark.read.parquet(f"{tmp_path}/out/batch=[0-9]*")
+    assert same(final, derive.process_snapshot_diff(whole).filter("run_id = 'a' and snapshot_ord < 5"))
+    assert [r.pid for r in spark.read.parquet(*[f"{tmp_path}/out/_late/{i}" for i in range(len(batches))]).collect()] == [77]
+
+
+def test_stream_rates_with_a_late_row(spark, tmp_path):
+    schema = "run_id string, mono double, row_ord long, pid long, read_bytes long, write_bytes long"
+    row = lambda at, pid=1: ("a", float(at), at, pid, at * at * 100, at * 50)
+    batches = [[row(1), row(2), row(1, 2)], [row(4), row(5)], [row(3), row(6), row(6, 2)], [row(30)]]
+    rows = in_order(spark, batches, schema, f"{tmp_path}/in")
+    live.stream_process_io_rates(rows, f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination(120)
+    whole = spark.createDataFrame([r for b in batches for r in b], schema)
+    assert same(spark.read.parquet(f"{tmp_path}/out/batch=*"), derive.process_io_rates(whole))
+
+
+def test_stream_candidates_of_a_split_window(spark, tmp_path):
+    schema = "run_id string, rel_seconds double, pid long, name string, is_target boolean, cpu_pct double, rss_bytes long, num_handles long, io_read_bps double, io_write_bps double"
+    row = lambda at, pid, x: ("a", float(at), pid, "p", False, float(x), x, x, float(x), float(x))
+    batches = [[row(1, 1, 5), row(12, 2, 5)], [row(11, 3, 9), row(15, 4, 99)], [row(11, 5, 10)], [row(25, 6, 1)], [row(36, 7, 1)], [row(49, 8, 1)]]
+    rows = in_order(spark, batches, schema, f"{tmp_path}/in")
+    live.stream_candidates(rows, f"{tmp_path}/out", f"{tmp_path}/ckpt", 1).awaitTermination(120)
+    whole = spark.createDataFrame([r for b in batches for r in b], schema)
+    assert same(spark.read.parquet(f"{tmp_path}/out/batch=*"), live.refresh_candidates(whole, 1))
