@@ -210,31 +210,29 @@ def _pieces(keyed: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
 
 
 def _counted_repeats(pieces: DataFrame, window: int) -> DataFrame:
-    """`_repeats` of `_pieces`. Spark adds up counts in each task before it shuffles them, and splits skewed joins."""
-    keys = ["part", "common"]
-    size = F.octet_length("left")
-    around = F.struct(size, "skipped", "left", "right")
-    tags = {k: F.xxhash64(F.lit(k), around) for k in (0, 1)}
-    groups = pieces.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[f(tags[k]).alias(f"{name}{k}") for k in tags for name, f in (("low", F.min), ("high", F.max))]
-    ).filter("n > 1")
-    groups = written(groups.select(*keys, ((F.col("low0") != F.col("high0")) | (F.col("low1") != F.col("high1"))).alias("mixed")))
-    met = pieces.join(groups, keys)
-    alike = met.filter("not mixed").select("doc_key", "text_hash", F.col("first").alias("start"), "last")
-    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - F.col("first")))
-    single = met.filter("mixed").withColumn("step", step)
-    reach = (F.col("skipped") + F.col("step")).cast("int")
-    before = F.substring("left", (F.col("step") + 1).cast("int"), size)
-    single = single.select(
-        "doc_key", "text_hash", *keys, (F.col("first") + F.col("step")).alias("start"),
-        F.concat(before, F.substring("right", F.lit(1), reach)).alias("around"), reach.alias("reach"),
-    )
-    keys = [*keys, "reach", "around"]
-    again = written(single.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    one = single.join(again, keys).select("doc_key", "text_hash", "start", F.col("start").alias("last"))
+    """`_repeats` of `_pieces`. Equal pieces are counted in each task before the shuffle. What occurs twice is repeated as a
+    whole; of pieces that occur once and share their common bytes with others, windows are counted."""
+    group, piece = ["part", "common"], ["part", "common", "skipped", "left", "right"]
+    own = [F.min(c).alias(c) for c in ("doc_key", "text_hash", "first", "last")]  # of the one row if there is one
+    kinds = written(pieces.groupBy(*piece).agg(F.count(F.lit(1)).alias("n"), *own))
+    alike = pieces.join(_sent(kinds.filter("n > 1").select(*piece)), piece).select("doc_key", "text_hash", F.col("first").alias("start"), "last")
+    groups = written(kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds"))
+    step, size = F.col("step"), F.octet_length("left")
+    single = kinds.join(_sent(groups), group).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - F.col("first"))))
+    reach = (F.col("skipped") + step).cast("int")
+    around = F.concat(F.substring("left", (step + 1).cast("int"), size), F.substring("right", F.lit(1), reach))
+    single = single.select("doc_key", "text_hash", "n", (F.col("first") + step).alias("start"), *group, reach.alias("reach"), around.alias("around"))
+    same = [*group, "reach", "around"]
+    again = written(single.groupBy(*same).agg(F.sum("n").alias("times")).filter("times > 1").drop("times"))
+    one = single.filter("n = 1").join(_sent(again), same).select("doc_key", "text_hash", "start", F.col("start").alias("last"))
     return alike.unionByName(one).withColumn("end", F.col("last") + window).drop("last")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """The smaller side of a join: sent to all tasks if it is small, else shuffled so that Spark can split a crowded key."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows.hint("merge")
+
+
 def _sorted_repeats(keyed: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     """`_repeats` of runs whose grams are not crowded, by sorting their bytes in buckets."""
     listed = _listed(chosen, F.struct("gram", "first", "last"))
