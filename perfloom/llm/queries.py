@@ -7,7 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, forest, language, minhash, mixing, packing, records, storage, suffixes, topk, warc
+from . import chat, forest, language, lexical, minhash, mixing, packing, records, storage, suffixes, topk, warc
+from .sql import SQL
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -107,5 +108,10 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_language, op3_topk, op4_near_vectors, op5_warc, op6_chat_format, op7_suffixes, op8_mixing, op9_packing, op10_token_records)}
-SQL: dict[str, str] = {}
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_language, op3_topk, op4_near_vectors, op5_warc, op6_chat_format, op7_suffixes, op8_mixing, op9_packing, op10_token_records, op13_lexical)}
+__all__ = ["QUERIES", "SQL"]
