@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, forest, language, lexical, minhash, mixing, packing, records, storage, suffixes, topk, warc
+from . import chat, forest, language, lexical, merkle, minhash, mixing, packing, records, storage, suffixes, topk, warc
 from .sql import SQL
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
@@ -108,10 +108,23 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """A proof for every document, checked against a leaf that may have been tampered with."""
+    docs = table(spark, folder, "documents").select(*merkle.FIELDS)
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    altered = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    leaf = merkle.leaf_digest([F.col(c) for c in merkle.FIELDS])
+    rows = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(changed, merkle.leaf_digest(altered)).alias("altered"))
+    proven = merkle.manifest(rows, keep=("altered",)).withColumn("seen", F.coalesce("altered", "leaf"))
+    return merkle.verified(proven, "seen").select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
     """The ten documents that rank highest for each benchmark item."""
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_language, op3_topk, op4_near_vectors, op5_warc, op6_chat_format, op7_suffixes, op8_mixing, op9_packing, op10_token_records, op13_lexical)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_language, op3_topk, op4_near_vectors, op5_warc, op6_chat_format, op7_suffixes, op8_mixing, op9_packing, op10_token_records, op12_merkle, op13_lexical)}
 __all__ = ["QUERIES", "SQL"]

@@ -25,4 +25,53 @@ weight AS (
 SELECT * FROM ranked WHERE rank <= 10
 """
 
-SQL = {"op13_lexical": LEXICAL}
+#: Fixed value: the reversed polynomial of CRC-32.
+CRC = """list_reduce(flatten(list_transform(range(1, length({x}) + 1), lambda i: [ord(substr({x}, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::BIGINT)"""
+MERKLE = """
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, lang,
+    concat(CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(doc_id::VARCHAR), ':', doc_id) END,
+           CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END,
+           CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END) AS head,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(n_chars::VARCHAR), ':', n_chars) END AS chars,
+    CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen((n_chars + 1)::VARCHAR), ':', n_chars + 1) END AS more,
+    CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END AS body,
+    xor(""" + CRC.format(x="doc_id::VARCHAR") + """, 4294967295) % 7 = 0 AS tampered
+  FROM documents
+), leaves AS (
+  SELECT r, doc_id, lang, sha256(concat(head, chars, body)) AS leaf,
+    CASE WHEN tampered THEN sha256(concat(head, more, body)) ELSE sha256(concat(head, chars, body)) END AS seen FROM docs
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS place FROM leaves
+), grow AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(concat(nodes[i + 1], coalesce(nodes[i + 2], '')))) FROM grow WHERE len(nodes) > 1
+), subroots AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM grow WHERE len(nodes) = 1
+), grow_top AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(concat(nodes[i + 1], coalesce(nodes[i + 2], '')))) FROM grow_top WHERE len(nodes) > 1
+), paths AS (
+  SELECT r, list({side: (place >> level) % 2, other: nodes[xor(place >> level, 1) + 1]} ORDER BY level) AS steps
+  FROM placed JOIN grow ON placed.lang IS NOT DISTINCT FROM grow.lang WHERE len(nodes) > 1 GROUP BY r
+), top_paths AS (
+  SELECT lang, subroot, list({side: (place >> level) % 2, other: nodes[xor(place >> level, 1) + 1]} ORDER BY level) FILTER (len(nodes) > 1) AS steps
+  FROM subroots, grow_top GROUP BY lang, subroot
+), proven AS (
+  SELECT doc_id, leaf, seen, subroot, (SELECT nodes[1] FROM grow_top WHERE len(nodes) = 1) AS root,
+    list_concat(coalesce(paths.steps, []), coalesce(top_paths.steps, [])) AS steps
+  FROM placed LEFT JOIN paths USING (r) JOIN top_paths ON placed.lang IS NOT DISTINCT FROM top_paths.lang
+), folded AS (
+  SELECT *, sha256(coalesce(list_aggregate(list_filter(list_transform(steps, lambda s: s.other), lambda s: s IS NOT NULL), 'string_agg', ''), '')) AS proof_sha256,
+    list_reduce(list_transform(steps, lambda s: {side: s.side, other: s.other}),
+      lambda a, s: {side: 0::BIGINT, other: CASE WHEN s.other IS NULL THEN sha256(a.other) WHEN s.side = 1 THEN sha256(concat(s.other, a.other)) ELSE sha256(concat(a.other, s.other)) END},
+      {side: 0::BIGINT, other: seen}).other AS folded_root
+  FROM proven
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+SQL = {"op12_merkle": MERKLE, "op13_lexical": LEXICAL}
