@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, forest, language, lexical, merkle, minhash, mixing, packing, records, storage, suffixes, topk, warc
+from . import chat, forest, language, lexical, merkle, minhash, mixing, packing, records, rlz, storage, suffixes, topk, warc
 from .sql import SQL
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
@@ -108,6 +108,16 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_relative_lz(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without windows of 20 words that also start earlier."""
+    found = rlz.repeated_words(table(spark, folder, "documents").select("doc_id", "text")).withColumn("words", rlz.words_of(F.col("row.text").cast("string")))
+    return found.select(
+        "row.doc_id", F.size("words").cast("long").alias("n_words"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.sha2(F.array_join(rlz.kept_words(F.col("words"), F.col("spans")), " "), 256).alias("kept_sha256"),
+    )
+
+
 def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     """A proof for every document, checked against a leaf that may have been tampered with."""
     docs = table(spark, folder, "documents").select(*merkle.FIELDS)
@@ -126,5 +136,5 @@ def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_language, op3_topk, op4_near_vectors, op5_warc, op6_chat_format, op7_suffixes, op8_mixing, op9_packing, op10_token_records, op12_merkle, op13_lexical)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_language, op3_topk, op4_near_vectors, op5_warc, op6_chat_format, op7_suffixes, op8_mixing, op9_packing, op10_token_records, op11_relative_lz, op12_merkle, op13_lexical)}
 __all__ = ["QUERIES", "SQL"]

@@ -25,6 +25,23 @@ weight AS (
 SELECT * FROM ranked WHERE rank <= 10
 """
 
+REPEATED = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT r, doc_id, start, md5(array_to_string(words[start + 1 : start + 20], ' ')) AS content
+  FROM (SELECT r, doc_id, words, unnest(range(0, len(words) - 19)) AS start FROM docs WHERE len(words) >= 20)
+), placed AS (
+  SELECT r, start, row_number() OVER (PARTITION BY content ORDER BY doc_id, start) AS nth FROM windows
+), covered AS (
+  SELECT r, list(DISTINCT place) AS places FROM (SELECT r, unnest(range(start, start + 20)) AS place FROM placed WHERE nth > 1) GROUP BY r
+), listed AS (
+  SELECT doc_id, words, coalesce(places, []) AS places FROM docs LEFT JOIN covered USING (r)
+)
+SELECT doc_id, len(words) AS n_words, len(places) AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(0, len(words)), lambda i: NOT list_contains(places, i)), lambda i: words[i + 1]), ' '), '')) AS kept_sha256
+FROM listed
+"""
 #: Fixed value: the reversed polynomial of CRC-32.
 CRC = """list_reduce(flatten(list_transform(range(1, length({x}) + 1), lambda i: [ord(substr({x}, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
     lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::BIGINT)"""
@@ -74,4 +91,4 @@ WITH RECURSIVE docs AS (
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """
 
-SQL = {"op12_merkle": MERKLE, "op13_lexical": LEXICAL}
+SQL = {"op11_relative_lz": REPEATED, "op12_merkle": MERKLE, "op13_lexical": LEXICAL}
