@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.coerce import parse_semicolon_list, text_or_unknown, zero_if_null
 from ..functions.naming import CRITICAL_NAMES, VPN_MARKERS
+from ..functions.session import written
 from .series import clip, dense_index, top_k, with_neighbours
 
 # counter -> (rate column, decimals)
@@ -45,11 +47,20 @@ def system_rates(counters: DataFrame, at: str = "mono") -> DataFrame:
     The first sample has rate 0 (disk, network) or null (context switches, interrupts);
     negative rates are kept.
     """
-    have = [c for c in [*SYSTEM_RATES, *CPU_RATES, "disk_busy_ms"] if c in counters.columns]
+    have = system_counters(counters.columns)
     d = dense_index(counters, order=(at, "row_ord"))
-    d = with_neighbours(
-        d, {f"_p_{c}": (lambda w, c=c: F.lag(c).over(w)) for c in [at, *have]}
-    ).withColumn("_dt", _dt(at, f"_p_{at}"))
+    d = with_neighbours(d, {f"_p_{c}": (lambda w, c=c: F.lag(c).over(w)) for c in [at, *have]})
+    return system_rates_after(d, counters.columns, at)
+
+
+def system_counters(columns: Sequence[str]) -> list[str]:
+    return [c for c in [*SYSTEM_RATES, *CPU_RATES, "disk_busy_ms"] if c in columns]
+
+
+def system_rates_after(d: DataFrame, columns: Sequence[str], at: str = "mono") -> DataFrame:
+    """`system_rates` of rows that have the values of the sample before as ``_p_*``."""
+    have = system_counters(columns)
+    d = d.withColumn("_dt", _dt(at, f"_p_{at}"))
     out: dict[str, Column] = {}
     for c in have:
         rate = (F.col(c) - F.col(f"_p_{c}")) / F.col("_dt")
@@ -61,7 +72,7 @@ def system_rates(counters: DataFrame, at: str = "mono") -> DataFrame:
         else:
             busy = clip((rate / 1000.0 * 100.0).cast("double"))
             out["disk_active_pct_est"] = F.when(F.col(f"_p_{c}").isNull(), 0.0).otherwise(F.bround(busy, 2))
-    return d.withColumns(out).select(*[c for c in counters.columns if c not in have], *out)
+    return d.withColumns(out).select(*[c for c in columns if c not in have], *out)
 
 
 def previous_tick(df: DataFrame, tick: str, keys: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -79,7 +90,13 @@ def adapter_rates(counters: DataFrame, at: str = "mono") -> DataFrame:
     before = counters.select(
         "run_id", "adapter", F.col(at).alias("prev_tick"), *[F.col(c).alias(f"_p_{c}") for c in have]
     )
-    d = now.join(before, ["run_id", "adapter", "prev_tick"], "left").withColumn("_dt", _dt(at, "prev_tick"))
+    return adapter_rates_after(now.join(before, ["run_id", "adapter", "prev_tick"], "left"), counters.columns, at)
+
+
+def adapter_rates_after(d: DataFrame, columns: Sequence[str], at: str = "mono") -> DataFrame:
+    """`adapter_rates` of rows that have the run's previous tick and the adapter's values in it."""
+    have = [c for c in ADAPTER_RATES if c in columns]
+    d = d.withColumn("_dt", _dt(at, "prev_tick"))
     rates = {
         f"{c}_per_sec": F.coalesce(
             F.bround(F.greatest(F.lit(0.0), (F.col(c) - F.col(f"_p_{c}")) / F.col("_dt")), ADAPTER_RATES[c]), F.lit(0.0)
@@ -87,7 +104,7 @@ def adapter_rates(counters: DataFrame, at: str = "mono") -> DataFrame:
         for c in have
     }
     rates = {n: F.when(F.col(f"_p_{n[:-8]}").isNull(), 0.0).otherwise(e) for n, e in rates.items()}
-    return d.withColumns(rates).select(*[c for c in counters.columns if c not in have], *rates)
+    return d.withColumns(rates).select(*[c for c in columns if c not in have], *rates)
 
 
 def process_io_rates(counters: DataFrame, at: str = "mono") -> DataFrame:
@@ -98,13 +115,18 @@ def process_io_rates(counters: DataFrame, at: str = "mono") -> DataFrame:
     d = with_neighbours(
         d, {f"_p_{c}": (lambda w, c=c: F.lag(c).over(w)) for c in have}, ("run_id", "pid")
     )
-    d = d.join(ticks, ["run_id", at])
+    return process_io_rates_after(d.join(ticks, ["run_id", at]), counters.columns, at)
+
+
+def process_io_rates_after(d: DataFrame, columns: Sequence[str], at: str = "mono") -> DataFrame:
+    """`process_io_rates` of rows that have the run's previous tick and the process's values before."""
+    have = [c for c in ("read_bytes", "write_bytes") if c in columns]
     dt = F.coalesce(_dt(at, "prev_tick"), F.lit(1.0))
     out = {}
     for c in have:
         rate = F.greatest(F.lit(0.0), (F.col(c) - F.col(f"_p_{c}")) / dt)
         out[f"io_{c.split('_')[0]}_bps"] = F.when(F.col(f"_p_{c}").isNull(), 0.0).otherwise(rate)
-    return d.withColumns(out).select(*[c for c in counters.columns if c not in have], *out)
+    return d.withColumns(out).select(*[c for c in columns if c not in have], *out)
 
 
 def latency_probe_summary(replies: DataFrame) -> DataFrame:
@@ -164,58 +186,61 @@ def candidate_processes(
     return ranked.select(*by, "pid").union(always.select(*by, "pid")).distinct()
 
 
+def snapshot_ticks(snapshots: DataFrame, tick: str = "snapshot_ord") -> DataFrame:
+    """Distinct snapshots of each run, numbered from 0, with the one after (null for the last): a row per snapshot."""
+    ticks = dense_index(snapshots.select("run_id", tick).distinct(), order=(tick,))
+    ticks = with_neighbours(ticks, {"next_ord": lambda w: F.lead(tick).over(w)}, ahead=1)
+    return written(ticks.select("run_id", tick, F.col("idx").alias("_t"), "next_ord"))
+
+
 def process_snapshot_diff(snapshots: DataFrame) -> DataFrame:
-    """Processes started and ended between consecutive snapshots (matched by pid only)."""
-    ticks = previous_tick(snapshots, "snapshot_ord")
-    now = snapshots.join(ticks, ["run_id", "snapshot_ord"]).filter("prev_tick is not null")
-    now = now.select("run_id", "snapshot_ord", "pid", F.struct("name").alias("now"))
-    nxt = ticks.filter("prev_tick is not null").withColumnsRenamed({"snapshot_ord": "next_ord", "prev_tick": "snapshot_ord"})
-    before = snapshots.join(nxt, ["run_id", "snapshot_ord"]).select(
-        "run_id", F.col("next_ord").alias("snapshot_ord"), "pid", F.struct("name").alias("before")
-    )
-    d = now.join(before, ["run_id", "snapshot_ord", "pid"], "full_outer")
-    d = d.filter(F.col("now").isNull() | F.col("before").isNull())
-    started = F.col("before").isNull()
-    return d.select(
-        "run_id", "snapshot_ord",
-        F.when(started, "process_started").otherwise("process_ended").alias("event"),
-        "pid", F.coalesce("now.name", "before.name").alias("name"),
+    """Processes started and ended between consecutive snapshots (matched by pid only).
+
+    The rows of a process in order of snapshot numbers are its presence; a start is a row without one in the snapshot
+    before, an end a row without one in the snapshot after. Rows that repeat a pid within a snapshot count once.
+    """
+    w = W.partitionBy("run_id", "pid").orderBy("_t", "name")
+    d = snapshots.select("run_id", "snapshot_ord", "pid", "name").join(snapshot_ticks(snapshots), ["run_id", "snapshot_ord"])
+    d = d.withColumns({"_before": F.lag("_t").over(w), "_after": F.lead("_t").over(w)})
+    starts = (F.col("_t") > 0) & (F.coalesce("_before", F.lit(-1)) < F.col("_t") - 1)
+    ends = F.col("next_ord").isNotNull() & F.coalesce(F.col("_after") > F.col("_t") + 1, F.lit(True))
+    fired = F.array_compact(F.array(
+        F.when(starts, F.struct(F.col("snapshot_ord").alias("at"), F.lit("process_started").alias("event"))),
+        F.when(ends, F.struct(F.col("next_ord").alias("at"), F.lit("process_ended").alias("event"))),
+    ))
+    return d.select("run_id", "pid", "name", F.explode(fired).alias("e")).select(
+        "run_id", F.col("e.at").alias("snapshot_ord"), "e.event", "pid", "name"
     )
 
 
 def service_snapshot_diff(snapshots: DataFrame) -> DataFrame:
-    """Service events between consecutive snapshots; status and pid changes may both fire."""
-    named = snapshots.filter(F.coalesce("name", F.lit("")) != "")
-    ticks = previous_tick(snapshots, "snapshot_ord")
-    state = F.struct("status", "pid")
-    now = named.join(ticks, ["run_id", "snapshot_ord"]).filter("prev_tick is not null")
-    now = now.select("run_id", "snapshot_ord", "name", state.alias("now"))
-    nxt = ticks.filter("prev_tick is not null").withColumnsRenamed({"snapshot_ord": "next_ord", "prev_tick": "snapshot_ord"})
-    before = named.join(nxt, ["run_id", "snapshot_ord"]).select(
-        "run_id", F.col("next_ord").alias("snapshot_ord"), "name", state.alias("before")
-    )
-    d = now.join(before, ["run_id", "snapshot_ord", "name"], "full_outer")
-    both = F.col("now").isNotNull() & F.col("before").isNotNull()
-    status = both & ~F.col("now.status").eqNullSafe(F.col("before.status"))
-    pid = both & ~F.col("now.pid").eqNullSafe(F.col("before.pid")) & (F.coalesce("now.pid", F.lit(0)) != 0)
-    event = lambda when, name: F.when(when, F.lit(name))
-    fired = F.array_compact(
-        F.array(
-            event(F.col("before").isNull(), "service_added"),
-            event(F.col("now").isNull(), "service_removed"),
-            event(status, "service_status_change"),
-            event(pid, "service_pid_change"),
-        )
-    )
-    d = d.withColumn("event", F.explode(fired))
-    on = lambda ev, col: F.when(F.col("event") == ev, F.col(col))
+    """Service events between consecutive snapshots; status and pid changes may both fire.
+
+    As `process_snapshot_diff`; of rows that repeat a name within a snapshot the last by pid and status counts.
+    """
+    named = snapshots.filter(F.coalesce("name", F.lit("")) != "").select("run_id", "snapshot_ord", "name", "status", "pid")
+    by = W.partitionBy("run_id", "name")
+    w = by.orderBy("_t", "pid", "status")
+    d = named.join(snapshot_ticks(snapshots.filter(F.coalesce("name", F.lit("")) != "")), ["run_id", "snapshot_ord"])
+    d = d.withColumn("_after", F.lead("_t").over(w)).filter(F.coalesce(F.col("_after") != F.col("_t"), F.lit(True)))
+    d = d.withColumns({f"_{c}": F.lag(c).over(w) for c in ("status", "pid", "_t")})
+    there = F.col("__t") == F.col("_t") - 1
+    added = (F.col("_t") > 0) & ~F.coalesce(there, F.lit(False))
+    removed = F.col("next_ord").isNotNull() & F.coalesce(F.col("_after") > F.col("_t") + 1, F.lit(True))
+    status = there & ~F.col("status").eqNullSafe(F.col("_status"))
+    pid = there & ~F.col("pid").eqNullSafe(F.col("_pid")) & (F.coalesce("pid", F.lit(0)) != 0)
+    event = lambda when, name, at="snapshot_ord": F.when(when, F.struct(F.col(at).alias("at"), F.lit(name).alias("event")))
+    fired = [event(added, "service_added"), event(removed, "service_removed", "next_ord"),
+             event(status, "service_status_change"), event(pid, "service_pid_change")]
+    d = d.withColumn("e", F.explode(F.array_compact(F.array(*fired))))
+    on = lambda ev, col: F.when(F.col("e.event") == ev, F.col(col))
     return d.select(
-        "run_id", "snapshot_ord", "event", "name",
-        on("service_added", "now.status").alias("status"),
-        on("service_status_change", "before.status").alias("from_status"),
-        on("service_status_change", "now.status").alias("to_status"),
-        on("service_pid_change", "before.pid").alias("from_pid"),
-        on("service_pid_change", "now.pid").alias("to_pid"),
+        "run_id", F.col("e.at").alias("snapshot_ord"), "e.event", "name",
+        on("service_added", "status").alias("status"),
+        on("service_status_change", "_status").alias("from_status"),
+        on("service_status_change", "status").alias("to_status"),
+        on("service_pid_change", "_pid").alias("from_pid"),
+        on("service_pid_change", "pid").alias("to_pid"),
     )
 
 
