@@ -1,15 +1,16 @@
 """Live variants: timelines as they are flushed, and operators that look back across batches.
 
-Operators that need earlier rows (rates, snapshot diffs) run the batch operator on each
-micro-batch plus a few carried rows, so they stay as parallel as in batch and give the same
-rows. The carried rows are a small table per batch id under ``state``; a retried batch reads
-the state of the batch before and writes its own again.
+Operators that need earlier rows (rates, snapshot diffs, candidates) keep a state per run (`keyed`); what they do with a
+row and the values before it is the batch operator's own expression, so a stream gives the batch result.
 
 Batches may split a tick, snapshot or window, and rows may come late. A run's rows are held back until one
-has come that is newer by more than ``lateness``; only then are their results written, as ``batch=<id>``, once and for
-good. A query that ends with its input (``once``) also writes what is still held back, as ``batch=open``, which the
-next batch replaces. Rows that come after their results were written are no part of any result; they are
-kept under ``_late``.
+has come that is newer by more than ``lateness``, or, in a query that goes on, until no row of the run has come for ``idle``
+seconds: a timer then releases what an ended run has left. Released rows are written as ``batch=<id>``, once and for
+good. A query that ends with its input (``once``) has no timers; it also writes what is still held back, as
+``batch=open``, which the next batch replaces. Rows that come after their results were written, and rows without a
+moment, are no part of any result; they are kept under ``_late``.
+
+A checkpoint belongs to one kind of query, with or without timers.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ from ..functions.naming import app_key
 from ..operators import derive
 from ..schemas import FILES, TIMELINES
 from ..sources.run_folders import coerce_timeline
+from . import keyed
 
+#: State is kept incrementally on disk and in the checkpoint, so a batch writes only what it changed.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+IDLE, FORGET, EVERY = 60.0, 30 * 86400.0, "1 second"
 _FOLDER = r"([^/]+)/[^/]+$"
 
 
@@ -49,95 +54,87 @@ def append_timelines(rows: DataFrame, path: str, checkpoint: str, once: bool = T
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _with_carry(
+def _keyed(
     rows: DataFrame,
-    operator: Callable[[DataFrame], DataFrame],
-    carry: Callable[[DataFrame], DataFrame],
+    held: type[keyed.Held],
+    finish: Callable[[DataFrame], DataFrame],
     at: str,
-    lateness: float,
     state: str,
     path: str,
     checkpoint: str,
     once: bool,
-    held: Callable[[DataFrame], DataFrame] = lambda df: df,
+    lateness: float,
+    idle: float,
+    forget: float,
+    **own,
 ) -> StreamingQuery:
-    """``carry`` picks what later rows need of closed rows, ``held`` what the operator needs of open ones."""
-    schema = rows.schema
+    """``held`` decides per run when rows are final and adds the values before them; ``finish`` makes results of them."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    processor = held(rows.schema, at, lateness, None if once else idle, forget, **own)
+    found = rows.groupBy("run_id").transformWithState(processor, processor.shape, "Append", "None" if once else "ProcessingTime")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            old = spark.createDataFrame([], schema)
-        else:
-            old = spark.read.schema(schema).parquet(f"{state}/{batch_id - 1}")
-        batch = _bordered(batch, old, at, lateness, "_done").persist()
-        late = F.coalesce(F.col(at) < F.col("_done"), F.lit(False))
-        both = old.unionByName(batch.filter(~late).drop("_done")).persist()
+        batch = batch.persist()
         try:
-            out = _bordered(_bordered(operator(both), old, at, lateness, "_done"), both, at, lateness, "_border").persist()
-            new = F.col("_done").isNull() | F.col(at).isNull() | (F.col(at) >= F.col("_done"))
-            is_open = F.coalesce(F.col(at) >= F.col("_border"), F.lit(False))
-            out.filter(new & ~is_open).drop("_done", "_border").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            of = lambda kind: batch.filter(F.col(keyed.KIND) == kind)
+            finish(of(keyed.FINAL)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            of(keyed.LATE).select(*rows.columns).write.mode("overwrite").parquet(f"{path}/_late/{batch_id}")
             if once:
-                out.filter(is_open).drop("_done", "_border").write.mode("overwrite").parquet(f"{path}/batch=open")
-            out.unpersist()
-            batch.filter(late).drop("_done").write.mode("overwrite").parquet(f"{path}/_late/{batch_id}")
-            kept = _bordered(both.filter(F.col(at).isNotNull()), both, at, lateness, "_border")
-            closed, still = (kept.filter(c).drop("_border") for c in (~is_open, is_open))
-            carry(closed).unionByName(held(still)).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+                still = of(keyed.OPEN)
+                if batch_id:
+                    old = batch.sparkSession.read.schema(processor.shape).parquet(f"{state}/{batch_id - 1}")
+                    still = old.join(of(keyed.SEEN).select("run_id"), "run_id", "left_anti").select(*old.columns).unionByName(still)
+                still.write.mode("overwrite").parquet(f"{state}/{batch_id}")
+                still = batch.sparkSession.read.schema(processor.shape).parquet(f"{state}/{batch_id}")
+                finish(still).write.mode("overwrite").parquet(f"{path}/batch=open")
         finally:
-            both.unpersist()
             batch.unpersist()
 
-    writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def _bordered(df: DataFrame, seen: DataFrame, at: str, lateness: float, name: str) -> DataFrame:
-    """``df`` with the first moment of its run that is still open after the rows ``seen``; null for unseen runs."""
-    newest = seen.groupBy(F.col("run_id").alias("_run")).agg((F.max(at) - F.lit(lateness)).alias(name))
-    return df.join(newest, df["run_id"].eqNullSafe(newest["_run"]), "left").drop("_run")
-
-
-def _last_rows(keys: list[str], at: str) -> Callable[[DataFrame], DataFrame]:
-    """The newest row of each key."""
-
-    def pick(df: DataFrame) -> DataFrame:
-        row = F.struct(*df.columns)
-        return df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-            F.max_by(row, F.struct(at, "row_ord")).alias("_r")
-        ).select("_r.*")
-
-    return pick
+    writer = found.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=EVERY)).start()
 
 
-def _last_tick(at: str) -> Callable[[DataFrame], DataFrame]:
-    """All rows of each run's newest tick."""
-
-    def pick(df: DataFrame) -> DataFrame:
-        newest = df.groupBy("run_id").agg(F.max(at).alias(at))
-        return df.join(newest, ["run_id", at], "left_semi").select(*df.columns)
+def stream_system_rates(
+    rows, state, path, checkpoint, at: str = "mono", once: bool = True, lateness: float = 10, idle: float = IDLE, forget: float = FORGET
+) -> StreamingQuery:
+    finish = lambda d: derive.system_rates_after(d, rows.columns, at)
+    return _keyed(rows, keyed.Samples, finish, at, state, path, checkpoint, once, lateness, idle, forget,
+                  before=[at, *derive.system_counters(rows.columns)])
 
-    return pick
 
+def stream_adapter_rates(
+    rows, state, path, checkpoint, at: str = "mono", once: bool = True, lateness: float = 10, idle: float = IDLE, forget: float = FORGET
+) -> StreamingQuery:
+    finish = lambda d: derive.adapter_rates_after(d, rows.columns, at)
+    return _keyed(rows, keyed.Adapters, finish, at, state, path, checkpoint, once, lateness, idle, forget,
+                  entity="adapter", before=[c for c in derive.ADAPTER_RATES if c in rows.columns])
 
-def stream_system_rates(rows, state, path, checkpoint, at: str = "mono", once: bool = True, lateness: float = 10) -> StreamingQuery:
-    return _with_carry(rows, lambda d: derive.system_rates(d, at), _last_rows(["run_id"], at), at, lateness, state, path, checkpoint, once)
 
+def stream_process_io_rates(
+    rows, state, path, checkpoint, at: str = "mono", once: bool = True, lateness: float = 10, idle: float = IDLE, forget: float = FORGET
+) -> StreamingQuery:
+    finish = lambda d: derive.process_io_rates_after(d, rows.columns, at)
+    return _keyed(rows, keyed.Processes, finish, at, state, path, checkpoint, once, lateness, idle, forget,
+                  entity="pid", before=[c for c in ("read_bytes", "write_bytes") if c in rows.columns])
 
-def stream_adapter_rates(rows, state, path, checkpoint, at: str = "mono", once: bool = True, lateness: float = 10) -> StreamingQuery:
-    return _with_carry(rows, lambda d: derive.adapter_rates(d, at), _last_tick(at), at, lateness, state, path, checkpoint, once)
 
+def stream_snapshot_diff(
+    rows, state, path, checkpoint, services: bool = False, once: bool = True, lateness: int = 1, idle: float = IDLE, forget: float = FORGET
+) -> StreamingQuery:
+    """Process (or service) events; a snapshot is open until one newer by more than ``lateness`` snapshots has come, or no
+    row of its run for ``idle`` seconds.
 
-def stream_process_io_rates(rows, state, path, checkpoint, at: str = "mono", once: bool = True, lateness: float = 10) -> StreamingQuery:
-    return _with_carry(rows, lambda d: derive.process_io_rates(d, at), _last_rows(["run_id", "pid"], at), at, lateness, state, path, checkpoint, once)
+    A released snapshot goes to the batch operator together with the one before, whose own events are left out.
+    """
+    diff = derive.service_snapshot_diff if services else derive.process_snapshot_diff
 
+    def finish(d: DataFrame) -> DataFrame:
+        events = diff(d.select(*rows.columns))
+        known = d.filter(F.col(keyed.EARLIER)).select("run_id", "snapshot_ord").distinct()
+        return events.join(known, ["run_id", "snapshot_ord"], "left_anti").select(*events.columns)
 
-def stream_snapshot_diff(rows, state, path, checkpoint, services: bool = False, once: bool = True, lateness: int = 1) -> StreamingQuery:
-    """Process (or service) events; a snapshot is open until one newer by more than ``lateness`` snapshots has come."""
-    diff = derive.service_snapshot_diff if services else derive.process_snapshot_diff
-    # The last closed snapshot is the first one of the next batch and gives no events there itself.
-    return _with_carry(rows, diff, _last_tick("snapshot_ord"), "snapshot_ord", lateness, state, path, checkpoint, once)
+    return _keyed(rows, keyed.Snapshots, finish, "snapshot_ord", state, path, checkpoint, once, lateness, idle, forget)
 
 
 def stream_app_ticks(process: DataFrame, lateness: str = "10 seconds") -> DataFrame:
@@ -162,14 +159,11 @@ def refresh_candidates(process: DataFrame, n: int = 20, every: int = 10) -> Data
 
 
 def stream_candidates(
-    process: DataFrame, path: str, checkpoint: str, n: int = 20, once: bool = True, every: int = 10, lateness: float = 10
+    process: DataFrame, path: str, checkpoint: str, n: int = 20, once: bool = True, every: int = 10, lateness: float = 10,
+    idle: float = IDLE, forget: float = FORGET,
 ) -> StreamingQuery:
-    """`refresh_candidates`; a window is open until one has come that begins later by more than ``lateness`` seconds."""
+    """`refresh_candidates`; a window is open until one has come that begins later by more than ``lateness`` seconds, or no
+    row of its run for ``idle`` seconds."""
     rows = process.withColumn("refresh", F.floor(F.col("rel_seconds") / every) * every)
-
-    def first_ticks(df: DataFrame) -> DataFrame:
-        first = df.groupBy("run_id", "refresh").agg(F.min("rel_seconds").alias("rel_seconds"))
-        return df.join(first, ["run_id", "refresh", "rel_seconds"], "left_semi").select(*df.columns)
-
-    return _with_carry(rows, lambda d: refresh_candidates(d, n, every), lambda closed: closed.limit(0), "refresh", lateness,
-                       f"{path}/_state", path, checkpoint, once, first_ticks)
+    finish = lambda d: refresh_candidates(d.select(*process.columns), n, every)
+    return _keyed(rows, keyed.Windows, finish, "refresh", f"{path}/_state", path, checkpoint, once, lateness, idle, forget)

@@ -226,3 +226,58 @@ def test_stream_candidates_of_a_split_window(spark, tmp_path):
     live.stream_candidates(rows, f"{tmp_path}/out", f"{tmp_path}/ckpt", 1).awaitTermination(120)
     whole = spark.createDataFrame([r for b in batches for r in b], schema)
     assert same(spark.read.parquet(f"{tmp_path}/out/batch=*"), live.refresh_candidates(whole, 1))
+
+
+def goes_on(spark, start, path, want, tmp_path):
+    """A query without an end gives ``want``, its last rows too, as ``batch=<id>``."""
+    import time
+    q = start(f"{tmp_path}/state", path, f"{tmp_path}/ckpt")
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            assert q.exception() is None
+            if any(Path(path).glob("batch=[0-9]*/*.parquet")) and same(spark.read.parquet(f"{path}/batch=[0-9]*"), want):
+                return
+        raise AssertionError([want.count(), spark.read.parquet(f"{path}/batch=[0-9]*").count()])
+    finally:
+        q.stop()
+
+
+def test_an_ended_run_is_released_by_a_timer(spark, tmp_path):
+    schema = "run_id string, mono double, row_ord long, pid long, read_bytes long, write_bytes long"
+    row = lambda run, at, pid=1: (run, float(at), at, pid, 2**60 + at * at * 1000, at * 50)
+    batches = [[row("a", 1), row("a", 2), row("b", 1)], [row("a", 4), row("b", 3)], [row("a", 5), row("a", 5, 2)]]
+    rows = in_order(spark, batches, schema, f"{tmp_path}/in")
+    whole = spark.createDataFrame([r for b in batches for r in b], schema)
+    goes_on(spark, lambda *a: live.stream_process_io_rates(rows, *a, once=False, idle=2), f"{tmp_path}/out", derive.process_io_rates(whole), tmp_path)
+
+
+def test_the_last_snapshot_of_an_ended_run_appears(spark, tmp_path):
+    schema = "run_id string, snapshot_ord long, pid long, name string"
+    snap = lambda run, at, pids: [(run, at, p, f"n{p}") for p in pids]
+    batches = [snap("a", 1, [1, 2, 3]) + snap("b", 1, [1]), snap("a", 2, [1]), snap("a", 2, [2, 4]) + snap("b", 2, [7])]
+    rows = in_order(spark, batches, schema, f"{tmp_path}/in")
+    whole = spark.createDataFrame([r for b in batches for r in b], schema)
+    goes_on(spark, lambda *a: live.stream_snapshot_diff(rows, *a, once=False, idle=2), f"{tmp_path}/out", derive.process_snapshot_diff(whole), tmp_path)
+
+
+def test_the_last_window_of_an_ended_run_appears(spark, tmp_path):
+    schema = "run_id string, rel_seconds double, pid long, name string, is_target boolean, cpu_pct double, rss_bytes long, num_handles long, io_read_bps double, io_write_bps double"
+    row = lambda at, pid, x: ("a", float(at), pid, "p", False, float(x), x, x, float(x), float(x))
+    batches = [[row(1, 1, 5), row(12, 2, 5)], [row(11, 3, 9), row(15, 4, 99)], [row(11, 5, 10)]]
+    rows = in_order(spark, batches, schema, f"{tmp_path}/in")
+    whole = spark.createDataFrame([r for b in batches for r in b], schema)
+    start = lambda state, path, checkpoint: live.stream_candidates(rows, path, checkpoint, 1, once=False, idle=2)
+    goes_on(spark, start, f"{tmp_path}/out", live.refresh_candidates(whole, 1), tmp_path)
+
+
+def test_snapshot_diffs_count_repeated_rows_once(spark):
+    rows = [("a", 1, 5, "x"), ("a", 1, 5, "x"), ("a", 3, 6, "y"), ("a", 3, 6, "y"), ("a", 9, 5, "x"), ("a", 9, None, "z"), ("b", 4, 1, "w")]
+    got = derive.process_snapshot_diff(spark.createDataFrame(rows, "run_id string, snapshot_ord long, pid long, name string"))
+    assert sorted(tuple(r) for r in got.filter("pid is not null").collect()) == [
+        ("a", 3, "process_ended", 5, "x"), ("a", 3, "process_started", 6, "y"), ("a", 9, "process_ended", 6, "y"), ("a", 9, "process_started", 5, "x")]
+    services = [("a", 1, "s", "run", 5), ("a", 2, "s", "stop", 0), ("a", 3, "s", "run", 6), ("a", 3, "", "run", 1), ("a", 4, "t", "run", 2), ("a", 4, "t", "run", 2), ("a", 5, "s", "run", 6)]
+    got = derive.service_snapshot_diff(spark.createDataFrame(services, "run_id string, snapshot_ord long, name string, status string, pid long"))
+    assert sorted((r.snapshot_ord, r.event, r.name, r.from_pid, r.to_pid) for r in got.collect()) == sorted([
+        (2, "service_status_change", "s", None, None), (3, "service_status_change", "s", None, None), (3, "service_pid_change", "s", 0, 6),
+        (4, "service_added", "t", None, None), (4, "service_removed", "s", None, None), (5, "service_removed", "t", None, None), (5, "service_added", "s", None, None)])
