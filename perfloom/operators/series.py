@@ -19,6 +19,10 @@ from ..functions.session import written
 
 CHUNK = 1 << 16
 SPAN_BIN = 64
+BIN_BITS = 10
+CUTS = 4096
+FEW = 1 << 17
+MIN_NORMAL = 2.2250738585072014e-308
 RUN = ("run_id",)
 
 
@@ -223,45 +227,52 @@ def time_range_join(
 # --- statistics ----------------------------------------------------------------------------
 
 
-def percentile_linear(
-    df: DataFrame, col: str, p: float, keys: Sequence[str] = RUN, name: str = "p", accuracy: int = 20_000
-) -> DataFrame:
+def value_bin(v: Column) -> Column:
+    """A number that never falls when the value rises: sign, binary exponent and `BIN_BITS` bits after the leading one."""
+    size = F.abs(v)
+    finite = F.when(size < float("inf"), size)
+    exponent = F.floor(F.log2(finite))
+    part = F.floor(finite / F.pow(F.lit(2.0), exponent) * (1 << BIN_BITS))
+    code = (exponent + 1100) * (2 << BIN_BITS) + F.least(part, F.lit((2 << BIN_BITS) - 1))
+    far = F.lit(float(1 << 40))
+    code = F.when(size == float("inf"), far).when(size < MIN_NORMAL, F.lit(1.0)).otherwise(code)
+    return F.when(F.isnan(v), far + 1).when(v == 0, F.lit(0.0)).when(v > 0, code).otherwise(-code).cast("bigint")
+
+
+def percentile_linear(df: DataFrame, col: str, p: float, keys: Sequence[str] = RUN, name: str = "p") -> DataFrame:
     """Exact percentile with linear interpolation at ``(n-1)*p``, one row per key.
 
-    A bounded sketch brackets the wanted rank; only the values inside the bracket are counted
-    and ordered. Groups that are small anyway use all their values. The result does not depend
-    on the sketch, only the amount of work does.
+    Values are counted in bins that depend on the value alone, so the counts are formed before the shuffle and no row
+    is sent by its key. The counts tell which bins hold the two wanted ranks and how many values are below. While such a bin
+    holds more than `FEW` unequal values, it is cut into `CUTS` equal parts between its least and largest value and
+    counted again. What remains is ordered. Ranks always lie in the chosen bins, as all counts are exact.
     """
-    d = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    margin = 3.0 / accuracy
-    marks = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy).alias("_m"),
-    )
-    large = F.col("_n") > 4 * accuracy
-    marks = marks.select(
-        *keys, "_n",
-        F.when(large, F.col("_m")[0]).otherwise(F.lit(float("-inf"))).alias("_lo"),
-        F.when(large, F.col("_m")[1]).otherwise(F.lit(float("inf"))).alias("_hi"),
-        ((F.col("_n") - 1) * F.lit(p)).alias("_k"),
-    )
-    # Values below the bracket collapse to one counter row per key before the shuffle.
-    near = (
-        d.join(marks, [*keys])
-        .filter(F.col("_v") <= F.col("_hi"))
-        .withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-        .groupBy(*keys, "_n", "_k", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    w = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = near.withColumn("_upto", F.sum("_c").over(w)).filter(F.col("_v").isNotNull())
-    low = F.floor(F.col("_k"))
-    high = F.least(low + 1, F.col("_n") - 1)
-    picked = ranked.groupBy(*keys, "_n", "_k").agg(
+    d = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).withColumn("_bin", value_bin(F.col("_v")))
+    counts = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    bins = d.groupBy(*keys, "_bin").agg(*counts)
+    all_of = W.partitionBy(*keys)
+    n = F.sum("_c").over(all_of)
+    place = (n - 1) * F.lit(p)
+    bins = bins.withColumns({"_upto": F.sum("_c").over(all_of.orderBy("_bin")), "_k": place})
+    low, high = F.floor(F.col("_k")), F.ceil(F.col("_k"))
+    holds = (F.col("_upto") > low) & (F.col("_upto") - F.col("_c") <= high)
+    chosen = written(bins.filter(holds).withColumn("_below", F.col("_upto") - F.col("_c")).drop("_upto"))
+    in_range = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    while chosen.filter((F.col("_c") > FEW) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
+        marks = chosen.drop("_c")
+        part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CUTS)
+        part = F.when(F.col("_lo") < F.col("_hi"), part).otherwise(0)
+        found = d.join(marks, [*keys, "_bin"]).filter(in_range).groupBy(*keys, "_bin", "_k", "_below", part.alias("_part")).agg(*counts)
+        upto = F.col("_below") + F.sum("_c").over(W.partitionBy(*keys, "_bin", "_below").orderBy("_part"))
+        found = found.withColumn("_upto", upto).filter(holds)
+        chosen = written(found.withColumn("_below", F.col("_upto") - F.col("_c")).drop("_upto", "_part"))
+    near = d.join(chosen.drop("_c"), [*keys, "_bin"]).filter(in_range).groupBy(*keys, "_bin", "_k", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = near.withColumn("_upto", F.col("_below") + F.sum("_c").over(W.partitionBy(*keys, "_bin", "_below").orderBy("_v")))
+    picked = ranked.groupBy(*keys, "_k").agg(
         F.min(F.when(F.col("_upto") > low, F.col("_v"))).alias("_a"),
         F.min(F.when(F.col("_upto") > high, F.col("_v"))).alias("_b"),
     )
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_k") - low)
+    value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_k") - low))
     return picked.select(*keys, value.alias(name))
 
 
@@ -324,17 +335,23 @@ def monotonic_ratio(df: DataFrame, col: str, keys: Sequence[str] = RUN, name: st
 def plateau_fraction(
     df: DataFrame, col: str, keys: Sequence[str] = RUN, tolerance: float = 0.02, name: str = "plateau_fraction"
 ) -> DataFrame:
-    """Share of the series, from the end, that stays within ``tolerance`` of the last value."""
-    ends = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.max_by(col, "idx").alias("_last")
-    )
-    outside = F.abs(F.col(col) - F.col("_last")) > F.abs(F.col("_last")) * tolerance
-    tail = df.join(ends, [*keys]).groupBy(*keys, "_n", "_last").agg(
-        F.max(F.when(outside, F.col("idx"))).alias("_out")
+    """Share of the series, from the end, that stays within ``tolerance`` of the last value.
+
+    A row per chunk has its least and largest value; only rows of the last chunk that leaves the band are looked at again.
+    """
+    chunks = df.groupBy(*keys, chunk_of("idx").alias("_chunk")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(col).alias("_least"), F.max(col).alias("_most"), F.max_by(col, "idx").alias("_end")
     )
-    share = (F.col("_n") - 1 - F.coalesce("_out", F.lit(-1))) / F.col("_n")
+    chunks = written(chunks)
+    ends = chunks.groupBy(*keys).agg(F.sum("_rows").alias("_n"), F.max_by("_end", "_chunk").alias("_last"))
+    outside = lambda v: F.abs(v - F.col("_last")) > F.abs(F.col("_last")) * tolerance
+    leaves = chunks.join(ends, [*keys]).withColumn("_out", outside(F.col("_least")) | outside(F.col("_most")))
+    last = written(leaves.groupBy(*keys, "_n", "_last").agg(F.max(F.when(F.col("_out"), F.col("_chunk"))).alias("_chunk")))
+    rows = df.select(*keys, "idx", F.col(col).alias("_v"), chunk_of("idx").alias("_chunk")).join(last.drop("_n"), [*keys, "_chunk"])
+    out = rows.filter(outside(F.col("_v"))).groupBy(*keys).agg(F.max("idx").alias("_at"))
+    share = (F.col("_n") - 1 - F.coalesce("_at", F.lit(-1))) / F.col("_n")
     usable = (F.col("_n") >= 2) & (F.col("_last") > 0)
-    return tail.select(*keys, F.when(usable, share).otherwise(0.0).alias(name))
+    return last.join(out, [*keys], "left").select(*keys, F.when(usable, share).otherwise(0.0).alias(name))
 
 
 def clip(col: Column, lo: float = 0.0, hi: float = 100.0) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,8 +125,7 @@ def test_percentile(spark):
         lo = int(k)
         hi = min(lo + 1, len(want) - 1)
         expected = want[lo] + (want[hi] - want[lo]) * (k - lo)
-        # accuracy 200 makes the group "large", so the bracket is used
-        assert series.percentile_linear(df, "v", p, accuracy=200).collect()[0].p == pytest.approx(expected)
+        assert series.percentile_linear(df, "v", p).collect()[0].p == pytest.approx(expected)
 
 
 def test_slope_and_fit(spark):
@@ -170,3 +170,57 @@ def test_moving_average_longer_than_a_chunk(spark):
     w = W.partitionBy("run_id").orderBy("idx").rowsBetween(1 - window, 0)
     got = series.moving_average(rows, "v", window).withColumn("plain", F.avg("v").over(w))
     assert got.agg(F.count("idx"), F.count_if(F.expr("abs(smooth - plain) > 1e-6"))).first() == (n, 0)
+
+
+@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.95, 1.0])
+def test_percentile_by_refined_counts(spark, monkeypatch, p):
+    """Bins that hold many unequal values are cut until few are left; ties, signs and tiny values included."""
+    monkeypatch.setattr(series, "FEW", 3)
+    monkeypatch.setattr(series, "CUTS", 4)
+    draw = np.random.default_rng(1)
+    groups = {
+        "close": 100 + draw.random(500) * 1e-9, "ties": draw.integers(0, 3, 400).astype(float), "signs": draw.standard_normal(300) * 1e6,
+        "tiny": draw.random(50) * 1e-310, "one": np.array([7.5]), "wide": np.concatenate([10.0 ** draw.integers(-300, 300, 200), -(2.0 ** np.arange(40))]),
+        "zeros": np.array([0.0, -0.0, 0.0, 5.0]),
+    }
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("close", None)]
+    table = spark.createDataFrame(rows, "run_id string, v double").repartition(7)
+    got = {r.run_id: r.p for r in series.percentile_linear(table, "v", p).collect()}
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx(np.percentile(vs, p * 100), rel=1e-12), g
+
+
+def test_value_bins_never_fall(spark):
+    draw = np.random.default_rng(2)
+    values = sorted({*(draw.standard_normal(3000) * 10.0 ** draw.integers(-320, 300, 3000)).tolist(), *(2.0 ** np.arange(-1074, 1024)).tolist(),
+                     *np.nextafter(2.0 ** np.arange(-1000, 1000), 0).tolist(), 0.0, -1.0, float("inf"), -float("inf")}) + [float("nan")]
+    table = spark.createDataFrame(list(enumerate(map(float, values))), "i int, v double")
+    bins = [r.b for r in table.select("i", series.value_bin(F.col("v")).alias("b")).orderBy("i").collect()]
+    assert all(a <= b for a, b in zip(bins, bins[1:])) and len(set(bins)) > 2000
+
+
+def test_percentile_sends_no_row_by_its_key(spark):
+    """Without broadcasts, rows are exchanged by bin or value; only bins and marks meet by key."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = spark.range(100_000).select(F.lit("r").alias("run_id"), (F.col("id") % 977).cast("double").alias("v"))
+        df = series.percentile_linear(table, "v", 0.5)
+        assert df.collect()[0].p == 486.0
+        text = df._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in text.splitlines() if "SortMergeJoin" in line]
+        assert joins and all("_bin" in line for line in joins)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_plateau_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(series, "CHUNK", 8)
+    draw = np.random.default_rng(3)
+    rows, want = [], {}
+    for k in range(30):
+        v = np.concatenate([draw.random(draw.integers(0, 40)) * 50 + 1, 100 + draw.random(draw.integers(1, 40))])
+        rows += [(f"r{k}", i, float(x)) for i, x in enumerate(v)]
+        out = np.flatnonzero(np.abs(v - v[-1]) > abs(v[-1]) * 0.02)
+        want[f"r{k}"] = (len(v) - 1 - (out[-1] if len(out) else -1)) / len(v) if len(v) >= 2 else 0.0
+    got = {r.run_id: r.plateau_fraction for r in series.plateau_fraction(spark.createDataFrame(rows, "run_id string, idx long, v double"), "v").collect()}
+    assert got == pytest.approx(want)
