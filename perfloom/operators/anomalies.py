@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import parse_semicolon_list, text_or_unknown, zero_if_null
 from ..thresholds import Thresholds
-from .series import indexed, islands, merge_windows, percentile_linear, rows_in_windows
+from .segments import Series, measured_windows
+from .series import indexed, percentile_linear
 
 SPAN_COLUMNS = ["run_id", "kind", "severity", "start_idx", "end_idx", "start_rel", "end_rel", "samples", "peak_pct", "avg_pct"]
 
@@ -25,43 +26,33 @@ LOADS = {
 def load_anomalies(system: DataFrame, th=Thresholds(), kinds=tuple(LOADS)) -> DataFrame:
     """Sustained windows of load columns, merged, with peak and mean over the whole span.
 
-    All kinds go through one pass: the series are keyed by (run, kind).
+    All kinds come from one pass over the chunks of a run (`segments`).
     """
-    keys = ("run_id", "kind")
+    names = lambda position: [LOADS[k][position] for k in kinds]
+    columns = [zero_if_null(LOADS[k][0]).alias(f"v_{k}") for k in kinds]
+    rows = indexed(system, columns=["rel_seconds", *names(0)]).select("run_id", "idx", "rel_seconds", *columns)
+    rows = th.attach(rows, *names(1), *names(2), *names(3))
 
-    def limit(position: int) -> Column:
-        chosen = F.lit(None)
+    def series(frame):
+        rel = frame["rel_seconds"].to_numpy("float64")
         for k in kinds:
-            chosen = F.when(F.col("kind") == k, F.col(f"th_{LOADS[k][position]}")).otherwise(chosen)
-        return chosen
+            _, limit, least, gap, _ = LOADS[k]
+            v = frame[f"v_{k}"].to_numpy()
+            yield Series(k, v >= frame[f"th_{limit}"].iloc[0], int(frame[f"th_{least}"].iloc[0]), int(frame[f"th_{gap}"].iloc[0]), [v, v == v], [v, rel], [rel])
 
-    names = lambda position: [LOADS[k][position] for k in kinds]
-    values = F.array(*[F.struct(F.lit(k).alias("kind"), zero_if_null(LOADS[k][0]).alias("v")) for k in kinds])
-    rows = indexed(system).select("run_id", "idx", "rel_seconds", F.explode(values).alias("e"))
-    rows = rows.select("run_id", "e.kind", "idx", "rel_seconds", "e.v")
-    over = th.attach(rows, *names(1)).filter(F.col("v") >= limit(1)).select(*keys, "idx")
-    found = th.attach(islands(over, F.lit(True), keys), *names(2), *names(3))
-    found = found.filter(F.col("end_idx") - F.col("start_idx") + 1 >= limit(2))
-    merged = merge_windows(found, limit(3), keys)
-    d = (
-        rows_in_windows(rows, merged, keys)
-        .groupBy(*keys, "start_idx", "end_idx")
-        .agg(
-            F.min("rel_seconds").alias("start_rel"),
-            F.max("rel_seconds").alias("end_rel"),
-            F.count(F.lit(1)).alias("samples"),
-            F.max("v").alias("peak_pct"),
-            F.avg("v").alias("avg_pct"),
-        )
-    )
+    d = measured_windows(rows, series, {"sums": ["total", "samples"], "peaks": ["peak_pct", "end_rel"], "lows": ["start_rel"]})
+    d = d.withColumns({"kind": F.col("label"), "samples": F.col("samples").cast("bigint"), "avg_pct": F.col("total") / F.col("samples")})
     d = th.attach(d, *names(1), "mem_used_pct_critical", "disk_peak_high")
+    limit = F.lit(None)
+    for k in kinds:
+        limit = F.when(F.col("kind") == k, F.col(f"th_{LOADS[k][1]}")).otherwise(limit)
     memory = F.when(F.col("peak_pct") >= F.col("th_mem_used_pct_critical"), "high").otherwise("medium")
     disk = F.when(F.col("peak_pct") > F.col("th_disk_peak_high"), "high").otherwise("medium")
     severity = F.when(F.col("kind") == "memory_pressure", memory).when(F.col("kind") == "disk_active_high", disk).otherwise("high")
     subject = F.lit(None).cast("string")
     for k in kinds:
         subject = F.when(F.col("kind") == k, LOADS[k][4]).otherwise(subject)
-    text = F.format_string("%s at %.0f%% or more over %d samples, %.1f%% at most.", subject, limit(1).cast("double"), F.col("samples"), F.col("peak_pct"))
+    text = F.format_string("%s at %.0f%% or more over %d samples, %.1f%% at most.", subject, limit.cast("double"), F.col("samples"), F.col("peak_pct"))
     return d.withColumns({"severity": severity, "description": text}).select(*SPAN_COLUMNS, "description")
 
 
@@ -82,28 +73,26 @@ def cpu_single_core_saturation(system: DataFrame, th: Thresholds = Thresholds())
     cores = F.col("cpu_per_core_pct")
     if dict(system.dtypes)["cpu_per_core_pct"] == "string":
         cores = parse_semicolon_list(cores)
-    rows = indexed(system).select("run_id", "idx", "rel_seconds", cores.alias("cores"))
-    keys = ("run_id", "core")
-    per_core = th.attach(rows.select("run_id", "idx", F.posexplode("cores").alias("core", "v")), "cpu_single_core_pct")
-    found = islands(per_core, F.col("v") >= F.col("th_cpu_single_core_pct"), keys)
-    found = th.attach(found, "cpu_single_core_seconds", "core_merge_gap").filter(
-        F.col("end_idx") - F.col("start_idx") + 1 >= F.col("th_cpu_single_core_seconds")
-    )
-    merged = merge_windows(found, F.col("th_core_merge_gap"), keys)
-    own = F.get("cores", F.col("core"))
-    total = F.aggregate("cores", F.lit(0.0), lambda acc, x: acc + x)
-    spans = (
-        rows_in_windows(rows, merged)
-        .groupBy("run_id", "core", "start_idx", "end_idx")
-        .agg(
-            F.min("rel_seconds").alias("start_rel"),
-            F.max("rel_seconds").alias("end_rel"),
-            F.count(F.lit(1)).alias("samples"),
-            F.max(F.coalesce(own, F.lit(0.0))).alias("peak_pct"),
-            F.sum(total - F.coalesce(own, F.lit(0.0))).alias("_others"),
-            F.sum(F.size("cores") - own.isNotNull().cast("int")).alias("_n_others"),
-        )
-    )
+    rows = indexed(system, columns=["rel_seconds", "cpu_per_core_pct"]).select("run_id", "idx", "rel_seconds", cores.alias("cores"))
+    rows = th.attach(rows, "cpu_single_core_pct", "cpu_single_core_seconds", "core_merge_gap")
+
+    def series(frame):
+        import numpy as np
+
+        rel = frame["rel_seconds"].to_numpy("float64")
+        limit, least, gap = (frame[f"th_{n}"].iloc[0] for n in ("cpu_single_core_pct", "cpu_single_core_seconds", "core_merge_gap"))
+        listed = [() if c is None else c for c in frame["cores"]]
+        sizes = np.array([len(c) for c in listed])
+        values = np.zeros((len(listed), max(1, sizes.max())))
+        there = np.arange(values.shape[1]) < sizes[:, None]
+        values[there] = np.concatenate([np.asarray(c, np.float64) for c in listed])
+        total = values.sum(1)
+        for core in range(sizes.max()):
+            own, others = values[:, core], sizes - there[:, core]
+            yield Series(str(core), there[:, core] & (own >= limit), int(least), int(gap), [np.ones(len(rel)), total - own, others], [own, rel], [rel])
+
+    spans = measured_windows(rows, series, {"sums": ["samples", "_others", "_n_others"], "peaks": ["peak_pct", "end_rel"], "lows": ["start_rel"]})
+    spans = spans.withColumns({"core": F.col("label").cast("int"), "samples": F.col("samples").cast("bigint")})
     others = F.when(F.col("_n_others") > 0, F.col("_others") / F.col("_n_others")).otherwise(0.0)
     spans = th.attach(
         spans.withColumn("other_cores_avg_pct", others), "core_others_avg_below", "cpu_single_core_pct"

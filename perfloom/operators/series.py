@@ -65,9 +65,12 @@ def dense_index(
     )
 
 
-def indexed(df: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    """``df`` with ``idx``; an index that is already there is kept."""
-    return df if "idx" in df.columns else dense_index(df, keys)
+def indexed(df: DataFrame, keys: Sequence[str] = RUN, columns: Sequence[str] | None = None, size: str | None = None) -> DataFrame:
+    """``df`` with ``idx``; an index that is already there is kept, else only ``columns`` are sorted and written."""
+    if "idx" in df.columns:
+        return df
+    own = df if columns is None else df.select(*dict.fromkeys([*keys, "rel_seconds", "row_ord", *columns]))
+    return dense_index(own, keys, size=size)
 
 
 def chunk_of(idx: Column | str) -> Column:
