@@ -282,7 +282,7 @@ def percentile_linear(df: DataFrame, col: str, p: float, keys: Sequence[str] = R
 def moving_average(df: DataFrame, col: str, window: int, keys: Sequence[str] = RUN, name: str = "smooth") -> DataFrame:
     """Trailing mean over up to ``window`` rows.
 
-    The frame is summed for each row; for windows of many thousand rows `grouped_moving_average` costs less.
+    The frame is summed for each row; for windows of many thousand rows `grouped_moving_averages` costs less.
     """
     back = max(window - 1, 0)
     return with_neighbours(
@@ -290,35 +290,51 @@ def moving_average(df: DataFrame, col: str, window: int, keys: Sequence[str] = R
     )
 
 
-def grouped_moving_average(
-    df: DataFrame, col: str, window_col: str, size_col: str, keys: Sequence[str] = RUN,
-    name: str = "smooth", previous: str = "prev_smooth",
+def grouped_moving_averages(
+    df: DataFrame, columns: Sequence[str], window_col: str, size_col: str, keys: Sequence[str] = RUN
 ) -> DataFrame:
-    """Trailing mean whose length differs per key, and the one of the row before.
+    """Trailing means of several columns whose length differs per key: ``smooth_<c>``, the one of the row before
+    (``prev_<c>``) and the last one of the series (``end_<c>``).
 
-    The mean is the difference of two running totals. A row sends its total to its own position
-    and to the position one window later (where it is subtracted), with the usual copies for
-    the next chunk, so one shuffle serves the difference and the look back.
+    A mean is the difference of two running totals. A row sends its totals to its own position and to the position one
+    window later (where they are subtracted), with the usual copies for the next chunk, so one shuffle serves
+    the differences and the look back of all columns. What a chunk needs of the chunks before, and of the end
+    of the series, comes with one row per chunk.
     """
-    totals = prefix_sums(df, {"_sum": F.col(col)}, keys)
+    d = df.withColumn("_chunk", chunk_of("idx"))
+    tail = F.col("idx") >= F.col(size_col) - F.col(window_col)
+    totals = d.groupBy(*keys, "_chunk").agg(
+        *[F.sum(c).alias(f"_t_{c}") for c in columns], *[F.sum(F.when(tail, F.col(c))).alias(f"_e_{c}") for c in columns]
+    )
+    all_of = W.partitionBy(*keys)
+    earlier = all_of.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = totals.select(
+        *keys, "_chunk", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_c_{c}") for c in columns],
+        *[F.sum(f"_e_{c}").over(all_of).alias(f"_e_{c}") for c in columns],
+    )
+    local = W.partitionBy(*keys, "_chunk").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    rows = d.withColumns({f"_l_{c}": F.sum(c).over(local) for c in columns}).join(carry, [*keys, "_chunk"])
+    rows = rows.withColumns({
+        **{f"_sum_{c}": F.col(f"_l_{c}") + F.col(f"_c_{c}") for c in columns},
+        **{f"end_{c}": F.col(f"_e_{c}") / F.least(F.col(size_col), F.col(window_col)) for c in columns},
+    }).drop("_chunk", *[f"_{k}_{c}" for c in columns for k in "lce"])
     later = F.col("idx") + F.col(window_col)
     send = F.array(
         F.struct(F.col("idx").alias("_to"), F.lit(1).alias("_own")),
         F.when(later < F.col(size_col), F.struct(later.alias("_to"), F.lit(0).alias("_own"))),
     )
-    sent = totals.withColumn("_s", F.explode(F.array_compact(send))).select("*", "_s._to", "_s._own").drop("_s")
+    sent = rows.withColumn("_s", F.explode(F.array_compact(send))).select("*", "_s._to", "_s._own").drop("_s")
     home = chunk_of("_to")
     next_too = F.when(F.col("_to") % CHUNK == CHUNK - 1, home + 1)
     sent = sent.withColumn("_chunk", F.explode(F.array_compact(F.array(home, next_too))))
     by = W.partitionBy(*keys, "_chunk")
     w = by.orderBy("_to", "_own")
-    paired = sent.withColumn(
-        "_older", F.when(F.lag("_to").over(w) == F.col("_to"), F.lag("_sum").over(w)).otherwise(F.lit(0))
-    ).filter(F.col("_own") == 1)
+    same = F.lag("_to").over(w) == F.col("_to")
+    paired = sent.withColumns({f"_older_{c}": F.when(same, F.lag(f"_sum_{c}").over(w)).otherwise(F.lit(0)) for c in columns}).filter(F.col("_own") == 1)
     length = F.least(F.col("idx") + 1, F.col(window_col))
-    smooth = paired.withColumn(name, (F.col("_sum") - F.col("_older")) / length)
-    smooth = smooth.withColumn(previous, F.lag(name).over(by.orderBy("_to")))
-    return smooth.filter(F.col("_chunk") == home).drop("_sum", "_older", "_to", "_own", "_chunk")
+    smooth = paired.withColumns({f"smooth_{c}": (F.col(f"_sum_{c}") - F.col(f"_older_{c}")) / length for c in columns})
+    smooth = smooth.withColumns({f"prev_{c}": F.lag(f"smooth_{c}").over(by.orderBy("_to")) for c in columns})
+    return smooth.filter(F.col("_chunk") == home).drop("_to", "_own", "_chunk", *[f"_{k}_{c}" for c in columns for k in ("sum", "older")])
 
 
 def r2(y: str, x: str) -> Column:

@@ -9,52 +9,59 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import text_or_unknown
 from ..thresholds import Thresholds
-from .series import dense_index, grouped_moving_average, r2, top_k
+from .series import dense_index, grouped_moving_averages, r2, top_k
 
 METRICS = ("rss_bytes", "num_handles", "num_threads")
-KEYS = ("run_id", "pid", "metric")
+SERIES = ("run_id", "pid")
+KEYS = (*SERIES, "metric")
 PLATEAU_TOLERANCE = 0.02
 
 
 def smoothed_series(process: DataFrame, metrics: tuple[str, ...] = METRICS, th: Thresholds = Thresholds()) -> DataFrame:
-    """Long series (run, pid, metric, idx) with the trailing mean over max(5, n // 20) points.
+    """Series (run, pid, idx) with the trailing means of all metrics over max(5, n // 20) points.
 
-    ``end_val`` is the last smoothed value of the series, taken as the mean of its last points.
+    The process table is sorted once for all metrics; a missing value counts as 0.
     """
-    base = process.select("run_id", "pid", "rel_seconds", "row_ord", text_or_unknown("name").alias("name"),
-                          *[F.col(m).cast("bigint").alias(m) for m in metrics])
-    long = base.unpivot(["run_id", "pid", "rel_seconds", "row_ord", "name"], list(metrics), "metric", "value")
-    long = long.filter(F.col("pid").isNotNull() & F.col("rel_seconds").isNotNull() & F.col("value").isNotNull())
-    points = th.attach(dense_index(long, KEYS, size="n"), "trend_min_points").filter(F.col("n") >= F.col("th_trend_min_points")).drop("th_trend_min_points")
-    points = points.withColumn("w", F.greatest(F.lit(5), F.floor(F.col("n") / 20)).cast("bigint"))
-    ends = points.filter(F.col("idx") >= F.col("n") - F.col("w")).groupBy(*KEYS).agg(
-        (F.sum("value") / F.count(F.lit(1))).alias("end_val")
+    base = process.filter(F.col("pid").isNotNull() & F.col("rel_seconds").isNotNull()).select(
+        "run_id", "pid", "rel_seconds", "row_ord", text_or_unknown("name").alias("name"),
+        *[F.coalesce(F.col(m).cast("bigint"), F.lit(0)).alias(m) for m in metrics],
     )
-    return grouped_moving_average(points, "value", "w", "n", KEYS).join(ends, [*KEYS])
+    points = th.attach(dense_index(base, SERIES, size="n"), "trend_min_points").filter(F.col("n") >= F.col("th_trend_min_points")).drop("th_trend_min_points")
+    points = points.withColumn("w", F.greatest(F.lit(5), F.floor(F.col("n") / 20)).cast("bigint"))
+    return grouped_moving_averages(points, metrics, "w", "n", SERIES)
 
 
 def trend_stats(process: DataFrame, metrics: tuple[str, ...] = METRICS, th: Thresholds = Thresholds()) -> DataFrame:
-    """Slope, fit, monotonicity, plateau, ends and peak of each smoothed series."""
+    """Slope, fit, monotonicity, plateau, ends and peak of each smoothed series, a row per metric."""
     s = smoothed_series(process, metrics, th)
-    rises = F.avg(F.when(F.col("idx") > 0, (F.col("smooth") >= F.col("prev_smooth")).cast("double")))
-    outside = F.abs(F.col("smooth") - F.col("end_val")) > F.abs(F.col("end_val")) * PLATEAU_TOLERANCE
-    stats = s.groupBy(*KEYS, "n", "end_val").agg(
-        F.regr_slope("smooth", "rel_seconds").alias("slope"),
-        r2("smooth", "rel_seconds").alias("r2"),
-        rises.alias("mono"),
-        F.min_by("smooth", "idx").alias("start_val"),
-        F.max("smooth").alias("peak_val"),
+
+    def figures(m: str) -> list[Column]:
+        smooth, end = F.col(f"smooth_{m}"), F.col(f"end_{m}")
+        outside = F.abs(smooth - end) > F.abs(end) * PLATEAU_TOLERANCE
+        return [
+            F.regr_slope(smooth, "rel_seconds").alias(f"{m}_slope"),
+            r2(f"smooth_{m}", "rel_seconds").alias(f"{m}_r2"),
+            F.avg(F.when(F.col("idx") > 0, (smooth >= F.col(f"prev_{m}")).cast("double"))).alias(f"{m}_mono"),
+            F.min_by(smooth, "idx").alias(f"{m}_start_val"),
+            F.max(end).alias(f"{m}_end_val"),
+            F.max(smooth).alias(f"{m}_peak_val"),
+            F.max(F.when(outside, F.col("idx"))).alias(f"{m}_out"),
+        ]
+
+    stats = s.groupBy(*SERIES, "n").agg(
+        *[f for m in metrics for f in figures(m)],
         (F.max("rel_seconds") - F.min("rel_seconds")).alias("_span"),
         F.max_by("name", "idx").alias("process_name"),
-        F.max(F.when(outside, F.col("idx"))).alias("_out"),
-    ).filter("slope is not null")
-    share = (F.col("n") - 1 - F.coalesce("_out", F.lit(-1))) / F.col("n")
-    return stats.withColumns(
-        {
-            "plateau": F.when(F.col("end_val") > 0, share).otherwise(0.0),
-            "duration": F.when(F.col("_span") > 0, F.col("_span")).otherwise(1.0),
-        }
-    ).drop("_span", "_out")
+    )
+    names = ("slope", "r2", "mono", "start_val", "end_val", "peak_val", "out")
+    each = [F.struct(F.lit(m).alias("metric"), *[F.col(f"{m}_{c}").alias(c) for c in names]) for m in metrics]
+    stats = stats.select(*SERIES, "n", "_span", "process_name", F.inline(F.array(*each))).filter("slope is not null")
+    share = (F.col("n") - 1 - F.coalesce("out", F.lit(-1))) / F.col("n")
+    return stats.select(
+        *KEYS, "n", "end_val", "slope", "r2", "mono", "start_val", "peak_val", "process_name",
+        F.when(F.col("end_val") > 0, share).otherwise(0.0).alias("plateau"),
+        F.when(F.col("_span") > 0, F.col("_span")).otherwise(1.0).alias("duration"),
+    )
 
 
 def grade_confidence(slope: Column, unit: Column, growth_ratio: Column) -> Column:

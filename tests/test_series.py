@@ -88,10 +88,12 @@ def test_prefix_and_averages(spark):
     got = {r.idx: r.s for r in series.prefix_sums(d, {"s": F.col("v")}).collect()}
     assert [got[i] for i in range(41)] == [sum(values[: i + 1]) for i in range(41)]
     want = [sum(values[max(0, i - 6): i + 1]) / min(i + 1, 7) for i in range(41)]
-    got = {r.idx: r for r in series.grouped_moving_average(d, "v", "w", "n").collect()}
-    assert [got[i].smooth for i in range(41)] == pytest.approx(want)
-    assert got[0].prev_smooth is None
-    assert [got[i].prev_smooth for i in range(1, 41)] == pytest.approx(want[:-1])
+    d = d.withColumn("u", F.col("v") * 3 + 1)
+    got = {r.idx: r for r in series.grouped_moving_averages(d, ["v", "u"], "w", "n").collect()}
+    assert [got[i].smooth_v for i in range(41)] == pytest.approx(want)
+    assert [got[i].smooth_u for i in range(41)] == pytest.approx([3 * x + 1 for x in want])
+    assert got[0].prev_v is None and {r.end_v for r in got.values()} == {got[40].smooth_v}
+    assert [got[i].prev_v for i in range(1, 41)] == pytest.approx(want[:-1])
     assert len(got) == 41
     if series.CHUNK > 4:
         got = {r.idx: r.smooth for r in series.moving_average(d, "v", 7).collect()}
