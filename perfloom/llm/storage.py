@@ -7,13 +7,16 @@ Spark accepted; files of failed or repeated attempts are never read.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.session import scratch_folder, written
 
-__all__ = ["new_folder", "open_output", "open_input", "attempt_name", "written"]
+__all__ = ["free_names", "worker_memory", "new_folder", "open_output", "open_input", "attempt_name", "written"]
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -21,6 +24,33 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{scratch_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have, for an operator's own columns beside those of its caller."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+_HELD: dict = {}
+
+
+def worker_memory(name, make):
+    """What a Python worker remembers from task to task under ``name``. A worker holds one thing at a time: what
+    another operator left in it is given back first, so that memories do not add up over the stages of a job."""
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # gives free pages back where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def attempt_name(suffix: str) -> str:
     """A file name of this task attempt alone."""
     from pyspark import TaskContext

@@ -11,6 +11,9 @@ are taken apart, any other text goes through the tokenizer whole. The other kind
 white space and case, so texts are taken apart at blanks, tabs and line ends.
 
 A word of Latin letters alone is one piece for both kinds, so it goes straight to the tokenizer's model.
+
+Texts that spell one of the vocabulary's added tokens (such as an end mark) go through the tokenizer whole, and
+get the added token's id, as a plain call gives it.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ import os
 import re
 from array import array
 from collections.abc import Iterable
-from functools import lru_cache
+
+from .storage import worker_memory
 
 REMEMBERED = 700_000
 STOPS = frozenset(".,;:!?")
@@ -31,10 +35,9 @@ OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 
 
-@lru_cache(maxsize=1)
 def text_ids(vocabulary: str, keeps_blanks: bool, end: int, width: int = 4) -> TextIds:
     """One `TextIds` for all tasks that a Python worker runs one after another."""
-    return TextIds(vocabulary, keeps_blanks, end, width)
+    return worker_memory(("ids", vocabulary, keeps_blanks, end, width), lambda: TextIds(vocabulary, keeps_blanks, end, width))
 
 
 class Memory(dict):
@@ -56,7 +59,7 @@ class TextIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.keeps_blanks, self.kind = keeps_blanks, {2: "H", 4: "I"}[width]
         self.end = self._bytes([end])
@@ -103,7 +106,7 @@ class TextIds:
         """Ids as little-endian integers, with the end id; a null text is an empty one."""
         texts = ["" if t is None else t for t in texts]
         recall = self.memory.__getitem__
-        found = [None if self.keeps_blanks and not plain(t) else list(map(recall, self._words(t))) for t in texts]
+        found = [None if self._goes_whole(t) else list(map(recall, self._words(t))) for t in texts]
         missed, self.memory.missed = self.memory.missed, []
         fresh = set(missed)
         self._learn(fresh)
@@ -122,6 +125,10 @@ class TextIds:
         skipped = len(self.line_end)
         return [self._whole(t) + self.end if ids is None else b"".join([*ids, self.end])[skipped:] for t, ids in zip(texts, found, strict=True)]
 
+    def _goes_whole(self, text: str) -> bool:
+        """Whether words would not give the text's ids: an added token in it is one id, whatever stands around."""
+        return any(t in text for t in self.added) or self.keeps_blanks and not plain(text)
+
     def _words(self, text: str) -> list[str]:
         """The words between blanks; with kept blanks, a line's first word has its line end before it, the text's too."""
         return ("\n" + text.replace("\n", " \n") if self.keeps_blanks else blanks_only(text)).split(" ")
