@@ -21,13 +21,13 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import written
+from .storage import free_names, worker_memory, written
 
 WORDS = 5
 BANDS, ROWS = 36, 4
@@ -41,10 +41,9 @@ SENT = 1_000_000  # rows of ids (about 30 MB) that a broadcast may have
 FEATURES = "doc_id long, text_hash long, n long, digest binary, bands array<bigint>, sketch array<bigint>"
 
 
-@lru_cache(maxsize=1)
 def shared_shingler() -> Shingler:
     """One `Shingler` for all tasks that a Python worker runs one after another."""
-    return Shingler()
+    return worker_memory("shingles", Shingler)
 
 
 class Shingler:
@@ -185,14 +184,16 @@ def survivors(docs: DataFrame, percent: int = 75) -> DataFrame:
     placed = _grouped(docs, percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")).alias("first")
     chosen = placed.groupBy("group").agg(first).select("first.doc_id", "first.text_hash")
-    same = placed.groupBy("doc_id", "text_hash").agg((F.count(F.lit(1)) > 1).alias("_again")).withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
-    keys = chosen.join(same, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).select("_d", "_t", "_again")
+    same = placed.groupBy("doc_id", "text_hash").agg((F.count(F.lit(1)) > 1).alias("again"))
+    d, t, more = free_names(docs, "kept_doc", "kept_text", "again")
+    of = F.col("chosen.doc_id").eqNullSafe(F.col("same.doc_id")) & (F.col("chosen.text_hash") == F.col("same.text_hash"))
+    keys = chosen.alias("chosen").join(same.alias("same"), of).select(F.col("same.doc_id").alias(d), F.col("same.text_hash").alias(t), F.col("again").alias(more))
     keys = written(keys.distinct())
     if keys.count() <= SENT:
         keys = F.broadcast(keys)  # its size is checked; beyond it the join shuffles
-    left = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t")))
-    again = left.filter("_again").dropDuplicates(["_d", "_t"])  # rows that repeat doc_id and text
-    return left.filter("not _again").unionByName(again).select(*docs.columns)
+    left = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)))
+    again = left.filter(F.col(more)).dropDuplicates([d, t])  # rows that repeat doc_id and text
+    return left.filter(~F.col(more)).unionByName(again).select(*docs.columns)
 
 
 def _labels(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

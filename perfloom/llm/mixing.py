@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import free_names, written
 
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -155,15 +155,14 @@ def permuted(places, n: int):
     return places * step % n
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique `_row`, written so that it stays the same."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
+def mix(docs: DataFrame, seed: int = 0, shard: str = "_shard", place: str = "_place") -> DataFrame:
+    """The mixed documents, shard by shard in shuffled order: ``docs``' columns, ``shard`` and ``place``.
 
-
-def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mixed documents, shard by shard in shuffled order: ``docs``' columns and `_shard`, `_place`."""
-    rows = numbered(docs)
-    planned = written(plan(written(narrow(rows.withColumn("row", F.col("_row")), seed))))
-    drawn = draws(planned, seed).select(F.col("row").alias("_row"), F.col("shard").alias("_shard"), F.col("place").alias("_place"))
-    mixed = rows.join(drawn, "_row")
-    return mixed.repartition("_shard").sortWithinPartitions("_shard", "_place", "_row").drop("_row")
+    The last two must not be names of ``docs`` (`storage.free_names` finds such).
+    """
+    (row,) = free_names(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))  # written so that the numbers stay the same
+    planned = written(plan(written(narrow(rows.select("doc_id", "source", "text", F.col(row).alias("row")), seed))))
+    drawn = draws(planned, seed).select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("place").alias(place))
+    mixed = rows.join(drawn, row)
+    return mixed.repartition(shard).sortWithinPartitions(shard, place, row).drop(row)
