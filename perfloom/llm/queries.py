@@ -75,12 +75,12 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of each document without passages of 400 bytes that occur anywhere else."""
-    docs = suffixes.repeated_spans(table(spark, folder, "documents").select("doc_id", "text"))
-    text = F.col("text").cast("string")
-    return docs.select(
-        "doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-        F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
-        F.size("_spans").cast("long").alias("n_spans"), F.sha2(suffixes.kept_bytes(text, F.col("_spans")), 256).alias("kept_sha256"),
+    found = suffixes.repeated_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    text = F.col("row.text").cast("string")
+    return found.select(
+        "row.doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2(suffixes.kept_bytes(text, F.col("spans")), 256).alias("kept_sha256"),
     )
 
 

@@ -3,7 +3,7 @@
 Two equal windows of `WINDOW` bytes have the same content, so any function of the content deals suffixes to
 buckets in which all equal windows meet. Here it is the least hash of the window's `GRAM`-byte grams.
 
-1. Texts that occur as a whole more than once (told by 96 bits of hashes and the length) are removed as
+1. Texts that occur as a whole more than once (told by 128 bits of SHA-256) are removed as
    a whole and sorted once. One pass cuts each other text into runs of window starts with the same least gram. Runs whose gram hash
    occurs once can hold no repeated window and end here.
 2. The bytes of the other runs are dealt by gram hash to buckets of about `BUCKET` bytes, at most `CROWD` runs of a gram.
@@ -22,15 +22,16 @@ hash of the common bytes and the bytes around.
 
 Cases: null texts are empty; texts shorter than a window have no repeated part; a null doc_id and rows
 that repeat a doc_id are documents like others; rows that repeat both doc_id and text repeat each
-other; an empty table gives no rows. Extra columns are kept, whatever their names.
+other; an empty table gives no rows. Extra columns are kept in `row`, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import worker_memory, written
 
 WINDOW = 400
 GRAM = 32
@@ -44,25 +45,25 @@ SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with `_spans`, the maximal byte ranges of each text covered by repeated windows."""
+    """`row`, the columns of ``docs`` (doc_id, text and any others), and `spans`, the maximal byte ranges of its text
+    that repeated windows cover."""
     text = F.col("text").cast("string")
-    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_hash": F.xxhash64(text), "_more": F.hash(text), "_size": F.octet_length(text).cast("bigint")})
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"), text.alias("text"))
+    keyed = keyed.withColumns({"_hash": F.xxhash64("text"), "_size": F.octet_length("text").cast("bigint")})
+    keyed = keyed.withColumn("_whole", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     copies = written(
-        keyed.filter(F.col("_size") >= window).groupBy("_hash", "_more", "_size")
+        keyed.filter(F.col("_size") >= window).groupBy("_whole")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("_doc").isNotNull().alias("some"), "_doc")).alias("one")).filter("n > 1")
-        .select(F.col("_hash").alias("h"), F.col("_more").alias("m"), F.col("_size").alias("s"), F.col("one._doc").alias("one"), F.lit(True).alias("copy"))
+        .select(F.col("_whole").alias("copied"), F.col("one._doc").alias("one"))
     )
     if copies.count() <= SENT:
         copies = F.broadcast(copies)  # its size is checked; beyond it the join shuffles
-    same = (F.col("_hash") == F.col("h")) & (F.col("_more") == F.col("m")) & (F.col("_size") == F.col("s"))
-    keyed = keyed.join(copies, same, "left").drop("h", "m", "s")
-    whole = F.col("copy").isNotNull()
+    keyed = keyed.join(copies, F.col("_whole") == F.col("copied"), "left").drop("_whole")
+    whole = F.col("copied").isNotNull()
     single = keyed.filter(~whole | F.col("one").eqNullSafe(F.col("_doc")))  # one text of each kind
-    spans = _merged(_repeats(single.select("_doc", "_hash", "text"), window))
-    out = _with(keyed, spans)
+    out = _with(keyed, _merged(_repeats(single.select("_doc", "_hash", "text"), window)))
     all_of_it = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("_size").alias("end")))
-    out = out.withColumn("_spans", F.when(whole, all_of_it).otherwise(F.coalesce("_spans", F.array().cast(SPANS))))
-    return out.drop("_doc", "_hash", "_more", "_size", "one", "copy")
+    return out.select("row", F.when(whole, all_of_it).otherwise(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"))
 
 
 def kept_bytes(text: Column, spans: Column) -> Column:
@@ -126,6 +127,7 @@ def _runs(keyed: DataFrame, window: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        worker_memory("suffixes", dict)
         names = [x.split()[0] for x in RUN.split(", ")]
         step = SLICE - window
         for batch in batches:
@@ -275,23 +277,121 @@ def _sorted_repeats(keyed: DataFrame, chosen: DataFrame, window: int) -> DataFra
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """doc_key, text_hash, `_spans` and their number for each text with repeats."""
+    """doc_key, text_hash and the maximal spans of each text with repeats. Stretches are sorted and joined as rows, which
+    spill; only maximal spans are listed."""
+    text = W.partitionBy("doc_key", "text_hash")
+    by_start = text.orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    rows = found.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
+    rows = rows.withColumn("nth", F.sum("new").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
+    spans = rows.groupBy("doc_key", "text_hash", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    listed = F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")
+    return written(spans.groupBy("doc_key", "text_hash").agg(listed, F.count(F.lit(1)).alias("count_of_spans")))
+
+
+def repeated_passages(found: DataFrame, words: int, word: str) -> DataFrame:
+    """`repeated_spans` cut down to what passages of ``words`` words cover that occur more than once, whole rows kept.
+
+    A span may join several repeated stretches, none of which need hold so many words. So the passages of ``words``
+    consecutive words inside a span are counted, told by 128 bits of SHA-256 of their bytes. ``word``: a pattern.
+    Those that occur once are few or in few texts; they are listed by text, and every other one is repeated.
+    """
+    text = F.col("row.text").cast("string")
+    keyed = found.withColumns({"_doc": F.col("row.doc_id").cast("long"), "_hash": F.xxhash64(text)})
+    some = keyed.filter(F.size("spans") > 0).select(F.col("_doc").alias("doc_key"), F.col("_hash").alias("text_hash"), text.alias("text"), "spans")
+
+    def passages(batches):
+        import pyarrow as pa
+
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
 
-    def merge(batches):
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["passage", "doc_key", "text_hash", "start"])
+
+        worker_memory("passages", dict)
         for batch in batches:
-            spans = []
-            for listed in batch["_spans"]:
-                out: list[list[int]] = []
-                for a, b in sorted((s["start"], s["end"]) for s in listed):
-                    if out and a <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], b)
-                    else:
-                        out.append([a, b])
-                spans.append([{"start": a, "end": b} for a, b in out])
-            yield batch.assign(_spans=spans, count_of_spans=[len(s) for s in spans])
-
-    listed = found.groupBy("doc_key", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    return written(listed.mapInPandas(merge, f"doc_key long, text_hash long, _spans {SPANS}, count_of_spans long"))
+            rows = []
+            for doc, key, text, spans in zip(batch["doc_key"].to_pylist(), batch["text_hash"].to_pylist(), batch["text"], batch["spans"].to_pylist(), strict=True):
+                rows += [(digest, doc, key, a) for a, _, digest in passages_in(text.as_py().encode(), spans, words, word)]
+                if len(rows) > 50_000:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
+
+    counted = some.mapInArrow(passages, "passage binary, doc_key long, text_hash long, start int").groupBy("passage").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_key").alias("doc_key"), F.min("text_hash").alias("text_hash"), F.min("start").alias("start")
+    )
+    singles = counted.filter("n = 1").groupBy("doc_key", "text_hash").agg(F.sort_array(F.collect_list("start")).alias("singles"), F.count(F.lit(1)).alias("count_of_spans"))
+
+    @F.pandas_udf(SPANS)
+    def covered(texts, spans, singles):
+        import pandas as pd
+
+        out = []
+        for text, own, once in zip(texts, spans, singles, strict=True):
+            once = set() if once is None else set(once)
+            own = [{"start": int(s["start"]), "end": int(s["end"])} for s in own]
+            parts: list[dict] = []
+            for a, b, _ in passages_in((text or "").encode(), own, words, word) if len(own) else ():
+                if a in once:
+                    continue
+                if parts and a <= parts[-1]["end"]:
+                    parts[-1]["end"] = max(b, parts[-1]["end"])
+                else:
+                    parts.append({"start": a, "end": b})
+            out.append(parts)
+        return pd.Series(out)
+
+    with_some = _with(keyed.filter(F.size("spans") > 0), written(singles))
+    cut = with_some.select("row", covered(F.col("row.text").cast("string"), "spans", "singles").alias("spans"))
+    return cut.unionByName(found.filter(F.size("spans") == 0).select("row", "spans"))
+
+
+def passages_in(data: bytes, spans: list[dict], words: int, word: str):
+    """First byte, byte after the last, and digest of every run of ``words`` whole words inside a span."""
+    from hashlib import sha256
+
+    import regex
+
+    pattern = regex.compile(word)
+    for span in spans:
+        a, b = span["start"], span["end"]
+        if b - a < 2 * words - 1:
+            continue
+        while a < b and data[a] & 0xC0 == 0x80:  # a character that the border cuts is no word
+            a += 1
+        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        part = data[a:b].decode()
+        found = [m.span() for m in pattern.finditer(part)]
+        if part.isascii():
+            places = [(a + x, a + y) for x, y in found]
+        else:
+            sizes, at, places = [0], 0, []
+            for c in part:
+                at += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+                sizes.append(at)
+            places = [(a + sizes[x], a + sizes[y]) for x, y in found]
+        # A word that goes on beyond the span is not whole; the pattern sees one word across the border.
+        if places and places[0][0] == a and a and _goes_on(data, a, pattern):
+            places = places[1:]
+        if places and places[-1][1] == b and b < len(data) and _goes_on(data, b, pattern):
+            places = places[:-1]
+        for i in range(len(places) - words + 1):
+            first, last = places[i][0], places[i + words - 1][1]
+            yield first, last, sha256(data[first:last]).digest()[:16]
+
+
+def _goes_on(data: bytes, at: int, pattern) -> bool:
+    """Whether one word stands on both sides of a border between characters."""
+    low = at - 1
+    while data[low] & 0xC0 == 0x80:
+        low -= 1
+    high = at + 1
+    while high < len(data) and data[high] & 0xC0 == 0x80:
+        high += 1
+    return pattern.fullmatch(data[low:high].decode()) is not None
 
 
 def repeated_in(pieces: list[bytes], twice, window: int) -> list[list[tuple[int, int]]]:

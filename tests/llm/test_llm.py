@@ -128,7 +128,7 @@ def _repeated(data: list[bytes], window: int):
 
 def test_suffixes(spark, docs):
     data = [(r.text or "").encode() for r in docs.collect()]
-    rows = suffixes.repeated_spans(docs.drop("_spans"), 60).select("text", "_spans", suffixes.kept_bytes(F.col("text"), F.col("_spans")).alias("kept")).collect()
+    rows = suffixes.repeated_spans(docs, 60).select("row.text", suffixes.kept_bytes(F.col("row.text"), F.col("spans")).alias("kept")).collect()
     want = Counter((d, bytes(np.frombuffer(d, np.uint8)[~h])) for d, h in zip(data, _repeated(data, 60), strict=True))
     assert Counter(((r.text or "").encode(), bytes(r.kept)) for r in rows) == want
     draw = np.random.default_rng(5)
@@ -196,7 +196,7 @@ def test_crowded_grams(spark, monkeypatch):
     rows = [(i, f"{own(15)}{i} {passage if i % 3 else phrase} {own(15)}") for i in range(40)]
     rows += [(100 + i, f"{i}{passage[:58 + i]}{'xyz'[i % 3]}") for i in range(12)] + [(200, passage), (None, passage), (None, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    found = suffixes.repeated_spans(table, 60).select("text", suffixes.kept_bytes(F.col("text"), F.col("_spans")).alias("kept")).collect()
+    found = suffixes.repeated_spans(table, 60).select("row.text", suffixes.kept_bytes(F.col("row.text"), F.col("spans")).alias("kept")).collect()
     data = [(t or "").encode() for _, t in rows]
     want = Counter((d, bytes(np.frombuffer(d, np.uint8)[~h])) for d, h in zip(data, _repeated(data, 60), strict=True))
     assert Counter(((r.text or "").encode(), bytes(r.kept)) for r in found) == want
@@ -215,5 +215,5 @@ def test_no_bucket_grows_with_a_hot_passage(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "CROWD", 16)
     passage = " ".join(WORD[:60])
     table = spark.range(300).select("id", F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit(passage), F.sha2((-F.col("id")).cast("string"), 512)).alias("text")).withColumnRenamed("id", "doc_id")
-    out = suffixes.repeated_spans(table, 60).select(F.explode("_spans").alias("s")).groupBy(F.col("s.end") - F.col("s.start")).count().collect()
+    out = suffixes.repeated_spans(table, 60).select(F.explode("spans").alias("s")).groupBy(F.col("s.end") - F.col("s.start")).count().collect()
     assert sum(r["count"] for r in out) == 300 and seen and max(seen) < 300
