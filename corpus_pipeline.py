@@ -7,28 +7,29 @@ Parquet to the shared scratch folder and reads it again, so a lost executor cost
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfloom.llm import language, minhash, mixing, packing, suffixes
 from perfloom.llm.queries import WORDS, vocabulary
-from perfloom.llm.storage import written
+from perfloom.llm.storage import free_names, written
 
 #: Least share of a text's n-grams that its language must know; prose has over 0.9, noise next to none.
 LEAST_SCORE = 0.2
 SEED = 0
-#: A repeated passage is cut out if it holds more words than this; so many one-letter words fill a window.
-PASSAGE_WORDS = 50
+#: A passage of so many words that occurs elsewhere is cut out; so many one-letter words and blanks fill a window.
+PASSAGE_WORDS = 51
 PASSAGE_WINDOW = 100
 #: Scripts written without blanks: each character counts as a word.
-UNSPACED = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+UNSPACED = "".join(rf"\p{{{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+WORD = rf"[{UNSPACED}]|[^\s{UNSPACED}]+"
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or of no known language; a missing lang is filled in."""
-    named = language.identified(docs, F.col("lang").isNotNull())
-    found = F.col("_language")
-    known = named.filter((found["lang"] != language.UNKNOWN) & (found["score"] >= LEAST_SCORE))
+    (name,) = free_names(docs, "_language")
+    found = F.col(name)
+    known = language.identified(docs, F.col("lang").isNotNull(), name).filter((found["lang"] != language.UNKNOWN) & (found["score"] >= LEAST_SCORE))
     return known.withColumn("lang", F.coalesce("lang", found["lang"])).select(*docs.columns)
 
 
@@ -37,36 +38,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.survivors(docs, 75)
 
 
-def whole_words(data: Column, start: Column, end: Column) -> Column:
-    """Words that lie wholly in a byte range of a text; a word that the range's border cuts is not counted."""
-    inside = F.substring(data, (start + 1).cast("int"), (end - start).cast("int"))
-    valid = F.make_valid_utf8(inside.cast("string"))
-    letter = rf"[^\s{UNSPACED}]"
-    borders = [F.make_valid_utf8(F.substring(data, at.cast("int"), F.lit(2)).cast("string")) for at in (start, end)]
-    cut_first = (start > 0) & borders[0].rlike(f"^{letter}{{2}}")
-    cut_last = (end < F.octet_length(data)) & borders[1].rlike(f"^{letter}{{2}}")
-    words = F.regexp_count(valid, F.lit(rf"[{UNSPACED}]|{letter}+"))
-    return words - cut_first.cast("int") - cut_last.cast("int")
-
-
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of more than 50 words that occur elsewhere are cut out; documents of nothing else go.
 
-    A character that a passage's border cuts in two becomes the replacement character.
+    Candidates are ranges of repeated 100-byte windows, from the suffix order of all texts; in them, passages of 51 words
+    are counted, so that ranges which only join shorter repeats stay.
     """
-    cut = suffixes.repeated_spans(docs, PASSAGE_WINDOW)
-    text = F.col("text").cast("string")
-    data = F.encode(text, "UTF-8")
-    cut = cut.withColumn("_spans", F.filter("_spans", lambda s: whole_words(data, s["start"], s["end"]) > PASSAGE_WORDS))
-    left = F.make_valid_utf8(suffixes.kept_bytes(text, F.col("_spans")).cast("string"))
-    some = F.size("_spans") > 0
-    cut = cut.withColumn("text", F.when(some, left).otherwise(text)).withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.filter(~some | (F.length("text") > 0)).select(*docs.columns)
+    cut = suffixes.repeated_passages(written(suffixes.repeated_spans(docs, PASSAGE_WINDOW)), PASSAGE_WORDS, WORD)
+    text = F.col("row.text").cast("string")
+    left = F.make_valid_utf8(suffixes.kept_bytes(text, F.col("spans")).cast("string"))
+    some = F.size("spans") > 0
+    kept = cut.withColumn("left", F.when(some, left)).filter(~some | (F.length(F.trim("left")) > 0))
+    own = {"text": F.when(some, F.col("left")).otherwise(text), "n_chars": F.when(some, F.length("left").cast("long")).otherwise(F.col("row.n_chars"))}
+    return kept.select(*[(own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; documents taken twice or more are repeated rows."""
-    return mixing.mix(docs, SEED).select(*docs.columns)
+    return mixing.mix(docs, SEED, *free_names(docs, "_shard", "_place")).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
