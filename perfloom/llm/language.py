@@ -197,7 +197,7 @@ def predictor(docs: DataFrame, model: Model):
             out += part
         return pd.DataFrame({"lang": lang[: len(values)], "score": score[: len(values)]})
 
-    return predict
+    return predict.asNondeterministic()  # else a filter on its result would run it once more
 
 
 def identified(docs: DataFrame, training: Column, name: str = "_language") -> DataFrame:

@@ -343,6 +343,7 @@ def repeated_passages(found: DataFrame, words: int, word: str) -> DataFrame:
             out.append(parts)
         return pd.Series(out)
 
+    covered = covered.asNondeterministic()  # else every use of its result would run it once more
     with_some = _with(keyed.filter(F.size("spans") > 0), written(singles))
     cut = with_some.select("row", covered(F.col("row.text").cast("string"), "spans", "singles").alias("spans"))
     return cut.unionByName(found.filter(F.size("spans") == 0).select("row", "spans"))
