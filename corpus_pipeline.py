@@ -25,8 +25,15 @@ UNSPACED = "".join(rf"\p{{{name}}}" for name in ("Han", "Hiragana", "Katakana",
 WORD = rf"[{UNSPACED}]|[^\s{UNSPACED}]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in small batches: what a worker holds at once is bounded by rows and bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or of no known language; a missing lang is filled in."""
+    small_batches(spark)
     (name,) = free_names(docs, "_language")
     found = F.col(name)
     known = language.identified(docs, F.col("lang").isNotNull(), name).filter((found["lang"] != language.UNKNOWN) & (found["score"] >= LEAST_SCORE))
@@ -35,6 +42,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    small_batches(spark)
     return minhash.survivors(docs, 75)
 
 
@@ -44,6 +52,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Candidates are ranges of repeated 100-byte windows, from the suffix order of all texts; in them, passages of 51 words
     are counted, so that ranges which only join shorter repeats stay.
     """
+    small_batches(spark)
     cut = suffixes.repeated_passages(written(suffixes.repeated_spans(docs, PASSAGE_WINDOW)), PASSAGE_WORDS, WORD)
     text = F.col("row.text").cast("string")
     left = F.make_valid_utf8(suffixes.kept_bytes(text, F.col("spans")).cast("string"))
@@ -55,11 +64,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; documents taken twice or more are repeated rows."""
+    small_batches(spark)
     return mixing.mix(docs, SEED, *free_names(docs, "_shard", "_place")).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture as packed sequences of token ids, a row per piece."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary(WORDS), end=2)
 
 
