@@ -7,9 +7,12 @@ Parquet to the shared scratch folder and reads it again, so a lost executor cost
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perfloom.functions.session import removed, scratch_job
 from perfloom.llm import language, minhash, mixing, packing, suffixes
 from perfloom.llm.queries import WORDS, vocabulary
 from perfloom.llm.storage import free_names, written
@@ -25,34 +28,52 @@ UNSPACED = "".join(rf"\p{{{name}}}" for name in ("Han", "Hiragana", "Katakana",
 WORD = rf"[{UNSPACED}]|[^\s{UNSPACED}]+"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python workers in small batches: what a worker holds at once is bounded by rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+#: Folder of the tables that the stage before wrote on its way to its result.
+_BEFORE: dict[str, str] = {}
+
+
+def stage(function):
+    """A stage whose own tables are removed when the next one begins; by then its result has been written and reread.
+
+    Texts go to Python workers in small batches: what a worker holds at once is bounded by rows and bytes.
+    """
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        job = spark.sparkContext.applicationId
+        before = _BEFORE.pop(job, None)
+        if before and not any(before.rpartition("/")[2] in f for f in docs.inputFiles()):
+            removed(spark, before)
+        with scratch_job(spark) as _BEFORE[job]:
+            return function(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or of no known language; a missing lang is filled in."""
-    small_batches(spark)
     (name,) = free_names(docs, "_language")
     found = F.col(name)
     known = language.identified(docs, F.col("lang").isNotNull(), name).filter((found["lang"] != language.UNKNOWN) & (found["score"] >= LEAST_SCORE))
     return known.withColumn("lang", F.coalesce("lang", found["lang"])).select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    small_batches(spark)
     return minhash.survivors(docs, 75)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of more than 50 words that occur elsewhere are cut out; documents of nothing else go.
 
     Candidates are ranges of repeated 100-byte windows, from the suffix order of all texts; in them, passages of 51 words
     are counted, so that ranges which only join shorter repeats stay.
     """
-    small_batches(spark)
     cut = suffixes.repeated_passages(written(suffixes.repeated_spans(docs, PASSAGE_WINDOW)), PASSAGE_WORDS, WORD)
     text = F.col("row.text").cast("string")
     left = F.make_valid_utf8(suffixes.kept_bytes(text, F.col("spans")).cast("string"))
@@ -62,15 +83,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*[(own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; documents taken twice or more are repeated rows."""
-    small_batches(spark)
     return mixing.mix(docs, SEED, *free_names(docs, "_shard", "_place")).select(*docs.columns)
 
 
+@stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture as packed sequences of token ids, a row per piece."""
-    small_batches(spark)
     return packing.pack(docs, vocabulary(WORDS), end=2)
 
 
@@ -83,6 +104,6 @@ ORACLE_SQL = None  # trained filters, MinHash groups and tokenizers cannot be sa
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for _, function in STAGES[:-1]:
+        docs = written(function(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +35,31 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+_JOB: contextvars.ContextVar[str | None] = contextvars.ContextVar("perfloom_job", default=None)
+
+
+@contextlib.contextmanager
+def scratch_job(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for the tables that are `written` inside the block; `removed` when nothing reads them any more."""
+    folder = f"{scratch_folder(spark)}/perfloom-{uuid.uuid4().hex}"
+    token = _JOB.set(folder)
+    try:
+        yield folder
+    finally:
+        _JOB.reset(token)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of `scratch_job`, in whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the scratch folder: computed once, safe against lost executors.
 
     Readers prune its columns, and its file sizes tell the optimizer what may be broadcast.
     """
-    path = f"{scratch_folder(df.sparkSession)}/perfloom-{uuid.uuid4().hex}"
+    path = f"{_JOB.get() or scratch_folder(df.sparkSession)}/perfloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
