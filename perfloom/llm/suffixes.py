@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.session import removed, scratch_job
 from .storage import worker_memory, written
 
 WINDOW = 400
@@ -61,7 +62,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = keyed.join(copies, F.col("_whole") == F.col("copied"), "left").drop("_whole")
     whole = F.col("copied").isNotNull()
     single = keyed.filter(~whole | F.col("one").eqNullSafe(F.col("_doc")))  # one text of each kind
-    out = _with(keyed, _merged(_repeats(single.select("_doc", "_hash", "text"), window)))
+    with scratch_job(docs.sparkSession) as job:
+        found = _repeats(single.select("_doc", "_hash", "text"), window)
+    spans = _merged(found)
+    removed(docs.sparkSession, job)  # runs, grams and pieces; the spans are written beside them
+    out = _with(keyed, spans)
     all_of_it = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("_size").alias("end")))
     return out.select("row", F.when(whole, all_of_it).otherwise(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"))
 
@@ -217,7 +222,8 @@ def _counted_repeats(pieces: DataFrame, window: int) -> DataFrame:
     group, piece = ["part", "common"], ["part", "common", "skipped", "left", "right"]
     own = [F.min(c).alias(c) for c in ("doc_key", "text_hash", "first", "last")]  # of the one row if there is one
     kinds = written(pieces.groupBy(*piece).agg(F.count(F.lit(1)).alias("n"), *own))
-    alike = pieces.join(_sent(kinds.filter("n > 1").select(*piece)), piece).select("doc_key", "text_hash", F.col("first").alias("start"), "last")
+    place = ["doc_key", "text_hash", "first", "last"]
+    alike = _but(pieces.select(*place), kinds.filter("n = 1").select(*place)).withColumnRenamed("first", "start")
     groups = written(kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds"))
     step, size = F.col("step"), F.octet_length("left")
     single = kinds.join(_sent(groups), group).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - F.col("first"))))
@@ -225,11 +231,19 @@ def _counted_repeats(pieces: DataFrame, window: int) -> DataFrame:
     around = F.concat(F.substring("left", (step + 1).cast("int"), size), F.substring("right", F.lit(1), reach))
     single = single.select("doc_key", "text_hash", "n", (F.col("first") + step).alias("start"), *group, reach.alias("reach"), around.alias("around"))
     same = [*group, "reach", "around"]
-    again = written(single.groupBy(*same).agg(F.sum("n").alias("times")).filter("times > 1").drop("times"))
-    one = single.filter("n = 1").join(_sent(again), same).select("doc_key", "text_hash", "start", F.col("start").alias("last"))
+    place = ["doc_key", "text_hash", "start"]
+    windows = single.groupBy(*same).agg(F.sum("n").alias("times"), *[F.min(c).alias(c) for c in place])
+    one = _but(single.filter("n = 1").select(*place), windows.filter("times = 1").select(*place)).withColumn("last", F.col("start"))
     return alike.unionByName(one).withColumn("end", F.col("last") + window).drop("last")
 
 
+def _but(rows: DataFrame, alone: DataFrame) -> DataFrame:
+    """``rows`` but for those that are in ``alone``, each once. What occurs once has its place in the row that counts it, so
+    all other places are of something that occurs again; no row is joined by what it has in common with many."""
+    both = rows.withColumn("alone", F.lit(0)).unionByName(alone.withColumn("alone", F.lit(1)))
+    return both.groupBy(*rows.columns).agg(F.max("alone").alias("alone")).filter("alone = 0").drop("alone")
+
+
 def _sent(rows: DataFrame) -> DataFrame:
     """The smaller side of a join: sent to all tasks if it is small, else shuffled so that Spark can split a crowded key."""
     return F.broadcast(rows) if rows.count() <= SENT else rows.hint("merge")
