@@ -142,10 +142,16 @@ class Analysis:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return scores.run_scores(
-            self["runs"], self["system"], self["latency"], self.kept("anomalies"), self.kept("slowdowns"),
-            self.kept("leaks"), self.offenders, self.security, self.background,
-        )
+        return scores.run_scores(*self._scored)
+
+    @cached_property
+    def score_inputs(self) -> DataFrame:
+        return scores.score_inputs(*self._scored)
+
+    @property
+    def _scored(self) -> tuple[DataFrame, ...]:
+        found = (self.kept("anomalies"), self.kept("slowdowns"), self.kept("leaks"))
+        return (self["runs"], self["system"], self["latency"], *found, self.offenders, self.security, self.background)
 
     @cached_property
     def verdicts(self) -> DataFrame:

@@ -28,7 +28,9 @@ from ..operators.series import (
     clip, dense_index, merge_windows, monotonic_ratio, moving_average,
     percentile_linear, plateau_fraction, r2, sustained_windows,
 )
+from ..sources import run_folders
 from ..thresholds import Thresholds
+from . import folders as fo
 from .analysis import Analysis
 from .oracles import query_sql
 from .views import Views
@@ -349,3 +351,57 @@ add("overlay_series", lambda i: ch.overlay_series(i.indexed_system),
     "select run_id, idx, rel_seconds, cpu_total_pct from (select *, count(*) over (partition by run_id) n from ix_sys) where idx % (case when n>400 then n//400 else 1 end)=0")
 add("throughput_series", lambda i: ch.throughput_series(i.indexed_system),
     "select run_id, cast(case when n<=500 then idx else ceil((idx+1)/(n/500))-1 end as bigint) bucket, min(rel_seconds) rel_seconds, max(net_sent_bytes_per_sec/(1024*1024)) sent_mb_s, max(net_recv_bytes_per_sec/(1024*1024)) recv_mb_s from (select *, count(*) over (partition by run_id) n from ix_sys) group by 1,2", sent_mb_s=6, recv_mb_s=6)
+
+# --- run folders, written from the views and read back ----------------------------------------
+add("read_runs", lambda i: run_folders.read_runs(i.spark, fo.root(i)).select("run_id", "hostname", "mode", "duration_s", "th_cpu_sustained_pct", "th_mem_used_pct_critical"),
+    "select run_id, hostname, mode, samples::double duration_s, (samples%100)::double th_cpu_sustained_pct, 93.0::double th_mem_used_pct_critical from v_runs")
+add("discover_runs", lambda i: run_folders.discover_runs(i.spark, fo.root(i), 2).select("run_folder", "run_id"), "select run_id run_folder, run_id from v_runs")
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """The place of each row in its run's files, from 0."""
+    return dense_index(df, order=("row_ord",))
+
+
+_nth = "row_number() over (partition by run_id order by rel_seconds, row_ord)-1 idx"
+add("read_system",
+    lambda i: _in_order(fo.read_timeline(i, "system")).select("run_id", "idx", "rel_seconds", "cpu_total_pct", "mem_percent", "swap_percent", "disk_active_pct_est",
+        F.size("cpu_per_core_pct").alias("cores"), "net_sent_bytes_per_sec", "mem_total_bytes"),
+    "select run_id, idx, rel_seconds, cpu_total_pct, mem_percent, swap_percent, disk_active_pct_est, len(string_split(cpu_per_core_pct,';'))::int cores, net_sent_bytes_per_sec, 0::bigint mem_total_bytes from ix_sys",
+    disk_active_pct_est=9, net_sent_bytes_per_sec=6)
+add("read_process",
+    lambda i: _in_order(fo.read_timeline(i, "process")).select("run_id", "idx", "rel_seconds", "pid", "name", "cpu_pct", "rss_bytes", "num_threads", "num_handles", "io_read_bps", "ppid", "is_target", "vms_bytes"),
+    f"select run_id, {_nth}, rel_seconds, pid, name, cpu_pct::double cpu_pct, rss_bytes, num_threads, num_handles, io_read_bps::double io_read_bps, ppid, is_target, 0::bigint vms_bytes from v_proc", io_read_bps=4)
+add("read_network", lambda i: fo.read_timeline(i, "network").select("run_id", "rel_seconds", "adapter", "bytes_sent_per_sec", "connections_established"),
+    "select run_id, mono rel_seconds, adapter, bytes_sent::double bytes_sent_per_sec, -1::bigint connections_established from v_nic")
+add("read_latency",
+    lambda i: _in_order(fo.read_timeline(i, "latency")).select("run_id", "idx", "target", "avg_ms", "max_ms", "jitter_ms", "loss_pct", "resolve_ms", "hostname_resolved", F.size("raw_times_ms").alias("n_times"), "count"),
+    f"select run_id, {_nth}, target, avg_ms::double avg_ms, max_ms::double max_ms, jitter_ms, loss_pct, resolve_ms, hostname_resolved, 0 n_times, 0::bigint count from v_lat", avg_ms=9, max_ms=9)
+add("read_connections", lambda i: _in_order(fo.read_timeline(i, "connections")).select("run_id", "idx", "rel_seconds", "pid", "name", "laddr", "raddr", "status", "type"),
+    f"select run_id, {_nth}, rel_seconds, pid, name, laddr, raddr, status, type from v_conn")
+add("read_gpu_engine", lambda i: fo.read_timeline(i, "gpu_engine").select("run_id", "rel_seconds", "engine_type", "luid", "utilization_pct"),
+    "select run_id, snapshot::double rel_seconds, engine_type, luid, utilization_pct from gpu_eng", utilization_pct=2)
+add("read_gpu_process", lambda i: fo.read_timeline(i, "gpu_process").select("run_id", "rel_seconds", "pid", "dedicated_bytes", "shared_bytes"),
+    "select run_id, snapshot::double rel_seconds, pid, dedicated_bytes, shared_bytes from gpu_mem")
+add("read_gpu_adapter", lambda i: fo.read_timeline(i, "gpu_adapter").select("run_id", "adapter", "temperature_c", "power_w", "mem_used_mb", "utilization_pct"),
+    "select run_id, adapter, temperature_c, power_w::double power_w, mem_used_mb, utilization_pct from v_gad", power_w=9)
+add("read_process_events", lambda i: fo.read_process_events(i).select("run_id", "rel_seconds", "event", "pid", "name"),
+    "select run_id, snapshot_ord::double rel_seconds, event, pid, name from proc_events")
+add("read_service_events", lambda i: fo.read_service_events(i).groupBy("run_id", "rel_seconds", "event", "name", "from_pid", "to_pid").agg(F.count(F.lit(1)).alias("n")),
+    "select run_id, snapshot_ord::double rel_seconds, event, name, from_pid, to_pid, count(*) n from (" + QUERIES["service_snapshot_diff"].sql + ") group by all")
+add("read_event_log", lambda i: fo.read_event_log(i).select("run_id", "time", "level_code", "provider"),
+    "select run_id, strftime(make_timestamp((round(rel_seconds*1e6)+1704067200000000)::bigint), '%Y-%m-%dT%H:%M:%S.%fZ') as time, level_code, provider from v_evt")
+add("normalize_event_log",
+    lambda i: de.normalize_event_log(fo.read_event_log(i).drop("rel_seconds", "timestamp"), i.runs.select("run_id", F.lit(1704067200.0 + 86400).alias("start_wall"), F.lit(1704067200.0 + 20 * 86400).alias("end_wall")))
+        .select("run_id", "level_code", "provider", "rel_seconds"),
+    "select run_id, level_code, provider, round_even(rel_seconds-86400,1) rel_seconds from v_evt where rel_seconds between 86400 and 20*86400", rel_seconds=1)
+add("read_snapshots",
+    lambda i: fo.read_snapshots(i, "process").select("run_id", F.lit("process").alias("what"), "snapshot_ord", "pid", "name").unionByName(
+        fo.read_snapshots(i, "service").select("run_id", F.lit("service").alias("what"), "snapshot_ord", "pid", "name")),
+    "select run_id, 'process' what, snapshot_ord%2 snapshot_ord, pid, name from v_snap union all select run_id, 'service', snapshot_ord%2, pid, name from v_svc")
+add("read_inventory", lambda i: fo.read_inventory(i)[0], "select distinct run_id, concat('Scanner ',adapter) product from v_nic where adapter<>'eth2'")
+add("vpn_suspect_adapters", lambda i: de.vpn_suspect_adapters(fo.read_inventory(i)[1]), "select distinct run_id, concat('WireGuard ',adapter) adapter from v_nic where adapter='eth1'")
+add("write_tables", lambda i: fo.kept_tables(i), "select run_id, row_ord, rel_seconds, cpu_total_pct + case when run_id='run1' then 1000 else 0 end cpu_total_pct from v_sys where run_id<>'run2'", cpu_total_pct=6)
+add("write_findings", lambda i: fo.kept_findings(i),
+    "select run_id, 'anomalies' as name, count(*)::double as value from anomalies group by 1 union all select run_id, 'overall', overall::double from scores union all select run_id, unnest(['avg_ms','p95_ms','loss_pct']), unnest([avg_ms, p95_ms, loss_pct]) from x8", value=6)
+add("write_comparison", lambda i: fo.kept_comparison(i), "select * replace (nullif(tags,'') as tags) from matrix")

@@ -8,18 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import parse_semicolon_list, to_float, to_int
 from ..schemas import (
-    EVENT_LOG, FILES, INVENTORY, MANIFEST, PROCESS_EVENT, PROCESS_SNAPSHOT, SERVICE_EVENT,
+    EVENT_LOG, INVENTORY, MANIFEST, PROCESS_EVENT, PROCESS_SNAPSHOT, SERVICE_EVENT,
     SERVICE_SNAPSHOT, TIMELINES,
 )
 from ..thresholds import MANIFEST_FIELDS, Thresholds
+from .folder_files import registered
 
 _FOLDER = r"([^/]+)/[^/]+$"
 
 
-def _csv_schema(kind: str) -> str:
-    return ", ".join(f"`{c}` string" for c in TIMELINES[kind])
-
-
 def coerce_timeline(df: DataFrame, kind: str) -> DataFrame:
     """Text columns of a timeline -> their types; further columns (run, order) are kept."""
 
@@ -38,21 +35,13 @@ def coerce_timeline(df: DataFrame, kind: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], *[typed(c, how) for c, how in columns.items()])
 
 
-def _row_order() -> Column:
-    """Line order within a file: split position first, then position inside the split.
-
-    Splits are at least 4 MiB apart, so their start in MiB tells them apart.
-    """
-    split = F.shiftright(F.col("_metadata.file_block_start"), 20)
-    return F.shiftleft(split, 33) + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-
-
 def _read(reader, fmt: str, spark: SparkSession, schema: str, path: str) -> DataFrame:
     """A missing file is an empty table."""
     try:
         df = reader.schema(schema).format(fmt).load(path)
         return df.select(
-            F.regexp_extract("_metadata.file_path", _FOLDER, 1).alias("run_folder"), _row_order().alias("row_ord"),
+            F.regexp_extract("_metadata.file_path", _FOLDER, 1).alias("run_folder"),
+            F.monotonically_increasing_id().alias("row_ord"),  # a document is read whole by one task
             F.col("_metadata.file_name").alias("file_name"), "*",
         )
     except AnalysisException as e:
@@ -88,15 +77,10 @@ def discover_runs(spark: SparkSession, root: str, at_least: int = 1) -> DataFram
     return runs
 
 
-def _of_runs(df: DataFrame, runs: DataFrame) -> DataFrame:
-    """Attach ``run_id``; rows of folders without a manifest drop out."""
-    return runs.select("run_folder", "run_id").join(df, "run_folder").drop("run_folder", "file_name")
-
-
 def read_timeline(spark: SparkSession, root: str, kind: str, runs: DataFrame | None = None) -> DataFrame:
     runs = read_runs(spark, root) if runs is None else runs
-    raw = _read(spark.read.option("header", True), "csv", spark, _csv_schema(kind), f"{root}/*/{FILES[kind]}")
-    return coerce_timeline(_of_runs(raw, runs), kind)
+    raw = registered(spark).read.format("run_timeline").option("table", kind).load(root)
+    return coerce_timeline(runs.select("run_folder", "run_id").join(raw, "run_folder").drop("run_folder"), kind)
 
 
 def read_system(spark, root, runs=None) -> DataFrame:
@@ -138,16 +122,16 @@ def _run_documents(spark, root, name, schema, runs) -> DataFrame:
 
 
 def read_process_events(spark, root, runs=None) -> DataFrame:
-    return _run_documents(spark, root, "process_events.json", PROCESS_EVENT, runs).drop("file_name")
+    return _run_documents(spark, root, "process_events*.json", PROCESS_EVENT, runs).drop("file_name")
 
 
 def read_service_events(spark, root, runs=None) -> DataFrame:
-    return _run_documents(spark, root, "service_events.json", SERVICE_EVENT, runs).drop("file_name")
+    return _run_documents(spark, root, "service_events*.json", SERVICE_EVENT, runs).drop("file_name")
 
 
 def read_event_log(spark, root, runs=None) -> DataFrame:
     """One row per event of each run's log, in log order (``row_ord``)."""
-    d = _run_documents(spark, root, "event_log.json", EVENT_LOG, runs)
+    d = _run_documents(spark, root, "event_log*.json", EVENT_LOG, runs)
     d = d.select("run_id", F.posexplode("events").alias("row_ord", "e"))
     return d.select("run_id", F.col("row_ord").cast("bigint").alias("row_ord"), "e.*")
 
