@@ -36,7 +36,7 @@ from .storage import worker_memory, written
 
 WINDOW = 400
 GRAM = 32
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 CROWD = 2048
 PARTS = 64
 SLICE = 1 << 20
