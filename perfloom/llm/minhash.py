@@ -59,7 +59,7 @@ class Shingler:
         words = (text or "").encode().lower().split()  # bytes: A-Z and blanks of ASCII only
         if not words:
             return np.empty(0, np.uint64)
-        if len(self.words) > 500_000:
+        if len(self.words) > 200_000:
             self.words = {}
         for w in set(words).difference(self.words):
             self.words[w] = xxhash.xxh3_64_intdigest(w)
