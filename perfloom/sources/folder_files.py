@@ -121,8 +121,9 @@ def parsed(header: bytes, data: bytes, n: int):
             return table
     except pa.ArrowInvalid:
         pass
-    rows = [next(csv.reader([line])) for line in data.decode(errors="replace").split("\n") if line.strip("\r")]
-    rows = [[v or None for v in [x.rstrip("\r") for x in r][: len(names)]] + [None] * (len(names) - len(r)) for r in rows]
+    texts = [line.rstrip("\r") for line in data.decode(errors="replace").split("\n")]
+    rows = [next(csv.reader([t], quoting=csv.QUOTE_NOTNULL)) for t in texts if t]  # no quotes and no value: null
+    rows = [r[: len(names)] + [None] * (len(names) - len(r)) for r in rows]
     return pa.table([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
 
 

@@ -21,7 +21,7 @@ def timeline_files(df: DataFrame, kind: str, lines: int = 20_000) -> DataFrame:
     fields = [c for c in TIMELINES[kind] if c in df.columns]
     order = [c for c in ("rel_seconds", "row_ord") if c in df.columns]
     rows = dense_index(_flat(df).select("run_id", *dict.fromkeys([*fields, *order])), order=order)
-    line = F.to_csv(F.struct(*fields))
+    line = F.to_csv(F.struct(*fields), {"escape": "\""})  # quotes inside a value are doubled
     parts = rows.groupBy("run_id", F.floor(F.col("idx") / lines).alias("part")).agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("lines"))
     text = F.concat(F.lit(",".join(fields) + "\n"), F.array_join("lines.line", "\n"), F.lit("\n"))
     name = F.format_string(FILES[kind].removesuffix(".csv") + "_%06d.csv", F.col("part"))
