@@ -6,19 +6,13 @@ from check_oracles import compare, duck
 from perfloom.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-HEAVY = {  # built from everything else; check_oracles.py runs them on larger tables as well
-    "bottleneck_scores", "classify_bottleneck", "recommendations", "score_class", "run_scores",
-    "run_verdict", "comparison_rankings", "pairwise_observations", "comparison_winners", "run_summary", "stability_score",
-    "grade_confidence", "memory_leaks", "handle_leaks", "thread_leaks", "hygiene_score", "event_bucket_counts",
-}
-
 
 @pytest.fixture(scope="module")
 def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in HEAVY])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     q = QUERIES[name]
     got = q.run(spark, FOLDER).toPandas()
