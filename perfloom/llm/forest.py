@@ -1,18 +1,23 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill overlap.
 
-1. Every tree splits its node by a random direction at the median of the node's projections. Vectors within a
-   margin of the split go to both sides; the margin is a share of the spread that linked vectors'
-   projections can have, so a linked pair is rarely torn apart, and rarely in all trees.
-2. Splits come from a sample of at most about `SAMPLE` vectors per node; all vectors are routed. A
-   node that is still too large is sampled and split again in the next round, whatever the table's size.
-   A node that a direction cannot split (too many of its vectors lie within the margin) stays whole.
-3. Vectors are compared within leaves. A large leaf is dealt into chunks, and each pair of chunks is a task of
+1. Vectors are made unit vectors once, packed as bytes. Vectors with equal components are one class with a count of its
+   rows; classes are what the forest holds.
+2. Every tree splits its node at the median of the node's projections on the one of `TRIES` random directions that has
+   the fewest vectors near the median. Vectors within a margin of the split go to both sides. The margin is a share of
+   the spread that linked vectors' projections can have, so a linked pair is rarely torn apart, and rarely in all
+   trees; it is narrowed where more than a share of the node would spill, a share that shrinks with the depth, so that a
+   tree holds at most about e (2.7) places a vector however deep it grows.
+3. Splits come from a sample of at most about `SAMPLE` vectors per node; all vectors are routed. A
+   node that is still too large is sampled and split again in the next round, whatever the table's size, and only its
+   vectors are routed again. A node that no direction can split (too many of its vectors lie within the margin of
+   each) is a group of near copies; it stays whole, since its links have to be counted.
+4. Vectors are compared within leaves. A large leaf is dealt into chunks, and each pair of chunks is a task of
    its own. A pair that shares several leaves is counted in the least of them only, so link
    counts need no list of pairs: a task returns one count and one spanning link per vector.
-4. Spanning links are joined to components.
+5. Spanning links are joined to components.
 
 Cosines are products of vectors in single precision; a pair near the threshold is decided in doubles.
-The work in a group of m vectors that are all linked is m * m / 2 comparisons, as their counts need.
+The work in a group of m different vectors that are all linked is m * m / 2 comparisons, as their counts need.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different lengths never link; rows are the nodes, so repeated ids are rows of their own; a null id
@@ -29,39 +34,66 @@ from .storage import written
 from .topk import usable
 
 TREES = 6
-LEAF = 1536
+TRIES = 8
+LEAF = 2048
 CHUNK = 2048
 SAMPLE = 4096
 DEPTH = 6
 MARGIN = 0.5  # of the deviation that the projections of two vectors at the threshold have
-FULL = 0.4  # a split that sends more than this share of a node to both sides is none
+SPILL, SHRINK = 0.2, 0.8  # share of a node that may go to both sides: at the root, and from level to level
+FULL = 0.4  # a direction with more than this share of a node within the margin splits nothing
 NEAR = 1e-5
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES, seed: int = 0) -> DataFrame:
     """id, vector's n_links, component_id and kept of every row (vec_id, embedding)."""
     vector = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long"), vector.alias("vector")).withColumn("row", F.monotonically_increasing_id())
-    some = usable(F.col("vector")) & F.exists("vector", lambda x: x != 0)
-    rows = written(rows.withColumn("vector", F.when(some, F.col("vector"))))
-    nodes = rows.filter("vector is not null").select("row", "vector")
+    some = usable(vector) & F.exists(vector, lambda x: x != 0)
+    given = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.when(some, vector).otherwise(F.array()).alias("vector"))
+    rows = written(given.mapInArrow(packed, "row long, vec_id long, size int, unit binary, digest binary"))
+    classes = written(rows.filter("size > 0").groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")))
+    nodes = rows.join(classes.select(F.col("node").alias("row"), "copies"), "row").select("row", "size", "unit", "copies")
+    nodes = written(nodes)
     leaves = grow(nodes, threshold, trees, seed)
     found = written(compared(nodes, leaves, threshold))
-    counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
-    groups = components(found.select(F.col("row").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "row")
-    named = groups.join(rows.select("row", "vec_id"), "row")
-    least = written(named.groupBy("component").agg(F.min("vec_id").alias("least")))
-    named = named.join(least, "component").select("row", "least")
-    out = rows.select("row", "vec_id").join(counts, "row", "left").join(named, "row", "left")
-    own = F.coalesce("least", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), own.eqNullSafe(F.col("vec_id")).alias("kept"))
-
-
-def direction(seed: int, tree: int, node: int, size: int):
-    """The random unit vector of a node; every task makes the same one."""
+    counts = found.groupBy(F.col("row").alias("node")).agg(F.sum("n").alias("n"))
+    groups = components(found.select(F.col("row").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"id": "node", "component": "label"})
+    placed = rows.select("row", "vec_id", "digest").join(classes, "digest", "left").join(counts, "node", "left").join(groups, "node", "left")
+    links = F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("n", F.lit(0))
+    placed = written(placed.select("vec_id", links.alias("n_links"), F.coalesce("label", "node", "row").alias("label")))
+    least = placed.groupBy("label").agg(F.min("vec_id").alias("component_id"))
+    return placed.join(least, "label").select("vec_id", "n_links", "component_id", F.col("component_id").eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+def packed(batches):
+    """Vectors as bytes of unit vectors and a digest of their components; empty vectors as nulls."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        lists = batch.column("vector")
+        sizes = np.diff(lists.offsets.to_numpy())
+        data = lists.flatten().to_numpy(zero_copy_only=False) + 0.0  # no negative zeros
+        ends = np.cumsum(sizes)
+        starts, n = (ends - sizes)[sizes > 0], sizes[sizes > 0]
+        raw = [data[a : a + k] for a, k in zip(starts, n, strict=True)]
+        digests = iter([hashlib.blake2b(x, digest_size=16).digest() for x in raw])
+        if len(n):
+            data = data / np.repeat(np.maximum.reduceat(np.abs(data), starts), n)  # so that squares neither vanish nor overflow
+            data /= np.repeat(np.sqrt(np.add.reduceat(data * data, starts)), n)
+        found = iter([data[a : a + k].tobytes() for a, k in zip(starts, n, strict=True)])
+        columns = [batch.column("row"), batch.column("vec_id"), pa.array(sizes, pa.int32())]
+        columns += [pa.array([next(x) if k else None for k in sizes], pa.binary()) for x in (found, digests)]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "vec_id", "size", "unit", "digest"])
+
+
+def direction(seed: int, tree: int, node: int, draw: int, size: int):
+    """A random unit vector of a node; every task makes the same one."""
     import numpy as np
 
-    drawn = np.random.default_rng([seed, tree, node]).standard_normal(size)
+    drawn = np.random.default_rng([seed, tree, node, draw]).standard_normal(size)
     return drawn / np.linalg.norm(drawn)
 
 
@@ -69,30 +101,40 @@ def margin_of(threshold: float, size: int) -> float:
     return MARGIN * (max(0.0, 2 - 2 * threshold) / size) ** 0.5
 
 
-def units(vectors):
+def spill_at(node: int) -> float:
+    """The share of a node that may go to both sides."""
+    return SPILL * SHRINK ** (node.bit_length() - 1)
+
+
+def units(packs):
     import numpy as np
 
-    data = np.array(vectors.tolist(), dtype=np.float64)
-    data /= np.abs(data).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
-    return data / np.linalg.norm(data, axis=1, keepdims=True)
+    return np.frombuffer(b"".join(packs)).reshape(len(packs), -1)
+
+
+KEYS = ["tree", "size", "node"]
 
 
 def grow(nodes: DataFrame, threshold: float, trees: int, seed: int) -> DataFrame:
     """row and leaf (tree, size of the vectors, node) of every vector in every tree; with spill, several leaves per tree."""
     start = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    places = nodes.select("row", start.alias("tree"), F.size("vector").alias("size"), F.lit(1).cast("long").alias("node"), F.lit(False).alias("whole"))
+    places = nodes.select("row", start.alias("tree"), "size", F.lit(1).cast("long").alias("node"), F.lit(False).alias("whole"))
+    leaves = None
     while True:
-        sizes = places.groupBy("tree", "size", "node").agg(F.count(F.lit(1)).alias("n"), F.bool_or("whole").alias("whole"))
+        sizes = places.groupBy(KEYS).agg(F.count(F.lit(1)).alias("n"), F.bool_or("whole").alias("whole"))
         large = written(sizes.filter((F.col("n") > LEAF) & ~F.col("whole")).drop("whole"))
         if large.isEmpty():
-            return places.drop("whole")
+            return (leaves.unionByName(places) if leaves else places).drop("whole")
+        final = places.join(large, KEYS, "left_anti")
+        leaves = leaves.unionByName(final) if leaves else final
         splits = written(_splits(nodes, places, large, threshold, seed))
-        routed = nodes.join(places, "row").join(splits, ["tree", "size", "node"], "left")
-        places = written(routed.mapInPandas(_router(threshold, seed), "row long, tree int, size int, node long, whole boolean"))
+        routed = places.join(large.drop("n"), KEYS, "left_semi").join(nodes.select("row", "unit"), "row").join(splits, KEYS, "left")
+        places = written(routed.mapInPandas(_router(seed), "row long, tree int, size int, node long, whole boolean"))
 
 
 def _splits(nodes: DataFrame, places: DataFrame, large: DataFrame, threshold: float, seed: int) -> DataFrame:
-    """The cuts of the next levels below each large node, in the order of the nodes (NaN: no further split)."""
+    """The splits of the next levels below each large node, in the order of the nodes: place (NaN: no further
+    split), half width of the spill, and which direction."""
 
     def fit(key, frame):
         import numpy as np
@@ -100,24 +142,29 @@ def _splits(nodes: DataFrame, places: DataFrame, large: DataFrame, threshold: fl
 
         tree, size, node = (int(x) for x in key)
         depth = int(min(DEPTH, np.ceil(np.log2(frame["n"].iloc[0] / LEAF)), np.floor(np.log2(max(2, len(frame) / 32)))))
-        data, margin = units(frame["vector"]), margin_of(threshold, size)
-        cuts = np.full(2**depth - 1, np.nan)
+        data, margin = units(frame["unit"]), margin_of(threshold, size)
+        cuts, widths, draws = (np.full(2**depth - 1, np.nan) for _ in range(3))
         parts = {0: np.arange(len(data))}
         for i in range(len(cuts)):
             if i not in parts or len(parts[i]) < 2:
                 continue
-            below = node_below(node, i)
-            at = data[parts[i]] @ direction(seed, tree, below, size)
-            cut = np.median(at)
-            if np.mean(np.abs(at - cut) < margin) <= FULL:
-                cuts[i] = cut
-                parts[2 * i + 1], parts[2 * i + 2] = parts[i][at < cut], parts[i][at >= cut]
-        return pd.DataFrame({"tree": [tree], "size": [size], "node": [node], "cuts": [cuts.tolist()]})
+            below, part = node_below(node, i), parts.pop(i)
+            at = data[part] @ np.stack([direction(seed, tree, below, t, size) for t in range(TRIES)], axis=1)
+            middle = np.median(at, axis=0)
+            off = np.abs(at - middle)
+            near = (off < margin).mean(axis=0)
+            t = int(near.argmin())
+            left = at[:, t] < middle[t]
+            if near[t] <= FULL and left.any():
+                cuts[i], draws[i] = middle[t], t
+                widths[i] = min(margin, np.quantile(off[:, t], spill_at(below)))
+                parts[2 * i + 1], parts[2 * i + 2] = part[left], part[~left]
+        return pd.DataFrame({"tree": [tree], "size": [size], "node": [node], "cuts": [cuts.tolist()], "widths": [widths.tolist()], "draws": [draws.tolist()]})
 
     share = F.lit(float(SAMPLE)) / F.col("n")
     drawn = F.pmod(F.xxhash64(F.lit(seed), "row", "tree", "node"), F.lit(1 << 30)) < share * (1 << 30)
-    sample = places.join(large, ["tree", "size", "node"]).filter(drawn).join(nodes, "row")
-    return sample.groupBy("tree", "size", "node").applyInPandas(fit, "tree int, size int, node long, cuts array<double>")
+    sample = places.join(large, KEYS).filter(drawn).join(nodes.select("row", "unit"), "row")
+    return sample.groupBy(KEYS).applyInPandas(fit, "tree int, size int, node long, cuts array<double>, widths array<double>, draws array<double>")
 
 
 def node_below(node: int, i: int) -> int:
@@ -126,17 +173,17 @@ def node_below(node: int, i: int) -> int:
     return (node << level) + (i + 1 - (1 << level))
 
 
-def _router(threshold: float, seed: int):
+def _router(seed: int):
     def route(batches):
         import numpy as np
         import pandas as pd
 
         for batch in batches:
-            done = batch["cuts"].isna()
-            yield batch.loc[done, ["row", "tree", "size", "node", "whole"]]
-            for (tree, size, node), part in batch[~done].groupby(["tree", "size", "node"]):
-                data, row, cuts = units(part["vector"]), part["row"].to_numpy(), np.array(part["cuts"].iloc[0])
-                margin = margin_of(threshold, int(size))
+            unknown = batch["cuts"].isna()  # no vector of the node was drawn
+            yield batch.loc[unknown, ["row", "tree", "size", "node"]].assign(whole=True)
+            for (tree, size, node), part in batch[~unknown].groupby(KEYS):
+                data, row = units(part["unit"]), part["row"].to_numpy()
+                cuts, widths, draws = (np.array(part[c].iloc[0]) for c in ("cuts", "widths", "draws"))
                 parts = {0: np.arange(len(data))}
                 for i in range(2 * len(cuts) + 1):
                     at = parts.pop(i, None)
@@ -144,8 +191,8 @@ def _router(threshold: float, seed: int):
                         continue
                     below = node_below(int(node), i)
                     if i < len(cuts) and not np.isnan(cuts[i]):
-                        place = data[at] @ direction(seed, int(tree), below, int(size))
-                        parts[2 * i + 1], parts[2 * i + 2] = at[place < cuts[i] + margin], at[place >= cuts[i] - margin]
+                        place = data[at] @ direction(seed, int(tree), below, int(draws[i]), int(size))
+                        parts[2 * i + 1], parts[2 * i + 2] = at[place < cuts[i] + widths[i]], at[place >= cuts[i] - widths[i]]
                     else:
                         yield pd.DataFrame({"row": row[at], "tree": tree, "size": size, "node": below, "whole": i < len(cuts)})
 
@@ -162,43 +209,39 @@ def compared(nodes: DataFrame, leaves: DataFrame, threshold: float) -> DataFrame
     mine = F.pmod(F.xxhash64("row"), F.col("chunks"))
     cells = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     cells = cells.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}).drop("other", "chunks")
-    dealt = nodes.join(own, "row").join(cells, "row")
+    dealt = nodes.select("row", "unit", "copies").join(own, "row").join(cells, "row")
 
-    def pairs_of(a, b, same):
+    def pairs_of(data, single, a, b, same):
         import numpy as np
 
-        near = a.astype(np.float32) @ b.astype(np.float32).T
+        near = single[a] @ single[b].T
         if same:
             near[np.tril_indices(len(a))] = -2
         i, j = np.nonzero(near >= threshold - NEAR)
         doubt = near[i, j] < threshold + NEAR
-        exact = np.einsum("ij,ij->i", a[i[doubt]], b[j[doubt]]) >= threshold
+        exact = np.einsum("ij,ij->i", data[a[i[doubt]]], data[b[j[doubt]]]) >= threshold
         good = np.ones(len(i), bool)
         good[doubt] = exact
-        return i[good], j[good]
+        return a[i[good]], b[j[good]]
 
     def cell(key, frame):
         import numpy as np
         import pandas as pd
 
         leaf, low, high = key[1], key[2], key[3]
-        data, row, mine = units(frame["vector"]), frame["row"].to_numpy(), frame["mine"].to_numpy()
+        data, row, mine, copies = units(frame["unit"]), *(frame[c].to_numpy() for c in ("row", "mine", "copies"))
+        single = data.astype(np.float32)
         lists = padded(frame["leaves"])
         left, right = (np.flatnonzero(mine == low), np.flatnonzero(mine == high))
         count, root = np.zeros(len(row), np.int64), np.arange(len(row))
         links = []
         for at in range(0, len(left), 512):
             some = left[at : at + 512]
-            if low == high:
-                i, j = pairs_of(data[some], data[left[at:]], True) if len(some) else ([], [])
-                i, j = some[i], left[at:][j]
-            else:
-                i, j = pairs_of(data[some], data[right], False)
-                i, j = some[i], right[j]
+            i, j = pairs_of(data, single, some, left[at:] if low == high else right, low == high)
             links.append((i, j))
             first = ~shares_earlier(lists, i, j, leaf)
-            np.add.at(count, i[first], 1)
-            np.add.at(count, j[first], 1)
+            np.add.at(count, i[first], copies[j[first]])
+            np.add.at(count, j[first], copies[i[first]])
         order = np.argsort(row)  # roots are least rows
         rank = np.empty_like(order)
         rank[order] = np.arange(len(row))
