@@ -47,13 +47,19 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
 
 
 def build_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of the payloads; empty if there is too little to learn from."""
+    """A dictionary from a bounded sample of the payloads; empty if there is too little to learn from.
+
+    The share of the payloads whose hash is low enough for the sample follows from their number, so that tasks send
+    few rows to the driver, however many tasks there are.
+    """
     import zstandard
 
     html = F.col("html").cast("string")
     size = F.octet_length(html)
     rows = pages.filter((size > 0) & (size <= SAMPLE_BYTES)).select(html.alias("html"), F.xxhash64("page_id", html).alias("draw"))
-    sample = [r.html.encode() for r in rows.orderBy("draw").limit(SAMPLES).collect()]  # bounded: 16 MB
+    share = 0.75 * SAMPLES / max(1, rows.count())  # beyond `SAMPLES` of them by more than six deviations
+    drawn = rows.filter(F.pmod("draw", F.lit(1 << 40)) < F.lit(int(min(1.0, share) * (1 << 40)))).dropDuplicates(["draw"])
+    sample = [r.html.encode() for r in drawn.orderBy("draw").limit(SAMPLES).collect()]  # bounded: 16 MB
     if sum(map(len, sample)) < 1024:
         return b""
     try:
