@@ -1,15 +1,18 @@
 """Conversations of many layouts as canonical turns, and turns as training text with a loss mask.
 
 Only DataFrame functions. A record's layout is told by a fingerprint: the SHA-256 of the nested field
-paths it has, among the paths that any mapping uses. Each fingerprint selects a declarative mapping
-(`LAYOUTS`), which says where the turns are or which fields make up which role's turn. Records are JSON,
-so one column may hold many layouts; fields that no mapping uses do not change a fingerprint.
+paths it has, among the paths that any mapping uses; `list[].field` is there if any element of the list has it.
+Each fingerprint selects a declarative mapping (`LAYOUTS`), which says where the turns are or which fields make up
+which role's turn. A list whose messages name their fields differently has a fingerprint of its own, and each
+message gives the fields it has. Records are JSON, so one column may hold many layouts, or typed columns; fields that no
+mapping uses do not change a fingerprint.
 
 A turn is written as its marks, role and text. Inside roles and texts a backslash is put before each
 backslash and after the first character of each control string, of this template and of other common
 ones, so that no text can end a turn, and reading back is exact.
 
-Cases: null texts and roles are empty; a record of no known layout has null turns and keeps its
+Cases: null texts and roles are empty; several text fields of one message are joined by a blank line; a message that
+is a bare JSON string is a text without role; in typed columns a null field is not there; a record of no known layout has null turns and keeps its
 fingerprint; turns of one conversation are ordered by turn (null first), then role and text; repeated rows
 are repeated turns; a null conv_id is one conversation; an empty table gives no rows. A conversation is one
 record of the output, so its turns meet in one task; they are never collected across conversations.
@@ -19,9 +22,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from hashlib import sha256
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 TURNS = "array<struct<role:string,text:string>>"
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -32,41 +37,102 @@ LOSS_ROLES = ("assistant",)
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+class JsonRecord:
+    """Reads a VARIANT."""
+
+    def __init__(self, document: Column):
+        self.document = document
+
+    def at(self, path: str) -> Column:
+        return F.try_variant_get(self.document, f"$.{path}", "string")
+
+    def elements(self, name: str) -> Column:
+        return F.try_variant_get(self.document, f"$.{name}", "array<variant>")
+
+    def has(self, path: str) -> Column:
+        name, _, inner = path.partition("[].")
+        if inner:
+            return F.coalesce(F.exists(self.elements(name), lambda m: F.try_variant_get(m, f"$.{inner}", "variant").isNotNull()), F.lit(False))
+        return F.try_variant_get(self.document, f"$.{path}", "variant").isNotNull()
+
+    def messages(self, name: str, roles: tuple[str, ...], texts: tuple[str, ...]) -> Column:
+        def turn(m: Column) -> Column:
+            field = lambda f: F.try_variant_get(m, f"$.{f}", "string")
+            bare = F.when(F.schema_of_variant(m) == "STRING", F.try_variant_get(m, "$", "string"))
+            return _turn(F.coalesce(*map(field, roles), F.lit("")), _joined([*map(field, texts), bare]))
+
+        return F.transform(self.elements(name), turn)
+
+
+class ColumnRecord:
+    """Reads the typed columns of a table with this schema."""
+
+    def __init__(self, schema: StructType):
+        self.tops = {f.name: f.dataType for f in schema.fields}
+
+    def _inner(self, name: str) -> list[str]:
+        kind = self.tops.get(name)
+        return kind.elementType.names if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) else []
+
+    def at(self, path: str) -> Column:
+        return F.col(path).cast("string") if path in self.tops else F.lit(None).cast("string")
+
+    def has(self, path: str) -> Column:
+        name, _, inner = path.partition("[].")
+        if not inner:
+            return F.col(path).isNotNull() if path in self.tops else F.lit(False)
+        return F.coalesce(F.exists(F.col(name), lambda m: m[inner].isNotNull()), F.lit(False)) if inner in self._inner(name) else F.lit(False)
+
+    def messages(self, name: str, roles: tuple[str, ...], texts: tuple[str, ...]) -> Column:
+        inner = self._inner(name)
+        if not inner:
+            return F.lit(None).cast(TURNS)
+
+        def turn(m: Column) -> Column:
+            role, text = ([m[f].cast("string") for f in fields if f in inner] for fields in (roles, texts))
+            return _turn(F.coalesce(*role, F.lit("")), _joined(text))
+
+        return F.transform(F.col(name), turn)
+
+
 @dataclass(frozen=True)
 class Layout:
-    """Either a list of messages with a role and a text field, or fields that are turns themselves."""
+    """Either a list of messages, which name role and text by some of the fields given, or fields that are turns themselves."""
 
     messages: str = ""
-    role: str = ""
-    text: str = ""
+    roles: tuple[str, ...] = ()
+    texts: tuple[str, ...] = ()
     fields: tuple[tuple[str, tuple[str, ...]], ...] = field(default=())  # role, paths joined by a blank line
 
     def paths(self) -> tuple[str, ...]:
         if self.messages:
-            return (f"{self.messages}[0].{self.role}", f"{self.messages}[0].{self.text}")
+            return tuple(f"{self.messages}[].{f}" for f in (*self.roles, *self.texts))
         return tuple(p for _, paths in self.fields for p in paths)
 
-    def turns(self, document: Column) -> Column:
+    def fingerprints(self) -> list[str]:
+        """Of the records that the mapping is for: all fields, or any role fields with any text fields."""
+        if not self.messages:
+            return [fingerprint_of(self.paths())]
+        some = lambda names: [x for n in range(1, len(names) + 1) for x in combinations(names, n)]
+        return [fingerprint_of(f"{self.messages}[].{f}" for f in (*r, *t)) for r in some(self.roles) for t in some(self.texts)]
+
+    def turns(self, record: JsonRecord | ColumnRecord) -> Column:
         if self.messages:
-            kind = f"array<struct<{self.role}:string,{self.text}:string>>"
-            listed = F.try_variant_get(document, f"$.{self.messages}", kind)
-            return F.transform(listed, lambda m: _turn(m[self.role], m[self.text]))
-        return F.array(*[
-            _turn(F.lit(role), F.concat_ws("\n\n", *[F.nullif(F.coalesce(_at(document, p), F.lit("")), F.lit("")) for p in paths]))
-            for role, paths in self.fields
-        ])
+            return record.messages(self.messages, self.roles, self.texts)
+        return F.array(*[_turn(F.lit(role), _joined([record.at(p) for p in paths])) for role, paths in self.fields])
 
 
 def _fields(**roles: str | tuple[str, ...]) -> Layout:
     return Layout(fields=tuple((r, (p,) if isinstance(p, str) else p) for r, p in roles.items()))
 
 
+def fingerprint_of(paths) -> str:
+    """SHA-256 of the sorted nested paths."""
+    return sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
+
+
 LAYOUTS = (
-    Layout("messages", "role", "content"),
-    Layout("messages", "role", "text"),
-    Layout("conversations", "from", "value"),
-    Layout("conversation", "role", "content"),
-    Layout("turns", "role", "text"),
+    *[Layout(name, ("role", "from"), ("content", "text", "value")) for name in ("messages", "conversations", "conversation", "turns")],
     _fields(user="prompt", assistant="completion"),
     _fields(user="prompt", assistant="response"),
     _fields(system="system", user="prompt", assistant="response"),
@@ -78,17 +144,11 @@ LAYOUTS = (
 )
 
 
-def fingerprint_of(paths) -> str:
-    """SHA-256 of the sorted nested paths."""
-    return sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
-
-
 KNOWN_PATHS = tuple(sorted({p for layout in LAYOUTS for p in layout.paths()}))
-MAPPINGS = {fingerprint_of(layout.paths()): layout for layout in LAYOUTS}
 
 
-def _at(document: Column, path: str) -> Column:
-    return F.try_variant_get(document, f"$.{path}", "string")
+def _joined(texts: list[Column]) -> Column:
+    return F.concat_ws("\n\n", *[F.nullif(t, F.lit("")) for t in texts])
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -97,40 +157,39 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(renamed.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def fingerprint(document: Column) -> Column:
-    """Of a VARIANT: the paths among `KNOWN_PATHS` that it has (a null value counts as there)."""
-    there = [F.when(F.try_variant_get(document, f"$.{p}", "variant").isNotNull(), F.lit(p)) for p in KNOWN_PATHS]
+def fingerprint(record: JsonRecord | ColumnRecord) -> Column:
+    """Of the paths among `KNOWN_PATHS` that a record has (a JSON null counts as there)."""
+    there = [F.when(record.has(p), F.lit(p)) for p in KNOWN_PATHS]
     return F.sha2(F.array_join(F.array_compact(F.array(*there)), "\n"), 256)
 
 
+def _mapped(records: DataFrame, record: JsonRecord | ColumnRecord, mark: str, turns: str) -> DataFrame:
+    """Add each record's fingerprint as ``mark`` and what the mapping selected by it gives as ``turns``."""
+    found = F.lit(None).cast(TURNS)
+    for layout in LAYOUTS:
+        found = F.when(F.col(mark).isin(layout.fingerprints()), layout.turns(record)).otherwise(found)
+    return records.withColumn(mark, fingerprint(record)).withColumn(turns, found)
+
+
 def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
     """Add `fingerprint` and `turns` to records that hold JSON text in ``column``."""
-    document = F.try_parse_json(F.col(column).cast("string"))
-    marked = records.withColumn("fingerprint", fingerprint(document))
-    turns = F.lit(None).cast(TURNS)
-    for mark, layout in MAPPINGS.items():
-        turns = F.when(F.col("fingerprint") == mark, layout.turns(document)).otherwise(turns)
-    return marked.withColumn("turns", turns)
+    return _mapped(records, JsonRecord(F.try_parse_json(F.col(column).cast("string"))), "fingerprint", "turns")
 
 
 def structured_turns(records: DataFrame) -> DataFrame:
-    """`canonical_turns` for records whose fields are columns: they become one JSON record."""
-    tops = {p.split("[")[0].split(".")[0] for p in KNOWN_PATHS}
-    columns = [c for c in records.columns if c in tops]
-    return canonical_turns(records.withColumn("_record", F.to_json(F.struct(*columns) if columns else F.struct(F.lit(None).alias("_")))), "_record").drop("_record")
+    """Add `fingerprint` and `canonical` turns to records whose fields are columns."""
+    return _mapped(records, ColumnRecord(records.schema), "fingerprint", "canonical")
 
 
 def turn_rows(rows: DataFrame) -> DataFrame:
-    """Conversations given as one row per turn (conv_id, turn, role, text): conv_id and `turns`.
+    """Conversations given as one row per turn (conv_id, turn, role, text): conv_id, fingerprint and `turns`.
 
-    The rows of a conversation are put into the layout of messages, and its fingerprint selects the
-    mapping as for any other record.
+    The rows of a conversation become one record, whose own fingerprint selects the mapping as for any other.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     own = rows.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    listed = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    layout = MAPPINGS[fingerprint_of(f"turns[0].{c}" for c in rows.select(F.col("role"), F.col("text")).columns)]
-    return listed.select("conv_id", F.transform("t", lambda t: _turn(t[layout.role], t[layout.text])).alias("turns"))
+    listed = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    return structured_turns(listed).select("conv_id", "fingerprint", F.col("canonical").alias("turns"))
 
 
 def escaped(text: Column) -> Column:

@@ -114,6 +114,35 @@ def test_chat(spark):
     assert [[tuple(t) for t in x] if x else x for x in got] == [[("user", "q"), ("assistant", "a")], [("user", "i\n\nx"), ("assistant", "o")], [("user", "p"), ("assistant", "c")], None, None, None]
 
 
+def test_lists_of_mixed_messages_lose_no_text(spark):
+    lines = [
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","text":"a"},{"from":"gpt","value":"b"}]}',
+        '{"messages":[{"role":"user","content":"q","text":"r"},"bare",{"role":"user"},{"role":null,"content":null}]}',
+        '{"conversation":[{"role":"user","content":"x"}],"other":[{"role":"y"}]}', '{"messages":[]}', '{"messages":[{"role":"user"}]}', '{"messages":"text"}',
+    ]
+    got = [[tuple(t) for t in r.turns] if r.turns is not None else None for r in chat.canonical_turns(spark.createDataFrame([(x,) for x in lines], "record string").coalesce(1)).collect()]
+    assert got[0] == [("user", "q"), ("assistant", "a"), ("assistant", "b")]
+    assert got[1] == [("user", "q\n\nr"), ("", "bare"), ("user", ""), ("", "")]
+    assert got[2:] == [[("user", "x")], None, None, None]
+
+
+def test_typed_records_select_mappings_row_by_row(spark):
+    rows = [("p", None, None, [("user", "t", None)]), ("p", "c", None, None), ("p", None, "r", None), (None, None, None, [("human", None, "v"), ("gpt", "t", "v")]), (None, None, None, None)]
+    table = spark.createDataFrame(rows, "prompt string, completion string, response string, turns array<struct<role:string,text:string,value:string>>").coalesce(1)
+    found = chat.structured_turns(table).collect()
+    got = [[tuple(t) for t in r.canonical] if r.canonical is not None else None for r in found]
+    assert got == [None, [("user", "p"), ("assistant", "c")], [("user", "p"), ("assistant", "r")], [("user", "v"), ("assistant", "t\n\nv")], None]
+    assert len({r.fingerprint for r in found}) == 5
+    assert chat.structured_turns(table.select("prompt").limit(0)).count() == 0
+
+
+def test_dictionary_from_many_copies(spark):
+    table = spark.range(4000).selectExpr("id % 7 page_id", "concat('<p>', repeat(sha2(string(id % 7), 256), 9)) html").union(spark.range(900).selectExpr("100 + id", "concat('<q>', repeat(sha2(string(id), 512), 3))"))
+    words = warc.build_dictionary(table)
+    assert 0 < len(words) <= warc.DICTIONARY_BYTES
+    assert warc.build_dictionary(table.limit(0)) == b""
+
+
 def _repeated(data: list[bytes], window: int):
     seen = Counter(d[i : i + window] for d in data for i in range(len(d) - window + 1))
     out = []
