@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .chat import CONTROLS, END, TEXT, TURN
+
 LEXICAL = r"""
 WITH words AS (
   SELECT rowid_ AS d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -91,4 +93,49 @@ WITH RECURSIVE docs AS (
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """
 
-SQL = {"op11_relative_lz": REPEATED, "op12_merkle": MERKLE, "op13_lexical": LEXICAL}
+TOP = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+ARCHIVES = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS size, sha256(coalesce(html, '')) AS digest FROM pages
+), firsts AS (SELECT digest, min(page_id) AS first FROM payloads WHERE size >= 100 GROUP BY digest)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM payloads LEFT JOIN firsts USING (digest)
+"""
+
+
+def escaped(text: str) -> str:
+    """SQL for a text with backslashes doubled and one put into each control string."""
+    text = f"replace({text}, '\\', '\\\\')"
+    for control in CONTROLS:
+        text = f"replace({text}, '{control}', '{control[0]}\\{control[1:]}')"
+    return text
+
+
+CHAT = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, sum({len(TURN + TEXT + END)} + length({escaped("role")}) + length({escaped("text")}))::BIGINT AS formatted_chars,
+    string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM whole
+"""
+
+SQL = {"op3_topk": TOP, "op5_warc": ARCHIVES, "op6_chat_format": CHAT, "op11_relative_lz": REPEATED, "op12_merkle": MERKLE, "op13_lexical": LEXICAL}
