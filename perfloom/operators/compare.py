@@ -91,24 +91,17 @@ def comparison_rankings(matrix: DataFrame) -> DataFrame:
     return d.select("ranking", (F.col("idx") + 1).alias("rank"), "run_id", "value")
 
 
-def pairwise_observations(matrix: DataFrame, blocks: int = 16) -> DataFrame:
+def pairwise_observations(matrix: DataFrame, blocks: int = 16, pairs: DataFrame | None = None) -> DataFrame:
     """Metrics in which two runs differ noticeably, for each pair of runs.
 
-    Runs are spread over ``blocks`` groups; a pair meets in the cell of its two groups, so the
-    work is an equality join over ``blocks * (blocks + 1) / 2`` balanced cells.
+    Without ``pairs`` all runs are compared with each other: they are spread over ``blocks`` groups, and a pair meets
+    in the cell of its two groups, so the work is an equality join over ``blocks * (blocks + 1) / 2`` balanced cells.
+    With ``pairs`` (run_a, run_b; as from `successive_runs`) only those are compared, in order as given: two joins by run,
+    so work and rows grow with the pairs asked for. Pairs that are given twice count once; runs the matrix lacks
+    have no observations.
     """
-    rows = matrix.select(
-        "run_id", *[F.col(m).cast("double").alias(m) for m in DELTAS],
-        F.pmod(F.xxhash64("run_id"), F.lit(blocks)).cast("int").alias("_b"),
-    )
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    spread = rows.withColumn("_other", F.explode(every))
-    cell = [F.least("_b", "_other").alias("_lo"), F.greatest("_b", "_other").alias("_hi")]
-    left = spread.select("run_id", "_b", *DELTAS, *cell).alias("a")
-    right = spread.select("run_id", "_b", *DELTAS, *cell).alias("b")
-    pairs = left.join(right, ["_lo", "_hi"]).filter(F.col("a.run_id") < F.col("b.run_id"))
-    # In a cell of two groups each run must come from its own group.
-    pairs = pairs.filter((F.col("_lo") == F.col("_hi")) | (F.col("a._b") != F.col("b._b")))
+    rows = matrix.select("run_id", *[F.col(m).cast("double").alias(m) for m in DELTAS])
+    met = _all_pairs(rows, blocks) if pairs is None else _asked_pairs(rows, pairs)
     found = []
     for m, least in DELTAS.items():
         delta = F.bround(F.col(f"a.{m}") - F.col(f"b.{m}"), 1)
@@ -118,12 +111,39 @@ def pairwise_observations(matrix: DataFrame, blocks: int = 16) -> DataFrame:
                 F.struct(F.lit(m).alias("metric"), F.col(f"a.{m}").alias("value_a"), F.col(f"b.{m}").alias("value_b"), delta.alias("delta")),
             )
         )
-    return pairs.select(
+    return met.select(
         F.col("a.run_id").alias("run_a"), F.col("b.run_id").alias("run_b"),
         F.explode(F.array_compact(F.array(*found))).alias("o"),
     ).select("run_a", "run_b", "o.*")
 
 
+def _all_pairs(rows: DataFrame, blocks: int) -> DataFrame:
+    spread = rows.withColumn("_b", F.pmod(F.xxhash64("run_id"), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cell = [F.least("_b", "_other").alias("_lo"), F.greatest("_b", "_other").alias("_hi")]
+    left = spread.select("run_id", "_b", *DELTAS, *cell).alias("a")
+    right = spread.select("run_id", "_b", *DELTAS, *cell).alias("b")
+    pairs = left.join(right, ["_lo", "_hi"]).filter(F.col("a.run_id") < F.col("b.run_id"))
+    # In a cell of two groups each run must come from its own group.
+    return pairs.filter((F.col("_lo") == F.col("_hi")) | (F.col("a._b") != F.col("b._b")))
+
+
+def _asked_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    asked = pairs.select("run_a", "run_b").distinct()
+    first = asked.join(rows.select("run_id", F.struct(*rows.columns).alias("a")), F.col("run_a") == F.col("run_id")).drop("run_id")
+    return first.join(rows.select("run_id", F.struct(*rows.columns).alias("b")), F.col("run_b") == F.col("run_id")).drop("run_id")
+
+
+def successive_runs(runs: DataFrame, host: str, order: str, back: int = 1) -> DataFrame:
+    """run_a, run_b: each run of a host with the ``back`` runs before it, by ``order`` and then run_id.
+
+    A run stands in at most ``back`` pairs as the later one, so pairs grow with runs. Positions come from one range
+    sort, so a host of very many runs is no single task; runs without a host have none before them.
+    """
+    placed = dense_index(runs.select("run_id", F.col(host).alias("_host"), F.col(order).alias("_order")), ("_host",), ("_order", "run_id"))
+    later = placed.select("_host", F.col("run_id").alias("run_b"), F.explode(F.sequence(F.col("idx") - back, F.col("idx") - 1)).alias("idx"))
+    return later.join(placed.select("_host", "idx", F.col("run_id").alias("run_a")), ["_host", "idx"]).select("run_a", "run_b")
+
+
 def problem_kinds(anomalies: DataFrame, slowdowns: DataFrame) -> DataFrame:
     kinds = anomalies.select("run_id", F.coalesce("kind", F.lit("?")).alias("problem"))
     tags = slowdowns.select("run_id", F.explode("reason_tags").alias("t")).select(

@@ -19,6 +19,7 @@ from ..functions.session import written
 
 CHUNK = 1 << 16
 SPAN_BIN = 64
+CROWD_ROWS = 65536  # points of one time bin that one task joins
 BIN_BITS = 10
 CUTS = 4096
 FEW = 1 << 17
@@ -196,6 +197,13 @@ def rows_in_windows(
     )
 
 
+def crowded_bins(times: DataFrame, at: str, bin_seconds: float, part_rows: int) -> DataFrame:
+    """run_id, _bin and _salts of the time bins with more than ``part_rows`` rows, from a histogram of the times."""
+    bins = times.filter(F.col(at).isNotNull()).select("run_id", F.floor(F.col(at) / F.lit(float(bin_seconds))).alias("_bin"))
+    counts = bins.groupBy("run_id", "_bin").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_rows)
+    return counts.select("run_id", "_bin", F.ceil(F.col("_n") / part_rows).cast("int").alias("_salts"))
+
+
 def time_range_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -203,28 +211,25 @@ def time_range_join(
     hi: str,
     at: str = "rel_seconds",
     bin_seconds: float = 60.0,
-    splits: int = 4,
+    part_rows: int = CROWD_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Pair points with the intervals ``[lo, hi]`` of the same run that hold them.
 
-    Intervals are cut into time bins; a point lies in one bin, so a pair appears once. Points of
-    a crowded bin are spread over ``splits`` salts (the intervals, far fewer, are repeated).
+    Intervals are cut into time bins; a point lies in one bin, so a pair appears once. A bin of more than
+    ``part_rows`` points is spread over as many salts as its points need (the intervals, far fewer, are repeated).
+    How many it has is told by a histogram of ``counted``, by default the points: any table of cheaper rows
+    (run_id and ``at``) that has at least as many of them in each bin.
     """
     width = F.lit(float(bin_seconds))
-    cut = intervals.withColumn(
-        "_bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    spread = points.filter(F.col(at).isNotNull()).withColumns(
-        {
-            "_bin": F.floor(F.col(at) / width),
-            "_salt": F.pmod(F.xxhash64(*points.columns), F.lit(splits)).cast("int"),
-        }
-    )
-    return (
-        spread.join(cut, ["run_id", "_bin", "_salt"])
-        .filter(F.col(at).between(F.col(lo), F.col(hi)))
-        .drop("_bin", "_salt")
-    )
+    crowded = written(crowded_bins(points if counted is None else counted, at, bin_seconds, part_rows))
+    place = ["run_id", "_bin"]
+    salts = F.coalesce("_salts", F.lit(1))
+    cut = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+    cut = cut.join(crowded, place, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    spread = points.filter(F.col(at).isNotNull()).withColumn("_hash", F.xxhash64(*points.columns)).withColumn("_bin", F.floor(F.col(at) / width))
+    spread = spread.join(crowded, place, "left").withColumn("_salt", F.pmod("_hash", salts).cast("int")).drop("_salts", "_hash")
+    return spread.join(cut, [*place, "_salt"]).filter(F.col(at).between(F.col(lo), F.col(hi))).drop("_bin", "_salt")
 
 
 # --- statistics ----------------------------------------------------------------------------

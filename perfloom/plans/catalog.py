@@ -331,6 +331,8 @@ add("comparison_rankings", lambda i: i.rankings, "select * from rankings")
 _DELTA = (("overall", 5), ("cpu_avg", 3), ("mem_avg", 3), ("disk_avg", 3), ("latency_p95_ms", 20), ("anomalies", 3), ("slowdowns", 3))
 add("pairwise_observations", lambda i: cm.pairwise_observations(i.matrix),
     " union all ".join(f"select a.run_id run_a, b.run_id run_b, '{m}' metric, a.{m}::double value_a, b.{m}::double value_b, round_even(a.{m}-b.{m},1)::double delta from matrix a join matrix b on a.run_id<b.run_id where abs(round_even(a.{m}-b.{m},1))>={t}" for m, t in _DELTA))
+add("pairwise_successive", lambda i: cm.pairwise_observations(i.matrix, pairs=cm.successive_runs(i.matrix, "hostname", "run_id")),
+    " union all ".join(f"select a.run_id run_a, b.run_id run_b, '{m}' metric, a.{m}::double value_a, b.{m}::double value_b, round_even(a.{m}-b.{m},1)::double delta from (select *, lag(run_id) over (partition by hostname order by run_id) prev from matrix) b join matrix a on a.run_id=b.prev where abs(round_even(a.{m}-b.{m},1))>={t}" for m, t in _DELTA))
 add("common_and_unique_problems", lambda i: cm.common_and_unique_problems(i.runs, i.kept("anomalies"), i.kept("slowdowns")),
     "select 'common' as scope, null::varchar run_id, problem from kinds group by 3 having count(*)=(select count(*) from v_runs) union all select 'unique', max(run_id), problem from kinds group by 3 having count(*)=1")
 add("comparison_winners", lambda i: cm.comparison_winners(i.rankings),
