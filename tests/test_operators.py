@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from perfloom import RunThresholds, Thresholds
 from perfloom.functions import coerce, naming
 from perfloom.operators import anomalies as an
-from perfloom.operators import apps, charts, compare, derive, events, scores
+from perfloom.operators import apps, charts, compare, derive, events, offenders, scores, trends
 from perfloom.operators import slowdowns as sl
 
 
@@ -225,3 +225,30 @@ def test_downsample(spark):
     s = system(spark, [1, 5, 2, 9, 3])
     got = charts.downsample_max(s, "rel_seconds", ["cpu_total_pct"], 2).orderBy("bucket").collect()
     assert [(r.rel_seconds, r.cpu_total_pct) for r in got] == [(0.0, 5.0), (2.0, 9.0)]
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_process_rows_are_aggregated_without_sorting_them(spark):
+    rows = [("r", 1, 10, 1, "", 2.0, 5, 7, None), ("r", 1, 9, 2, "b", 3.0, 9, 0, 4), ("r", 1, 8, 3, "a", None, None, 3, 6), ("r", 2, None, 1, None, 1.0, 1, 0, 0), ("r", 2, 4, 5, "", 1.0, 1, 0, 0)]
+    table = spark.createDataFrame(rows, "run_id string, pid long, ppid long, row_ord long, name string, cpu_pct double, rss_bytes long, num_handles long, num_threads long")
+    table = table.selectExpr("*", "cast(row_ord as double) rel_seconds", "cpu_pct * 2 io_read_bps", "cpu_pct io_write_bps", "pid - 1 is_target", "cpu_pct cpu_time_user")
+    df = offenders.per_pid_aggregates(table)
+    got = {r.pid: r for r in df.collect()}
+    one = got[1]
+    assert (one.name, one.ppid, one.samples, one.cpu_pct_sum, one.rss_bytes_max) == ("a", 10, 3, 5.0, 9)
+    assert (one.num_handles_max, one.num_handles_min, one.num_threads_max, one.num_threads_min) == (7, 3, 6, 4)
+    assert (one.first_seen, one.last_seen, one.is_target, one.cpu_time_user_last, one.io_read_bps_max) == (1.0, 3.0, False, 0.0, 6.0)
+    two = got[2]
+    assert (two.name, two.ppid, two.num_handles_max, two.is_target, two.samples) == ("?", None, 0, True, 2)
+    steps = [line for line in executed(df).splitlines() if "Aggregate(key" in line]
+    assert "partial" in steps[-1] and "HashAggregate" in steps[-1]  # the step that sees the process rows
+
+
+def test_trend_points_are_aggregated_without_their_names(spark):
+    table = spark.range(60).selectExpr("'r' run_id", "id % 2 pid", "id row_ord", "cast(id as double) rel_seconds", "concat('n', cast(id as string)) name", "id * 10 rss_bytes", "id num_handles", "id num_threads")
+    df = trends.trend_stats(table)
+    assert {(r.pid, r.metric): r.process_name for r in df.collect()} == {(p, m): f"n{58 + p}" for p in (0, 1) for m in trends.METRICS}
+    assert "SortAggregate" not in executed(df)

@@ -201,6 +201,13 @@ def test_value_bins_never_fall(spark):
     assert all(a <= b for a, b in zip(bins, bins[1:])) and len(set(bins)) > 2000
 
 
+def test_value_bin_writes_its_column_few_times(spark):
+    """A view's column is written out wherever it is used; what is written out too often is not compiled."""
+    table = spark.range(10).selectExpr("case when id % 3 = 0 then null else id / 7 end as v")
+    plan = table.select(series.value_bin(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN ((id") <= 8
+
+
 def test_percentile_sends_no_row_by_its_key(spark):
     """Without broadcasts, rows are exchanged by bin or value; only bins and marks meet by key."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
