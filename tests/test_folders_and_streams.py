@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from perfloom import RunThresholds
 from perfloom.operators import apps, compare, derive
+from perfloom.plans import folders
 from perfloom.plans.analysis import Analysis
 from perfloom.plans.views import Views
 from perfloom.schemas import FILES, TIMELINES
@@ -281,3 +282,26 @@ def test_snapshot_diffs_count_repeated_rows_once(spark):
     assert sorted((r.snapshot_ord, r.event, r.name, r.from_pid, r.to_pid) for r in got.collect()) == sorted([
         (2, "service_status_change", "s", None, None), (3, "service_status_change", "s", None, None), (3, "service_pid_change", "s", 0, 6),
         (4, "service_added", "t", None, None), (4, "service_removed", "s", None, None), (5, "service_removed", "t", None, None), (5, "service_added", "s", None, None)])
+
+
+def test_snapshots_are_made_once_for_both_ends(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("r", k, k * 10 + n, f"p{n}") for k in range(4) for n in range(5)], "run_id string, snapshot_ord long, pid long, name string")
+    files = folders.snapshots(rows.mapInArrow(counted, rows.schema), "process").collect()
+    assert {f.file for f in files} == {"process_start_000000_snapshot.json", "process_end_000000_snapshot.json"}
+    assert sorted(x["pid"] for f in files for x in json.loads(f.text)) == sorted(k * 10 + n for k in range(4) for n in range(5))
+    assert seen.value == 20
+
+
+def test_the_folder_of_a_document_needs_no_pattern(spark, tmp_path):
+    make_run(tmp_path, "run one", [1.0], {}, 1.0)
+    (tmp_path / "run one" / "process_start_000000_snapshot.json").write_text('[{"pid": 1, "name": "a"}, {"pid": 2, "name": "b"}]')
+    df = rf.read_process_snapshots(spark, str(tmp_path))
+    assert {(r.run_id, r.pid, r.snapshot_ord) for r in df.collect()} == {(rf.read_runs(spark, str(tmp_path)).first().run_id, p, 0) for p in (1, 2)}
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
