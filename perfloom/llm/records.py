@@ -91,13 +91,14 @@ def read_records(manifest: DataFrame) -> DataFrame:
     """All records in file order; ``before``: ids of all records before this one."""
     earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     files = manifest.withColumn("base", F.coalesce(F.sum("ids").over(earlier), F.lit(0)))
+    return files.repartition(max(1, manifest.count())).mapInArrow(_whole_files, RECORD)
 
-    def records(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from _batches(_frames(row))
 
-    return files.repartition(max(1, manifest.count())).mapInArrow(records, RECORD)
+def _whole_files(batches):
+    storage.worker_memory("records", dict)  # the words that a worker remembers for writing are given back
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield from _batches(_frames(row))
 
 
 def _frames(row: dict):
@@ -125,6 +126,7 @@ def read_shuffled(manifest: DataFrame, seed: int = 0) -> DataFrame:
                 yield pd.DataFrame({"shard": row.shard, "file": row.file, "ordinal": range(len(at)), "at": [x for x, _ in at], "size": [n for _, n in at]})
 
     def fetch(batches):
+        storage.worker_memory("records", dict)
         for batch in batches:
             sources: dict = {}
             found = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -246,3 +247,16 @@ def test_no_bucket_grows_with_a_hot_passage(spark, monkeypatch):
     table = spark.range(300).select("id", F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit(passage), F.sha2((-F.col("id")).cast("string"), 512)).alias("text")).withColumnRenamed("id", "doc_id")
     out = suffixes.repeated_spans(table, 60).select(F.explode("spans").alias("s")).groupBy(F.col("s.end") - F.col("s.start")).count().collect()
     assert sum(r["count"] for r in out) == 300 and seen and max(seen) < 300
+
+
+def test_reading_records_gives_the_encoder_back(spark, tmp_path):
+    import pyarrow as pa
+
+    from perfloom.llm import storage, text_ids
+
+    text_ids.text_ids(vocabulary(BYTES), True, 0, 2)
+    (tmp_path / "a.rec").write_bytes(records.framed(struct.pack(records.OWNER, True, 4, 5) + b"\1\0\0\0"))
+    row = {"shard": 0, "file": str(tmp_path / "a.rec"), "base": 0, "records": 1}
+    (batch,) = records._whole_files([pa.RecordBatch.from_pylist([row])])
+    assert batch.to_pylist() == [{"shard": 0, "ordinal": 0, "doc_id": 5, "before": 0, "ids": b"\1\0\0\0"}]
+    assert list(storage._HELD) == ["records"]
