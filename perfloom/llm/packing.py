@@ -152,11 +152,9 @@ def pack(docs: DataFrame, vocabulary: str, end: int, keeps_blanks: bool = False,
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column("text").to_pylist()
+            for part, encoded in encoder.parts(batch):
                 ready = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                     ready += packer.add(doc, ids)
                 if packer.held > BUFFER:
                     ready += packer.windows(BUFFER // 4)

@@ -65,9 +65,9 @@ def write_records(docs: DataFrame, vocabulary: str, end: int, keeps_blanks: bool
         out, name = None, storage.attempt_name("")
         entries, at, ids = [], 0, 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part, frames = batch.slice(first, 256), []
-                for doc, tokens in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
+            for part, encoded in encoder.parts(batch):
+                frames = []
+                for doc, tokens in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                     frames.append(framed(struct.pack(OWNER, doc is not None, width, doc or 0) + tokens))
                     entries.append(struct.pack(ENTRY, at, len(frames[-1])))
                     at += len(frames[-1])

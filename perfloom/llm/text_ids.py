@@ -2,8 +2,10 @@
 
 A tokenizer of the two kinds below never joins what stands on both sides of certain blanks, so
 a text's ids are its words' ids one after another. Words recur, so most need no second run of the
-tokenizer. The memory is bounded: when it holds ``REMEMBERED`` words it becomes the older memory, from which only
-words met again are taken over; this changes the time and never the ids. Words longer than ``LONGEST`` are not remembered.
+tokenizer. Texts of about ``CHARS`` characters are looked up at once: Arrow numbers their words, those remembered first, the
+words that are new go through the tokenizer, and all ids are gathered by number. The memory is an Arrow array and the
+ids in one numpy array, a few dozen bytes a word, and it is bounded: when it holds more than ``REMEMBERED`` words, the half
+of them met most often stays. This changes the time and never the ids. Words longer than ``LONGEST`` are not remembered.
 
 A byte-level vocabulary keeps blanks: a single blank between two words belongs to the second word, and a
 single line end between two words is a token of its own. Only texts whose white space is of these two kinds
@@ -22,10 +24,12 @@ import os
 import re
 from array import array
 from collections.abc import Iterable
+from itertools import islice
 
 from .storage import worker_memory
 
-REMEMBERED = 700_000
+REMEMBERED = 500_000
+CHARS = 1 << 22
 STOPS = frozenset(".,;:!?")
 LONGEST = 64
 BLANKS = "\t\n\r"
@@ -40,22 +44,14 @@ def text_ids(vocabulary: str, keeps_blanks: bool, end: int, width: int = 4) -> T
     return worker_memory(("ids", vocabulary, keeps_blanks, end, width), lambda: TextIds(vocabulary, keeps_blanks, end, width))
 
 
-class Memory(dict):
-    """Ids of words; a word that it lacks is noted in ``missed`` and gives None."""
-
-    def __init__(self):
-        self.missed: list[str] = []
-
-    def __missing__(self, word: str) -> None:
-        self.missed.append(word)
-
-
 class TextIds:
     """``vocabulary``: path of a tokenizers file. ``keeps_blanks``: see above. ``end``: id after each text.
     ``width``: bytes of an id in the result, 4 or, for vocabularies of at most 65,536 ids, 2."""
 
     def __init__(self, vocabulary: str, keeps_blanks: bool, end: int, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -66,7 +62,9 @@ class TextIds:
         self.line_end = self._whole("\n") if keeps_blanks else b""
         self.stops = {c: self._whole(c) for c in STOPS}
         self.shown = shown_bytes()
-        self.memory, self.older = Memory(), {}
+        # The words remembered, the ids of each and how many they are, and how often each was met.
+        self.words, self.ids = pa.array([], pa.string()), np.array([], f"u{width}")
+        self.sizes, self.met = np.array([], "i4"), np.array([], "i4")
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()  # little-endian on the machines Spark runs on
@@ -74,27 +72,25 @@ class TextIds:
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember words; letters and one mark after them are tokenized apart by both kinds."""
-        memory, older = self.memory, self.older
-        if older:
-            memory.update((w, older[w]) for w in words if w in older)
-            words = {w for w in words if w not in memory}
-        stopped = [w for w in words if w[-1:] in STOPS and letters(w[:-1].lstrip("\n"))]
-        words = {w for w in words.union(w[:-1] for w in stopped).difference(stopped) if w not in memory}
-        others, kind, tokenize = [], self.kind, self.model.tokenize
-        for word in words:
+    def _learned(self, words: list[str]) -> list[bytes]:
+        """Ids of words; letters and one mark after them are tokenized apart by both kinds."""
+        stopped = {w for w in words if w[-1:] in STOPS and letters(w[:-1].lstrip("\n"))}
+        others, kind, tokenize, blank, found = [], self.kind, self.model.tokenize, chr(self.shown[32]), {}
+        for word in {w[:-1] if w in stopped else w for w in words}:
+            if word.isascii() and word.isalpha():  # the most frequent case, shown as it is
+                found[word] = array(kind, [t.id for t in tokenize(blank + word if self.keeps_blanks else word.lower())]).tobytes()
+                continue
             text, before = self._spelled(word)
             if LATIN(text, text[:1] == " "):
                 if not self.keeps_blanks:
                     text = text.lower()
                 shown = text.encode().decode("latin-1").translate(self.shown)
-                memory[word] = before + array(kind, [t.id for t in tokenize(shown)]).tobytes()
+                found[word] = before + array(kind, [t.id for t in tokenize(shown)]).tobytes()
             else:
                 others.append((word, text, before))
-        found = self.tokenizer.encode_batch_fast([text for _, text, _ in others], add_special_tokens=False)
-        memory.update((word, before + self._bytes(e.ids)) for (word, _, before), e in zip(others, found, strict=True))
-        memory.update((w, memory[w[:-1]] + self.stops[w[-1]]) for w in stopped)
+        whole = self.tokenizer.encode_batch_fast([text for _, text, _ in others], add_special_tokens=False)
+        found.update((word, before + self._bytes(e.ids)) for (word, _, before), e in zip(others, whole, strict=True))
+        return [found[w[:-1]] + self.stops[w[-1]] if w in stopped else found[w] for w in words]
 
     def _spelled(self, word: str) -> tuple[str, bytes]:
         """What the tokenizer sees of a word, and the ids before it."""
@@ -104,34 +100,80 @@ class TextIds:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids as little-endian integers, with the end id; a null text is an empty one."""
-        texts = ["" if t is None else t for t in texts]
-        recall = self.memory.__getitem__
-        found = [None if self._goes_whole(t) else list(map(recall, self._words(t))) for t in texts]
-        missed, self.memory.missed = self.memory.missed, []
-        fresh = set(missed)
-        self._learn(fresh)
-        at = 0
-        for ids in found:
-            i = -1
-            for _ in range(ids.count(None) if ids else 0):
-                i = ids.index(None, i + 1)
-                ids[i] = self.memory[missed[at]]
-                at += 1
-        if len(self.memory) > REMEMBERED:
-            self.older, self.memory = self.memory, Memory()
-        for word in fresh:
-            if len(word) > LONGEST:
-                self.memory.pop(word, None)
+        out, some, chars = [], [], 0
+        for text in texts:
+            some.append(text or "")
+            chars += len(some[-1])
+            if chars >= CHARS:
+                out += self._encoded(some)
+                some, chars = [], 0
+        return out + self._encoded(some)
+
+    def parts(self, batch, rows: int = 256):
+        """The batch in parts of ``rows`` rows, each with the ids of its texts; parts of about half ``CHARS`` are encoded at once."""
+        some, texts, chars = [], [], 0
+        for at in range(0, batch.num_rows, rows):
+            some.append(batch.slice(at, rows))
+            texts += some[-1].column("text").to_pylist()
+            chars += sum(len(t or "") for t in texts[-some[-1].num_rows :])
+            if chars >= CHARS // 2 or at + rows >= batch.num_rows:
+                ids = iter(self.encode(texts))
+                for part in some:
+                    yield part, list(islice(ids, part.num_rows))
+                some, texts, chars = [], [], 0
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = [self._goes_whole(t) for t in texts]
+        split = pc.split_pattern(pa.array([self._line(t) for t, w in zip(texts, whole, strict=True) if not w], pa.string()), " ")
+        known = len(self.words)
+        numbered = pa.concat_arrays([self.words, split.flatten()]).dictionary_encode()
+        at = numbered.indices.to_numpy()[known:]
+        fresh = numbered.dictionary[known:].to_numpy(zero_copy_only=False).tolist()
+        learned = self._learned(fresh)
+        self.words = numbered.dictionary
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(learned), self.ids.dtype)])
+        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in learned], "i4") // self.ids.itemsize])
+        self.met = np.concatenate([self.met, np.zeros(len(fresh), "i4")]) + np.bincount(at, minlength=len(self.words)).astype("i4")
+        data = gathered(self.ids, self.sizes, at).tobytes()
+        upto = np.concatenate([[0], np.cumsum(self.sizes[at], dtype="i8")])[split.offsets.to_numpy()] * self.ids.itemsize
+        self._forget([known + i for i, w in enumerate(fresh) if len(w) > LONGEST])
         skipped = len(self.line_end)
-        return [self._whole(t) + self.end if ids is None else b"".join([*ids, self.end])[skipped:] for t, ids in zip(texts, found, strict=True)]
+        bounds = zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)
+        cut = lambda a, b: data[a + skipped : b]
+        return [(self._whole(t) if w else cut(*next(bounds))) + self.end for t, w in zip(texts, whole, strict=True)]
+
+    def _forget(self, long: list[int]) -> None:
+        """Drop the words numbered ``long`` and, of too many words, those met least; of equals the older ones."""
+        import numpy as np
+        import pyarrow as pa
+
+        keep = np.delete(np.arange(len(self.words)), long)
+        if len(keep) > REMEMBERED:
+            keep = np.sort(keep[::-1][np.argsort(-self.met[keep][::-1], kind="stable")[: REMEMBERED // 2]])
+            self.met //= 2  # what was met long ago counts less
+        if len(keep) < len(self.words):
+            self.ids = gathered(self.ids, self.sizes, keep)
+            self.words, self.sizes, self.met = self.words.take(pa.array(keep)), self.sizes[keep], self.met[keep]
 
     def _goes_whole(self, text: str) -> bool:
         """Whether words would not give the text's ids: an added token in it is one id, whatever stands around."""
         return any(t in text for t in self.added) or self.keeps_blanks and not plain(text)
 
-    def _words(self, text: str) -> list[str]:
-        """The words between blanks; with kept blanks, a line's first word has its line end before it, the text's too."""
-        return ("\n" + text.replace("\n", " \n") if self.keeps_blanks else blanks_only(text)).split(" ")
+    def _line(self, text: str) -> str:
+        """The text with one blank between words; with kept blanks, a line's first word has its line end before it, the text's too."""
+        return "\n" + text.replace("\n", " \n") if self.keeps_blanks else blanks_only(text)
+
+
+def gathered(ids, sizes, at):
+    """The ids of the words numbered ``at``, one after another; ``sizes``: how many ids each word has."""
+    import numpy as np
+
+    firsts, n = np.cumsum(sizes, dtype="i8") - sizes, sizes[at]
+    return ids[np.repeat(firsts[at] - (np.cumsum(n, dtype="i8") - n), n) + np.arange(n.sum())]
 
 
 def letters(text: str) -> bool:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from perfloom.llm import text_ids as text_ids_module
 from perfloom.llm.queries import BYTES, WORDS, vocabulary
 from perfloom.llm.text_ids import text_ids
 
@@ -46,3 +48,27 @@ def test_added_tokens_in_texts_get_the_plain_call_s_ids(file, blanks):
     plain = Tokenizer.from_file(vocabulary(file))
     want = [b"".join(i.to_bytes(4, "little") for i in [*plain.encode(t or "", add_special_tokens=False).ids, 7]) for t in texts]
     assert text_ids(vocabulary(file), blanks, 7).encode(texts) == want
+
+
+@pytest.mark.parametrize(("file", "blanks"), [(WORDS, False), (BYTES, True)])
+def test_few_words_remembered_give_the_plain_call_s_ids(file, blanks, monkeypatch):
+    monkeypatch.setattr(text_ids_module, "REMEMBERED", 60)
+    monkeypatch.setattr(text_ids_module, "CHARS", 200)
+    odd = ["é.", "Straße, straße", "ends.\nNext: line", "", "x" * 300, "tab\there", "two  blanks", "\n", "mark %%% 12.5", "İi ßS ǅ", "Ωmega Ας ΑΣ.", None]
+    texts = [f"{odd[i % 12] or ''}word{i} the of common, w{i % 7}." for i in range(90)] + odd
+    plain = Tokenizer.from_file(vocabulary(file))
+    want = [b"".join(i.to_bytes(2, "little") for i in [*plain.encode(t or "", add_special_tokens=False).ids, 7]) for t in texts]
+    encoder = text_ids_module.TextIds(vocabulary(file), blanks, 7, 2)
+    assert encoder.encode(texts) + encoder.encode(reversed(texts)) == want + want[::-1]
+    assert 0 < len(encoder.words) <= 60 and "x" * 300 not in encoder.words.to_pylist()
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    parts = [(part.column("doc_id").to_pylist(), ids) for part, ids in encoder.parts(batch, 10)]
+    assert [x for _, ids in parts for x in ids] == want and [x for docs, _ in parts for x in docs] == list(range(len(texts)))
+    assert all(len(docs) == len(ids) <= 10 for docs, ids in parts) and not list(encoder.parts(batch.slice(0, 0)))
+
+
+def test_a_remembered_word_takes_few_bytes():
+    encoder = text_ids_module.TextIds(vocabulary(WORDS), False, 2)
+    encoder.encode([" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(10_000))])
+    held = (encoder.words, encoder.ids, encoder.sizes, encoder.met)
+    assert len(encoder.words) == 10_000 and sum(x.nbytes for x in held) < 64 * 10_000
