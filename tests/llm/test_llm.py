@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from perfloom.llm import chat, components, forest, language, minhash, mixing, packing, records, suffixes, topk, warc
-from perfloom.llm.queries import BYTES, WORDS, vocabulary
+from perfloom.llm.queries import BYTES, WORDS, op7_suffixes, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _spans string"
 WORD = [f"w{i}" for i in range(400)]
@@ -167,6 +167,24 @@ def test_suffixes(spark, docs):
         assert list(suffixes.suffix_array(s, 4, 10**9)) == sorted(range(n), key=lambda i: tuple(s[i:]))
 
 
+def test_op7_query_equals_brute_force_and_gives_the_cleaned_text(spark, tmp_path):
+    draw = np.random.default_rng(17)
+    own = lambda k: " ".join(f"{k}own{draw.integers(10**9)}" for _ in range(20))
+    long, short = (" ".join(f"{k}{draw.integers(10**n)}" for _ in range(55)) for k, n in (("passage", 5), ("q", 3)))
+    assert len(long) > 400 > len(short)
+    rows = [(i, f"{own(i)} {part}{end} {own(-i)}") for i, (part, end) in enumerate([(long, "é"), (long, "è"), (short, "é"), (short, "è"), (long + long, ""), (long[:399], "")])]
+    rows += [(6, long), (7, long), (7, long), (None, own(7) * 3), (8, None), (9, ""), (10, short), (11, own(8) * 3), (12, "ab" * 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, data = [], [(t or "").encode() for _, t in rows]
+    for (doc, text), d, hit in zip(rows, data, _repeated(data, 400), strict=True):
+        kept = np.frombuffer(d, np.uint8)[~hit].tobytes()
+        starts = int((np.diff(np.r_[0, hit.astype(int)]) == 1).sum())
+        want.append((doc, len(d), int(hit.sum()), starts, hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace")))
+    assert "\ufffd" in want[0][-1] and long not in want[0][-1] and want[2][-1] == rows[2][1] and want[14][2] == 600
+    found = op7_suffixes(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text").collect()
+    assert Counter(tuple(r) for r in found) == Counter(want)
+
+
 def test_mixing(spark, docs):
     own = mixing.written(mixing.narrow(docs.withColumn("row", F.monotonically_increasing_id()), 0))
     rows = mixing.plan(own).collect()
